@@ -120,10 +120,15 @@ def signature_viability(
         bag = keep_first(keyed, MATCH_KEYS, ["experiment_id", "master_cpd_id"])
         out = flagged.join(bag, MATCH_KEYS).withColumn("viability", value)
     elif combine == "mean":
-        bag = keyed.groupBy(*MATCH_KEYS, *params).agg(F.count(F.lit(1)).alias("_w"))
-        doses = flagged.select(*MATCH_KEYS, "pert_dose").distinct()
+        together = F.struct(*MATCH_KEYS).alias("_pair")
+        bag = keyed.groupBy(*MATCH_KEYS, *params).agg(F.count(F.lit(1)).alias("_w")).select(
+            together, *params, "_w"
+        )
+        doses = flagged.select(*MATCH_KEYS, "pert_dose").distinct().select("*", together)
+        # joined on the struct but grouped by its fields: the exchange in between
+        # leaves Spark free to split a partition that a hot pair makes too large
         means = (
-            salted_join(doses, bag, MATCH_KEYS)
+            doses.join(bag, "_pair")
             .withColumn("_v", value)
             .groupBy(*MATCH_KEYS, "pert_dose")
             .agg(_weighted_mean("_w", "_v").alias("viability"), F.sum("_w").alias("n_curves"))
