@@ -253,14 +253,16 @@ def uncovered_pairs(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT DISTINCT gene_symbol AS node FROM genes WHERE gene_symbol NOT IN (
+SELECT DISTINCT CASE feature_space WHEN 'inferred' THEN dup_symbol ELSE gene_symbol END AS node FROM genes
+WHERE CASE feature_space WHEN 'inferred' THEN dup_symbol ELSE gene_symbol END NOT IN (
   SELECT child FROM (SELECT source AS parent, target AS child FROM network)
   WHERE child NOT IN (SELECT source FROM network))""")
 def missing_genes(t: Tables) -> DataFrame:
     from doselake.operators.ontology import ontology_leaves
 
     edges = t.network.select(F.col("source").alias("parent"), F.col("target").alias("child"))
-    return J.missing_genes(t.genes.select(F.col("gene_symbol").alias("node")), ontology_leaves(edges))
+    name = F.when(F.col("feature_space") == "inferred", F.col("dup_symbol")).otherwise(F.col("gene_symbol"))
+    return J.missing_genes(t.genes.select(name.alias("node")), ontology_leaves(edges))
 
 
 @query("SELECT sig_id, round(avg(v), 6) AS viability, count(*) AS n_curves FROM evaluated GROUP BY sig_id")

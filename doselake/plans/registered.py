@@ -1,6 +1,11 @@
 """Importing this module registers every query."""
 
-from doselake.plans import join_queries  # noqa: F401
+from doselake.plans import (  # noqa: F401
+    join_queries,
+    select_queries,
+    source_queries,
+    stat_queries,
+)
 from doselake.plans.catalog import CATALOG
 
 __all__ = ["CATALOG"]
