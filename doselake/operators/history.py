@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from doselake.functions.ranking import blocked_row_number, global_row_number
+from doselake.session import cut_lineage
 
 BLOCK = 1 << 18
 
@@ -91,7 +92,8 @@ def trend_corr(
     df: DataFrame, keys: list[str], step: str = "step", value: str = "value", block: int = BLOCK
 ) -> DataFrame:
     """Pearson of (step, value) over all points so far, from the third on."""
-    rows = ordinals(df.select(*keys, step, value), keys, step, block)
+    # read three times below, hence numbered once
+    rows = cut_lineage(ordinals(df.select(*keys, step, value), keys, step, block))
     mean = rows.groupBy(*keys).agg(F.avg(step).alias("_ms"), F.avg(value).alias("_mv"))
     # sums around the key's mean keep their digits
     x, y = F.col(step) - F.col("_ms"), F.col(value) - F.col("_mv")
@@ -117,15 +119,16 @@ def metric_history(df: DataFrame, metric: str, keys: list[str], name: str = "met
     return ordinals(one, keys, step)
 
 
-def _thin_records(keys: list[str], min_delta: float, schema: str):
+def _thin_records(keys: list[str], min_delta: float):
+    """Keeps the rows that improve by more than ``min_delta``; input sorted by key, ``rn``."""
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best, last = np.inf, -1
+        current, best = None, np.inf
         for b in batches:
             keep = np.zeros(len(b), dtype=bool)
-            for i, (rn, v) in enumerate(zip(b["rn"].to_numpy(), b["_v"].to_numpy())):
-                if rn <= last:
-                    raise RuntimeError("records arrived out of order")
-                last = rn
+            rows = zip(*[b[k].tolist() for k in keys]) if keys else [()] * len(b)
+            for i, (key, v) in enumerate(zip(rows, b["_v"].to_numpy())):
+                if key != current:
+                    current, best = key, np.inf
                 if v < best - min_delta:
                     best, keep[i] = v, True
             yield b.loc[keep, [*keys, "rn"]]
@@ -158,7 +161,7 @@ def improvements(
     records = flagged.where("_better").select(*keys, "rn", "_v")
     kept = (
         records.repartition(*keys).sortWithinPartitions(*keys, "rn")
-        .groupBy(*keys).applyInPandas(_thin_records(keys, min_delta, schema), schema)
+        .mapInPandas(_thin_records(keys, min_delta), schema)
         .withColumn("_kept", F.lit(True))
     )
     return flagged.drop("_better").join(kept, [*keys, "rn"], "left").withColumn(
@@ -171,24 +174,22 @@ def early_stop(
     min_delta: float = 0.0, mode: str = "min", block: int = BLOCK,
 ) -> DataFrame:
     """Stopping step per key (NULL: never), best value and its step until then."""
-    rows = ordinals(df.select(*keys, step, value).where(F.col(value).isNotNull()), keys, step, block)
-    flagged = improvements(rows, keys, value, mode, min_delta, block)
-    seen = running(
-        flagged, keys, {"_last": ("max", F.when(F.col("_better"), F.col("rn")))}, block
-    ).withColumn("_last", F.coalesce("_last", F.lit(0)))
-    late = F.col("rn") - F.col("_last") >= patience
-    stop = seen.groupBy(*keys).agg(
-        F.min_by(F.struct(F.col(step).alias("step"), F.col("_last").alias("best_rn")),
-                 F.when(late, F.col("rn"))).alias("_stop"),
-        F.max("_last").alias("_end_rn"), F.count(F.lit(1)).alias("n_events"),
+    present = df.select(*keys, step, value).where(F.col(value).isNotNull())
+    # each pass below reads its input twice, hence both are stored once
+    rows = cut_lineage(ordinals(present, keys, step, block))
+    flagged = cut_lineage(improvements(rows, keys, value, mode, min_delta, block))
+    latest = F.when(F.col("_better"), F.struct("rn", F.col(step).alias("step"), F.col(value).alias("value")))
+    seen = running(flagged, keys, {"_last": ("max", latest)}, block)
+    late = F.col("rn") - F.coalesce(F.col("_last.rn"), F.lit(0)) >= patience
+    return seen.groupBy(*keys).agg(
+        F.min_by(F.struct(F.col(step).alias("step"), "_last"), F.when(late, F.col("rn"))).alias("_stop"),
+        F.max("_last").alias("_end"), F.count(F.lit(1)).alias("n_events"),
+    ).withColumn(
+        "_best", F.when(F.col("_stop").isNotNull(), F.col("_stop._last")).otherwise(F.col("_end"))
     ).select(
-        *keys, F.col("_stop.step").alias("stop_step"),
-        F.coalesce(F.col("_stop.best_rn"), F.col("_end_rn")).alias("_rn"), "n_events",
-    )
-    best = flagged.where("_better").select(
-        *keys, F.col("rn").alias("_rn"), F.col(step).alias("best_step"), F.col(value).alias("best_value")
+        *keys, F.col("_stop.step").alias("stop_step"), F.col("_best.step").alias("best_step"),
+        F.col("_best.value").alias("best_value"), "n_events",
     )
-    return stop.join(best, [*keys, "_rn"], "left").drop("_rn")
 
 
 def best_and_last(

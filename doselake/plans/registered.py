@@ -2,8 +2,11 @@
 
 from doselake.plans import (  # noqa: F401
     join_queries,
+    matrix_queries,
+    network_queries,
     select_queries,
     source_queries,
+    split_queries,
     stat_queries,
 )
 from doselake.plans.catalog import CATALOG
