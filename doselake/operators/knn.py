@@ -23,7 +23,9 @@ def _paired(queries: DataFrame, data: DataFrame, qkey: str, dkey: str, block: in
     nq, nd = _blocks(queries.count(), block), _blocks(data.count(), block)
 
     def side(df: DataFrame, key: str, own: int, other: int, mine: str, theirs: str) -> DataFrame:
-        return df.withColumn(mine, F.pmod(F.xxhash64(key), F.lit(own)).cast("int")).withColumn(
+        # fresh column identities, since both sides may come from one table
+        fresh = df.select(*[F.col(c).alias(c) for c in df.columns])
+        return fresh.withColumn(mine, F.pmod(F.xxhash64(key), F.lit(own)).cast("int")).withColumn(
             theirs, F.explode(F.sequence(F.lit(0), F.lit(other - 1)))
         )
 

@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from doselake.operators.matrix import (
     _OnValues, centered, cross_products, gene_stats, matrix_width, per_gene_array, with_arrays,
 )
-from doselake.operators.split import kfold, repeated_splits
+from doselake.operators.split import kfold, split_group, split_random
 from doselake.operators.stats import metric_columns, regression_metrics, run_stats, weighted_score
+from doselake.session import cut_lineage
 
 # The search grids of the baseline study.
 ALPHAS = [0.01, 0.1, 1.0, 10.0]
@@ -44,7 +45,8 @@ def _linear(df: DataFrame, values: str, target: str, reg: float, l1_share: float
 
 
 def _solver(df: DataFrame, values: str) -> str:
-    return "normal" if df.select(F.size(values).alias("w")).first()["w"] <= NORMAL_SOLVER_LIMIT else "l-bfgs"
+    width = df.select(F.size(values).alias("w")).first()["w"]
+    return "normal" if width <= NORMAL_SOLVER_LIMIT else "l-bfgs"
 
 
 def fit_linear(df: DataFrame, target: str, values: str = "values") -> Model:
@@ -166,7 +168,8 @@ def random_grid(grid: dict[str, list], n_iter: int, seed: int = 42) -> list[dict
 
 
 def _search(df: DataFrame, estimator, combos: list[dict], key: str, values: str, target: str, folds: int, seed: int) -> Model:
-    data = with_vector(kfold(df.select(key, values, F.col(target).cast("double").alias(target)), key, folds, seed), values)
+    rows = df.select(key, values, F.col(target).cast("double").alias(target))
+    data = with_vector(cut_lineage(kfold(rows, key, folds, seed)), values)
     maps = [{estimator.getParam(n): v for n, v in c.items()} for c in combos]
     cv = CrossValidator(
         estimator=estimator, estimatorParamMaps=maps, numFolds=folds, foldCol="fold", seed=seed,
@@ -212,7 +215,8 @@ def cv_predictions(
 ) -> DataFrame:
     """Held-out predictions ``(fold, key, target, prediction)`` of every fold."""
     cols = [key, values, target] + ([stratum] if stratum else [])
-    data = kfold(df.select(*dict.fromkeys(cols)), key, folds, seed, stratum)
+    # every fold reads these rows again for its fit and its scores
+    data = cut_lineage(kfold(df.select(*dict.fromkeys(cols)), key, folds, seed, stratum))
     parts = []
     for f in range(folds):
         model = fit(data.where(F.col("fold") != f), target)
@@ -243,13 +247,15 @@ def choose_alpha(
 ) -> tuple[float, DataFrame]:
     """Penalty of best mean R2 over the folds, and the score of every candidate."""
     alphas = alphas or ALPHAS
+    rows = cut_lineage(df.select(*dict.fromkeys([key, values, target])))
     tables = [
-        cv_score(df, lambda d, t, a=a: fit(d, t, a), target, key, values, folds, seed).withColumn("alpha", F.lit(a))
+        cv_score(rows, lambda d, t, a=a: fit(d, t, a), target, key, values, folds, seed).withColumn("alpha", F.lit(a))
         for a in alphas
     ]
     scores = tables[0]
     for t in tables[1:]:
         scores = scores.unionByName(t)
+    scores = cut_lineage(scores)
     best = scores.orderBy(F.col("cv_mean").desc_nulls_last(), "alpha").first()
     return best["alpha"], scores
 
@@ -276,6 +282,7 @@ def model_table(
     """One row per (feature set, model): test metrics, weighted score, CV mean and std."""
     out = None
     for feature_set, (train, test) in data.items():
+        train, test = cut_lineage(train), cut_lineage(test)
         for name, fit in fits.items():
             scored = predict(fit(train, target), test, values).withColumn("target", F.col(target))
             cv = cv_score(train, fit, target, key, values, folds, seed, "weighted_score")
@@ -295,12 +302,12 @@ def repeat_fit(
 ) -> DataFrame:
     """R2 and Pearson per run and part, over fresh random or group splits."""
     cols = dict.fromkeys([key, values, target] + ([group] if group else []))
-    data = repeated_splits(df.select(*cols), key, runs, test, val, seed, group)
+    data = cut_lineage(df.select(*cols))  # read again by every run
     out = None
     for r in range(runs):
-        one = data.where(F.col("run") == r)
+        one = split_group(data, group, test, val, seed + r) if group else split_random(data, key, test, val, seed + r)
         scored = predict(fit(one.where("split = 'train'"), target), one, values)
-        part = scored.select("run", "split", F.col(target).alias("target"), "prediction")
+        part = scored.select(F.lit(r).alias("run"), "split", F.col(target).alias("target"), "prediction")
         out = part if out is None else out.unionByName(part)
     return regression_metrics(out, ["run", "split"], ["r2", "pearson"])
 
