@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from doselake.functions.skew import broadcast_if_small
 from doselake.session import cut_lineage
 
 HASH_PREFIX = 4  # hex digits, so 65,536 buckets of equal expected size
@@ -100,8 +101,10 @@ def hash_cuts(
         .where((F.col("_t") > F.col("_cum") - F.col("_c")) & (F.col("_t") <= F.col("_cum")))
         .select(*strata, "_pre", "_i", (F.col("_t") - F.col("_cum") + F.col("_c")).alias("_k"))
     )
-    w = wanted.select(*[F.col(s).alias(f"_s{j}") for j, s in enumerate(strata)],
-                      F.col("_pre").alias("_wp"), "_i", "_k")
+    # a few rows per stratum: small unless there are very many strata
+    w = broadcast_if_small(wanted.select(
+        *[F.col(s).alias(f"_s{j}") for j, s in enumerate(strata)], F.col("_pre").alias("_wp"), "_i", "_k"
+    ))
     cond = F.col("_pre") == F.col("_wp")
     for j, s in enumerate(strata):
         cond = cond & F.col(s).eqNullSafe(F.col(f"_s{j}"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from doselake.functions.ranking import blocked_row_number, global_row_number
+from doselake.functions.skew import broadcast_if_small
 from doselake.session import cut_lineage
 
 BLOCK = 1 << 18
@@ -97,7 +98,7 @@ def trend_corr(
     mean = rows.groupBy(*keys).agg(F.avg(step).alias("_ms"), F.avg(value).alias("_mv"))
     # sums around the key's mean keep their digits
     x, y = F.col(step) - F.col("_ms"), F.col(value) - F.col("_mv")
-    sums = running(rows.join(mean, keys), keys, {
+    sums = running(rows.join(broadcast_if_small(mean), keys), keys, {
         "_n": ("sum", F.lit(1.0)), "_x": ("sum", x), "_y": ("sum", y),
         "_xx": ("sum", x * x), "_yy": ("sum", y * y), "_xy": ("sum", x * y),
     }, block)

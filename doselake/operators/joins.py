@@ -9,11 +9,11 @@ from pyspark.sql.window import Window
 from doselake.functions.chem import is_valid_structure
 from doselake.functions.dose import clip_unit, log2_dose, sig3upper
 from doselake.functions.ranking import blocked_row_number, seeded_hash
-from doselake.functions.skew import salted_join
+from doselake.functions.skew import broadcast_if_small, salted_join
 from doselake.schema import require_columns
 
-# No join here carries a broadcast hint: Spark broadcasts a side only after
-# measuring it, and splits an oversized shuffle partition at run time.
+# Joins to dimension tables carry no hint: Spark broadcasts a side by its size
+# and splits an oversized shuffle partition at run time.
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -102,9 +102,12 @@ def _weighted_mean(weight: str, value: str) -> Column:
 def signature_viability(
     signatures: DataFrame, curves: DataFrame, combine: str = "mean", clip: bool = True,
     clip_exponent: bool = True, key_a: str = "pert_mfc_id", key_b: str = "cmap_name",
+    first_curve: bool = False,
 ) -> DataFrame:
     """One viability per matched signature: the mean of its curves, or the first.
 
+    ``first_curve`` also names the first curve next to the mean.
+
     Curves of equal parameters are counted and signatures of equal dose are
     merged before the join, so a hot (cell, compound) pair costs its distinct
     doses times its distinct curves, not all pairs of rows.
@@ -121,9 +124,12 @@ def signature_viability(
         out = flagged.join(bag, MATCH_KEYS).withColumn("viability", value)
     elif combine == "mean":
         together = F.struct(*MATCH_KEYS).alias("_pair")
-        bag = keyed.groupBy(*MATCH_KEYS, *params).agg(F.count(F.lit(1)).alias("_w")).select(
-            together, *params, "_w"
+        curve = F.struct("experiment_id", "master_cpd_id")
+        first = [F.min(curve).alias("_first")] if first_curve else []
+        bag = keyed.groupBy(*MATCH_KEYS, *params).agg(F.count(F.lit(1)).alias("_w"), *first).select(
+            together, *params, "_w", *(["_first"] if first_curve else [])
         )
+        earliest = [F.min("_first").alias("_first")] if first_curve else []
         doses = flagged.select(*MATCH_KEYS, "pert_dose").distinct().select("*", together)
         # joined on the struct but grouped by its fields: the exchange in between
         # leaves Spark free to split a partition that a hot pair makes too large
@@ -131,8 +137,10 @@ def signature_viability(
             doses.join(bag, "_pair")
             .withColumn("_v", value)
             .groupBy(*MATCH_KEYS, "pert_dose")
-            .agg(_weighted_mean("_w", "_v").alias("viability"), F.sum("_w").alias("n_curves"))
+            .agg(_weighted_mean("_w", "_v").alias("viability"), F.sum("_w").alias("n_curves"), *earliest)
         )
+        if first_curve:
+            means = means.select("*", "_first.*").drop("_first")
         out = flagged.join(means, [*MATCH_KEYS, "pert_dose"])
     else:
         raise ValueError(f"combine must be 'mean' or 'first', not {combine}")
@@ -201,7 +209,7 @@ def pair_controls(
     draw = F.conv(F.substring(seeded_hash(seed + 1, key), 1, 8), 16, 10).cast("bigint")
     treated = (
         tagged.where(~F.col("_control")).drop("_control")
-        .join(sizes, plate)
+        .join(broadcast_if_small(sizes), plate)
         .withColumn("_no", F.pmod(draw, F.col("_n")) + 1)
         .drop("_n")
     )

@@ -26,9 +26,18 @@ from doselake.operators.select import pick_genes
 from doselake.schema import nan_to_null
 
 
+def exploded(df: DataFrame, keys: list[str], values: str = "values") -> DataFrame:
+    """Array cells as rows ``keys, pos, x``.
+
+    Spark guards an inner explode with a filter on the array's size, which would
+    compute a derived array twice; filtering the position afterwards is free.
+    """
+    return df.select(*keys, F.posexplode_outer(values).alias("pos", "x")).where("pos IS NOT NULL")
+
+
 def to_long(matrix: DataFrame, key: str = "sig_id", values: str = "values") -> DataFrame:
     """One row per cell: ``key, pos, x``; NaN becomes NULL."""
-    return matrix.select(key, F.posexplode(values).alias("pos", "x")).select(
+    return exploded(matrix, [key], values).select(
         key, "pos", nan_to_null(F.col("x").cast("double")).alias("x")
     )
 
@@ -43,7 +52,7 @@ def gene_stats(
     matrix: DataFrame, probs: list[float] | None = None, values: str = "values"
 ) -> DataFrame:
     """Per gene count, mean, population std, and exact quantiles, missing ignored."""
-    long = matrix.select(F.posexplode(values).alias("pos", "x")).select(
+    long = exploded(matrix, [], values).select(
         "pos", nan_to_null(F.col("x").cast("double")).alias("x")
     )
     basic = long.groupBy("pos").agg(

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from doselake.operators.matrix import (
-    _OnValues, centered, cross_products, gene_stats, matrix_width, per_gene_array, with_arrays,
+    _OnValues, centered, cross_products, exploded, gene_stats, matrix_width, per_gene_array, with_arrays,
 )
 from doselake.operators.split import kfold, split_group, split_random
 from doselake.operators.stats import metric_columns, regression_metrics, run_stats, weighted_score
@@ -36,6 +36,14 @@ def with_vector(df: DataFrame, values: str = "values") -> DataFrame:
     return df.withColumn("features", array_to_vector(F.col(values).cast("array<double>")))
 
 
+def _shape(df: DataFrame, target: str, values: str) -> tuple[int, float, int]:
+    """Rows, population std of the label, and number of features, in one pass."""
+    r = df.agg(
+        F.count(target).alias("n"), F.stddev_pop(target).alias("s"), F.max(F.size(values)).alias("w")
+    ).first()
+    return r["n"], r["s"], r["w"]
+
+
 def _linear(df: DataFrame, values: str, target: str, reg: float, l1_share: float, **kw) -> Model:
     lr = LinearRegression(
         featuresCol="features", labelCol=target, regParam=reg, elasticNetParam=l1_share,
@@ -44,35 +52,34 @@ def _linear(df: DataFrame, values: str, target: str, reg: float, l1_share: float
     return lr.fit(with_vector(df.select(values, F.col(target).cast("double").alias(target)), values))
 
 
-def _solver(df: DataFrame, values: str) -> str:
-    width = df.select(F.size(values).alias("w")).first()["w"]
+def _solver(width: int) -> str:
     return "normal" if width <= NORMAL_SOLVER_LIMIT else "l-bfgs"
 
 
 def fit_linear(df: DataFrame, target: str, values: str = "values") -> Model:
     """Ordinary least squares, one pass over the rows."""
-    return _linear(df, values, target, 0.0, 0.0, solver=_solver(df, values))
+    width = df.select(F.size(values).alias("w")).first()["w"]
+    return _linear(df, values, target, 0.0, 0.0, solver=_solver(width))
 
 
-def _label_stats(df: DataFrame, target: str) -> tuple[int, float]:
-    r = df.agg(F.count(target).alias("n"), F.stddev_pop(target).alias("s")).first()
-    return r["n"], r["s"]
+def _penalised(df: DataFrame, target: str, l1: float, l2: float, values: str, std: float, width: int) -> Model:
+    # Spark divides the quadratic part by the label's std, so it is scaled up here
+    reg = l1 + l2 * std
+    return _linear(
+        df, values, target, reg, l1 / reg if reg else 0.0, solver=_solver(width), tol=1e-10, maxIter=1000
+    )
 
 
 def fit_penalised(df: DataFrame, target: str, l1: float, l2: float, values: str = "values") -> Model:
-    """Squared error per ``2n`` plus ``l1 |w|`` plus ``l2/2 |w|^2``, raw feature scale.
-
-    Spark divides the quadratic part by the label's std, so it is scaled up here.
-    """
-    _, std = _label_stats(df, target)
-    reg = l1 + l2 * std
-    return _linear(df, values, target, reg, l1 / reg if reg else 0.0, solver=_solver(df, values), tol=1e-10, maxIter=1000)
+    """Squared error per ``2n`` plus ``l1 |w|`` plus ``l2/2 |w|^2``, raw feature scale."""
+    _, std, width = _shape(df, target, values)
+    return _penalised(df, target, l1, l2, values, std, width)
 
 
 def fit_ridge(df: DataFrame, target: str, alpha: float = 1.0, values: str = "values") -> Model:
     """Summed squared error plus ``alpha |w|^2``."""
-    n, _ = _label_stats(df, target)
-    return fit_penalised(df, target, 0.0, alpha / n, values)
+    n, std, width = _shape(df, target, values)
+    return _penalised(df, target, 0.0, alpha / n, values, std, width)
 
 
 def fit_lasso(df: DataFrame, target: str, alpha: float = 1.0, values: str = "values") -> Model:
@@ -352,14 +359,14 @@ def linear_attribution(matrix: DataFrame, coef: list[float] | DataFrame, values:
 
 def mean_attribution(attributed: DataFrame) -> DataFrame:
     """Mean absolute attribution per feature."""
-    long = attributed.select(F.posexplode("attribution").alias("feature", "a"))
-    return long.groupBy("feature").agg(F.avg(F.abs("a")).alias("score"))
+    long = exploded(attributed, [], "attribution")
+    return long.groupBy(F.col("pos").alias("feature")).agg(F.avg(F.abs("x")).alias("score"))
 
 
 def modality_importance(attributed: DataFrame, ranges: dict[str, tuple[int, int]]) -> DataFrame:
     """Mean absolute attribution per modality range ``[start, end)``, as share of the sum."""
-    per_pos = attributed.select(F.posexplode("attribution").alias("pos", "a")).groupBy("pos").agg(
-        F.sum(F.abs("a")).alias("s"), F.count("a").alias("n")
+    per_pos = exploded(attributed, [], "attribution").groupBy("pos").agg(
+        F.sum(F.abs("x")).alias("s"), F.count("x").alias("n")
     )
     spans = F.array(*[
         F.struct(F.lit(m).alias("modality"), F.lit(a).alias("lo"), F.lit(b).alias("hi"))
@@ -377,17 +384,11 @@ def feature_ablation(
     model: Model, df: DataFrame, features: list[int], key: str = "sig_id", values: str = "values"
 ) -> DataFrame:
     """Change of the prediction when one feature is set to 0, per (key, feature)."""
-    # feature -1 keeps the row as it is: both predictions come from one pass
-    which = F.explode(F.lit([-1, *features])).alias("feature")
-    rows = df.select(key, values, which).withColumn(
+    base = predict(model, df.select(key, values), values).withColumnRenamed("prediction", "_base")
+    rows = base.withColumn("feature", F.explode(F.lit(features))).withColumn(
         values, F.transform(values, lambda x, i: F.when(i == F.col("feature"), F.lit(0.0)).otherwise(x.cast("double")))
     )
-    scored = predict(model, rows, values).select(key, "feature", "prediction")
-    per_row = scored.groupBy(key).agg(
-        F.max(F.when(F.col("feature") == -1, F.col("prediction"))).alias("_base"),
-        F.collect_list(F.struct("feature", "prediction")).alias("_all"),
-    )
-    return per_row.select(key, "_base", F.inline("_all")).where("feature >= 0").select(
+    return predict(model, rows, values).select(
         key, "feature", (F.col("_base") - F.col("prediction")).alias("attribution")
     )
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from doselake.functions.ranking import global_row_number
+from doselake.operators.matrix import exploded
 from doselake.schema import nan_to_null, require_columns
 
 METADATA = ("cell_mfc_name", "viability", "pert_dose")
@@ -50,20 +51,23 @@ def tf_activity_ulm(
         F.sum(F.col("weight") * F.col("weight")).alias("sww"),
     ).where(F.col("k") >= min_n)
     if edges.limit(max_edges + 1).count() <= max_edges:
-        sums = _ulm_local(matrix, edges, universe, factors, key)
+        sums = _ulm_local(matrix, edges, universe, factors, key, metadata)
     else:
         sums = _ulm_joined(matrix, edges, universe, factors, key)
+        sums = sums.join(matrix.select(key, *metadata), key)
     n = F.col("n")
     cov = n * F.col("swx") - F.col("sw") * F.col("sx")
     vw = n * F.col("sww") - F.col("sw") * F.col("sw")
     vx = F.greatest(n * F.col("sxx") - F.col("sx") * F.col("sx"), F.lit(0.0))
     r = F.try_divide(cov, F.sqrt(vw) * F.sqrt(vx))
     t = F.col("r") * F.sqrt(F.try_divide(n - 2, (1 - F.col("r")) * (1 + F.col("r"))))
-    activity = sums.withColumn("r", r).select(key, "source", t.alias("activity"))
-    return activity if not metadata else activity.join(matrix.select(key, *metadata), key)
+    return sums.withColumn("r", r).select(key, *metadata, "source", t.alias("activity"))
 
 
-def _ulm_local(matrix: DataFrame, edges: DataFrame, universe: DataFrame, factors: DataFrame, key: str) -> DataFrame:
+def _ulm_local(
+    matrix: DataFrame, edges: DataFrame, universe: DataFrame, factors: DataFrame, key: str,
+    metadata: tuple[str, ...],
+) -> DataFrame:
     per_factor = edges.join(factors.select("source", "sw", "sww"), "source").groupBy("source").agg(
         F.first("sw").alias("sw"), F.first("sww").alias("sww"),
         F.collect_list(F.struct("pos", "weight")).alias("e"),
@@ -74,7 +78,7 @@ def _ulm_local(matrix: DataFrame, edges: DataFrame, universe: DataFrame, factors
         "_x", F.transform("_u", lambda i: nan_to_null(F.get("values", i).cast("double")))
     )
     summed = picked.select(
-        key, "values",
+        key, *metadata, "values",
         F.size("_u").cast("double").alias("n"),
         F.aggregate("_x", F.lit(0.0), lambda a, x: a + x).alias("sx"),
         F.aggregate("_x", F.lit(0.0), lambda a, x: a + x * x).alias("sxx"),
@@ -83,12 +87,12 @@ def _ulm_local(matrix: DataFrame, edges: DataFrame, universe: DataFrame, factors
     dot = F.aggregate(
         "f.e", F.lit(0.0), lambda a, e: a + e["weight"] * nan_to_null(F.get("values", e["pos"]).cast("double"))
     )
-    return summed.select(key, F.col("f.source").alias("source"), "n", "sx", "sxx",
+    return summed.select(key, *metadata, F.col("f.source").alias("source"), "n", "sx", "sxx",
                          F.col("f.sw").alias("sw"), F.col("f.sww").alias("sww"), dot.alias("swx"))
 
 
 def _ulm_joined(matrix: DataFrame, edges: DataFrame, universe: DataFrame, factors: DataFrame, key: str) -> DataFrame:
-    long = matrix.select(key, F.posexplode("values").alias("pos", "x")).join(universe, "pos").select(
+    long = exploded(matrix, [key]).join(universe, "pos").select(
         key, "pos", nan_to_null(F.col("x").cast("double")).alias("x")
     )
     rows = long.groupBy(key).agg(

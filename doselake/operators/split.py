@@ -13,6 +13,7 @@ from pyspark.sql.types import NumericType
 
 from doselake.functions.quantiles import exact_quantiles
 from doselake.functions.ranking import hash_cuts, seeded_hash
+from doselake.functions.skew import broadcast_if_small
 
 
 def _check(test: float, val: float) -> None:
@@ -70,7 +71,7 @@ def quantile_bins(df: DataFrame, column: str, bins: int = 10, out: str = "stratu
 
 
 def _with_cuts(hashed: DataFrame, cuts: DataFrame, stratum: str) -> DataFrame:
-    c = cuts.select(F.col(stratum).alias("_s"), "cuts")
+    c = broadcast_if_small(cuts.select(F.col(stratum).alias("_s"), "cuts"))
     return hashed.join(c, F.col(stratum).eqNullSafe(F.col("_s")), "left").drop("_s")
 
 

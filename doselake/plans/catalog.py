@@ -40,6 +40,10 @@ def r(c: str | Column, digits: int = 6) -> Column:
 
 
 def cells(df: DataFrame, key: str = "sig_id", values: str = "values", digits: int = 6) -> DataFrame:
-    """Arrays as rows ``key, pos, x`` for comparison."""
-    long = df.select(key, F.posexplode(values).alias("pos", "x"))
+    """Arrays as rows ``key, pos, x`` for comparison.
+
+    The outer form is on purpose: for the inner one Spark adds a size filter
+    that would evaluate a computed array a second time.
+    """
+    long = df.select(key, F.posexplode_outer(values).alias("pos", "x"))
     return long.select(key, "pos", r(F.col("x"), digits).alias("x"))

@@ -20,7 +20,12 @@ from doselake.operators import stats as A
 from doselake.plans.catalog import query, r
 from doselake.plans.split_queries import _parts
 from doselake.plans.standins import Tables
-from doselake.session import scratch_path
+from doselake.session import cut_lineage, scratch_path
+
+
+def _rows(t: Tables) -> DataFrame:
+    """The orders, stored once because a fit reads its rows several times."""
+    return cut_lineage(t.order_rows)
 
 
 def _terms(t: Tables, model: Model, digits: int = 4) -> DataFrame:
@@ -38,36 +43,36 @@ SELECT 'slope' AS term, round(b, {digits}) AS value FROM b UNION ALL SELECT 'int
 
 @query(_closed("cxy / vx"))
 def fit_linear(t: Tables) -> DataFrame:
-    return _terms(t, L.fit_linear(t.order_rows, "y"))
+    return _terms(t, L.fit_linear(_rows(t), "y"))
 
 
 @query(_closed("n * cxy / (n * vx + 100000)"))
 def fit_ridge(t: Tables) -> DataFrame:
-    return _terms(t, L.fit_ridge(t.order_rows, "y", 100000.0))
+    return _terms(t, L.fit_ridge(_rows(t), "y", 100000.0))
 
 
 @query(_closed("sign(cxy) * greatest(abs(cxy) - 50, 0) / vx", 3))
 def fit_lasso(t: Tables) -> DataFrame:
-    return _terms(t, L.fit_lasso(t.order_rows, "y", 50.0), 3)
+    return _terms(t, L.fit_lasso(_rows(t), "y", 50.0), 3)
 
 
 @query(_closed("sign(cxy) * greatest(abs(cxy) - 100 * 0.4::DOUBLE, 0) / (vx + 100 * 0.6::DOUBLE)", 3))
 def fit_elastic_net(t: Tables) -> DataFrame:
-    return _terms(t, L.fit_elastic_net(t.order_rows, "y", 100.0, 0.4), 3)
+    return _terms(t, L.fit_elastic_net(_rows(t), "y", 100.0, 0.4), 3)
 
 
 @query()
 def fit_bayesian_ridge(t: Tables) -> DataFrame:
-    return _terms(t, L.fit_bayesian_ridge(t.order_rows, "y"))
+    return _terms(t, L.fit_bayesian_ridge(_rows(t), "y"))
 
 
 @query()
 def fit_huber(t: Tables) -> DataFrame:
-    return _terms(t, L.fit_huber(t.order_rows, "y"), 3)
+    return _terms(t, L.fit_huber(_rows(t), "y"), 3)
 
 
 def _scored(t: Tables, fit) -> DataFrame:
-    rows = X.split_random(t.order_rows, "sig_id")
+    rows = cut_lineage(X.split_random(t.order_rows, "sig_id"))
     model = fit(rows.where("split = 'train'"))
     out = L.predict(model, rows.where("split = 'test'")).withColumn("target", F.col("y"))
     return A.regression_metrics(out).select("n", r("mse", 3), r("mae", 3), r("r2"), r("pearson"))
@@ -87,14 +92,15 @@ def fit_gbt(t: Tables) -> DataFrame:
 WITH m AS (SELECT avg(x) AS mx, avg(y) AS my, covar_pop(x, y) / var_pop(x) AS b FROM order_rows)
 SELECT sig_id, round(my + b * (x - mx), 4) AS prediction FROM order_rows, m""")
 def predict(t: Tables) -> DataFrame:
-    return L.predict(L.fit_linear(t.order_rows, "y"), t.order_rows).select("sig_id", r("prediction", 4))
+    rows = _rows(t)
+    return L.predict(L.fit_linear(rows, "y"), rows).select("sig_id", r("prediction", 4))
 
 
 @query("""
 WITH m AS (SELECT avg(x) AS mx, avg(y) AS my, covar_pop(x, y) / var_pop(x) AS b FROM order_rows)
 SELECT sig_id, round(my + b * (x - mx), 4) AS prediction FROM order_rows, m""")
 def load_model(t: Tables) -> DataFrame:
-    path = L.save_model(L.fit_linear(t.order_rows, "y"), scratch_path(t.spark, "model"))
+    path = L.save_model(L.fit_linear(_rows(t), "y"), scratch_path(t.spark, "model"))
     return L.predict(L.load_model(LinearRegressionModel, path), t.order_rows).select("sig_id", r("prediction", 4))
 
 

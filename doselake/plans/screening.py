@@ -35,11 +35,7 @@ def matched_dataset(
     """Mean viability, log2 dose, first curve's structure and lowest concentration."""
     eligible = select.filter_signatures(siginfo)
     named = joins.lookup_chain(curves, per_experiment, per_cell_line, per_compound)
-    mean = joins.signature_viability(eligible, named, "mean")
-    first = joins.signature_viability(eligible, named, "first").select(
-        "sig_id", "experiment_id", "master_cpd_id"
-    )
-    both = mean.join(first, "sig_id")
+    both = joins.signature_viability(eligible, named, "mean", first_curve=True)
     with_low = stats.min_concentration(both, measurements)
     return joins.attach_structure(with_low, per_compound).withColumn(
         "dose_log2", log2_dose(F.col("pert_dose"))

@@ -194,7 +194,7 @@ VALID_SQL = """len(smiles) >= 2 AND len(replace(smiles, '(', '')) = len(replace(
 SELECT sig_id, unnest(range(11)) AS pos, unnest(list_append({_array_sql(chem.BASIC_COUNTS)}, dosage)) AS x FROM structures""")
 def basic_descriptors(t: Tables) -> DataFrame:
     f = chem.basic_descriptors(F.col("smiles"), F.col("dosage")).alias("values")
-    return t.structures.select("sig_id", F.posexplode(f).alias("pos", "x"))
+    return t.structures.select("sig_id", F.posexplode_outer(f).alias("pos", "x"))
 
 
 @query(f"""
@@ -203,7 +203,7 @@ SELECT sig_id, unnest(range(64)) AS pos,
 FROM structures WHERE {VALID_SQL}""")
 def robust_descriptors(t: Tables) -> DataFrame:
     d = chem.robust_descriptors(t.structures, "sig_id", "smiles", "dosage")
-    return d.select("sig_id", F.posexplode("features").alias("pos", "x"))
+    return d.select("sig_id", F.posexplode_outer("features").alias("pos", "x"))
 
 
 @query(f"SELECT sig_id, CAST({VALID_SQL} AS INTEGER) AS valid FROM structures")
@@ -225,7 +225,7 @@ def tokenize_fixed(t: Tables) -> DataFrame:
     vocabulary = global_row_number(tokens, ["token"], "id")
     out = chem.tokenize_fixed(names, "s", vocabulary, 8, pattern)
     both = F.arrays_zip("token_ids", "mask")
-    return out.select("p_partkey", F.posexplode(both).alias("pos", "_c")).select(
+    return out.select("p_partkey", F.posexplode_outer(both).alias("pos", "_c")).select(
         "p_partkey", "pos", F.col("_c.token_ids").alias("token_id"), F.col("_c.mask").alias("mask")
     )
 
@@ -241,7 +241,7 @@ SELECT page_id, pos, CASE WHEN pos >= len(url) THEN 0
   THEN instr('{ALPHABET}', substr(url, CAST(pos AS INTEGER) + 1, 1)) - 1 ELSE 1 END AS char_id FROM g""")
 def char_indices(t: Tables) -> DataFrame:
     out = chem.char_indices(t.raw("pages").select("page_id", "url"), "url", ALPHABET)
-    return out.select("page_id", F.posexplode("char_ids").alias("pos", "char_id"))
+    return out.select("page_id", F.posexplode_outer("char_ids").alias("pos", "char_id"))
 
 
 RUN_KEYS = """
