@@ -236,7 +236,7 @@ def shared_genes(network: DataFrame, genes: DataFrame, gene: str = "gene_symbol"
     names = genes.select(F.col(gene).alias("target")).distinct()
     kept_edges = network.join(names, "target", "left_semi")
     if kept_edges.isEmpty():
-        raise ValueError("No shared genes found between network and gene expression matrix!")
+        raise ValueError("No shared genes found: no network target is a gene of the table")
     return kept_edges, kept_genes
 
 

@@ -183,7 +183,7 @@ class Imputer(_OnValues, Estimator, DefaultParamsReadable, DefaultParamsWritable
     def __init__(self, strategy: str = "mean") -> None:
         super().__init__()
         if strategy not in ("mean", "median"):
-            raise ValueError(f"Unsupported imputation strategy: {strategy}")
+            raise ValueError(f"unknown imputation strategy: {strategy}")
         self._set(strategy=strategy)
 
     def _fit(self, df: DataFrame) -> ImputeModel:
@@ -256,7 +256,7 @@ def chain(stages: list) -> Pipeline:
 def impute_metadata(df: DataFrame, strategy: str = "mean") -> DataFrame:
     """Missing viability by mean or median (mean for ``knn``), missing dose by median."""
     if strategy not in ("mean", "median", "knn"):
-        raise ValueError(f"Unsupported imputation strategy: {strategy}")
+        raise ValueError(f"unknown imputation strategy: {strategy}")
     how = {"viability": "median" if strategy == "median" else "mean", "pert_dose": "median"}
     for column, kind in how.items():
         if column not in df.columns:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.ml import Model
@@ -23,11 +23,15 @@ from doselake.operators.split import kfold, split_group, split_random
 from doselake.operators.stats import metric_columns, regression_metrics, run_stats, weighted_score
 from doselake.session import cut_lineage
 
-# The search grids of the baseline study.
+# The search spaces of the baseline study. Spark has no minimum
+# number of rows to split a node, so that one is left out.
 ALPHAS = [0.01, 0.1, 1.0, 10.0]
 L1_RATIOS = [0.2, 0.4, 0.6, 0.8]
-FOREST_GRID = {"numTrees": [50, 100, 200], "maxDepth": [5, 10, 15], "minInstancesPerNode": [1, 2, 4]}
-BOOST_GRID = {"maxIter": [50, 100], "stepSize": [0.01, 0.1, 0.2], "maxDepth": [3, 5, 7]}
+FOREST_GRID = {"numTrees": range(50, 200), "maxDepth": range(5, 20), "minInstancesPerNode": range(1, 10)}
+BOOST_GRID = {
+    "maxIter": range(50, 200), "stepSize": [round(0.01 * i, 2) for i in range(1, 22)],
+    "maxDepth": range(3, 15), "minInstancesPerNode": range(1, 10),
+}
 NORMAL_SOLVER_LIMIT = 4096  # most features Spark's one-pass solver accepts
 
 
@@ -160,7 +164,7 @@ def fit_bayesian_ridge(
     return LinearTableModel(coef.tolist(), mean[width] - mean[:width] @ coef)._set(valuesCol=values)
 
 
-def random_grid(grid: dict[str, list], n_iter: int, seed: int = 42) -> list[dict]:
+def random_grid(grid: dict[str, Sequence], n_iter: int, seed: int = 42) -> list[dict]:
     """Distinct seeded draws from a parameter grid."""
     size = int(np.prod([len(v) for v in grid.values()]))
     picks = random.Random(seed).sample(range(size), min(n_iter, size))

@@ -22,7 +22,7 @@ def _network_edges(genes: DataFrame, network: DataFrame) -> DataFrame:
     at = genes.select("pos", F.col("gene_symbol").alias("target"))
     edges = network.join(at, "target").groupBy("source", "pos").agg(F.sum("weight").alias("weight"))
     if edges.isEmpty():
-        raise ValueError("No shared genes found between network and gene expression matrix!")
+        raise ValueError("No shared genes found: no network target is a gene of the matrix")
     return edges
 
 

@@ -30,7 +30,7 @@ def gene_positions(genes: DataFrame, space: str | list[str], mode: str = "exact"
     wanted = [space] if isinstance(space, str) else list(space)
     known = set(FEATURE_SPACES) | {"all"}
     if any(w not in known for w in wanted):
-        raise ValueError(f"Invalid feature_space: {wanted}. Allowed: {sorted(known)}")
+        raise ValueError(f"unknown feature space in {wanted}, expected one of {sorted(known)}")
     if mode == "cumulative":
         if "all" in wanted:
             return genes
@@ -42,7 +42,7 @@ def gene_positions(genes: DataFrame, space: str | list[str], mode: str = "exact"
         raise ValueError(f"unknown mode: {mode}")
     kept = genes.where(F.col("feature_space").isin(wanted))
     if kept.isEmpty():  # one row per gene, so the check is cheap
-        raise ValueError(f"No genes found for feature_space: {wanted}")
+        raise ValueError(f"no gene belongs to {wanted}")
     return kept
 
 

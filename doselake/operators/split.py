@@ -18,7 +18,7 @@ from doselake.functions.skew import broadcast_if_small
 
 def _check(test: float, val: float) -> None:
     if test + val >= 1.0:
-        raise ValueError("Combined test and validation sizes must be less than 1.0")
+        raise ValueError("test and val together must leave a training part")
 
 
 def _ends(test: float, val: float):
@@ -106,7 +106,7 @@ def split_ratio(
     if stratify_by not in df.columns:
         raise KeyError(stratify_by)
     if df.select(stratify_by).distinct().limit(2).count() < 2:
-        raise ValueError("Need at least 2 groups for stratification")
+        raise ValueError("Need at least 2 groups to stratify by")
     return split_stratified(df, key, stratify_by, test, val, seed).drop(stratify_by)
 
 

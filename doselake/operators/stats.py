@@ -186,7 +186,7 @@ def cross_dataset_matrix(scores: DataFrame, train: str, test: str, value: str,
 
 def pivot_scores(scores: DataFrame, row: str, column: str, value: str, order: list[str]) -> DataFrame:
     """Row by column grid in a fixed column order; a repeated cell is an error."""
-    twice = F.raise_error(F.lit("Index contains duplicate entries, cannot reshape"))
+    twice = F.raise_error(F.lit("duplicate entries for one cell of the grid"))
     cell = F.when(F.count(value) > 1, twice.cast("double")).otherwise(F.first(value, ignorenulls=True))
     return scores.groupBy(row).pivot(column, order).agg(cell)
 

@@ -246,14 +246,14 @@ def char_indices(t: Tables) -> DataFrame:
 
 RUN_KEYS = """
   SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'broken_key' ELSE
-    CASE WHEN user_id % 2 = 0 THEN 'Collectri' ELSE 'Dorothea' END || '_min_n_' || (user_id % 20) || '_' || upper(event_type)
+    CASE WHEN user_id % 2 = 0 THEN 'Alpha' ELSE 'Beta' END || '_min_n_' || (user_id % 20) || '_' || upper(event_type)
   END AS k, value FROM events"""
 
 
 def _run_keys(t: Tables) -> DataFrame:
     u = F.col("user_id")
     key = F.concat(
-        F.when(u % 2 == 0, "Collectri").otherwise("Dorothea"), F.lit("_min_n_"),
+        F.when(u % 2 == 0, "Alpha").otherwise("Beta"), F.lit("_min_n_"),
         (u % 20).cast("string"), F.lit("_"), F.upper("event_type"),
     )
     return t.raw("events").select(

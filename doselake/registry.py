@@ -25,7 +25,7 @@ def create_transform(kind: str, **kw) -> Estimator | Transformer:
         return M.StandardScaler()
     if kind == "robust":
         return M.RobustScaler(kw.get("quantile_range", (25.0, 75.0)))
-    raise ValueError(f"Invalid preprocessing transform type: {kind}")
+    raise ValueError(f"unknown transform: {kind}")
 
 
 def create_features(kind: str, **kw) -> Callable[[DataFrame, str, str, str], DataFrame]:
@@ -34,7 +34,7 @@ def create_features(kind: str, **kw) -> Callable[[DataFrame, str, str, str], Dat
         return lambda df, key, s, d: chem.fingerprint_ngrams(df, s, d, **kw)
     if kind == "descriptors":
         return lambda df, key, s, d: chem.robust_descriptors(df, key, s, d, **kw)
-    raise ValueError(f"Invalid feature transform type: {kind}")
+    raise ValueError(f"unknown feature kind: {kind}")
 
 
 def create_augmentation(kind: str, **kw) -> Transformer:
@@ -43,7 +43,7 @@ def create_augmentation(kind: str, **kw) -> Transformer:
         return M.NoisyRows(**kw)
     if kind == "dropout":
         return M.FeatureDropout(**kw)
-    raise ValueError(f"Invalid augmentation type: {kind}")
+    raise ValueError(f"unknown augmentation: {kind}")
 
 
 def row_transform(df: DataFrame, column: str, fn: Callable[[Column], Column]) -> DataFrame:

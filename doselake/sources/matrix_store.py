@@ -56,7 +56,7 @@ def _select_rows(df: DataFrame, rows: Selection | DataFrame) -> DataFrame:
     wanted = [int(i) for i in rows]
     n = df.count()
     if any(i < 0 or i >= n for i in wanted):
-        raise IndexError(f"Indices out of bounds (0 to {n - 1})")
+        raise IndexError(f"row numbers must lie in 0..{n - 1}")
     listed = df.sparkSession.createDataFrame(
         list(enumerate(wanted)), "list_pos BIGINT, row_no BIGINT"
     )
@@ -69,7 +69,7 @@ def read_matrix(
 ) -> DataFrame:
     """Rows and genes of the stored matrix; a gene list or a feature space, not both."""
     if genes is not None and feature_space is not None:
-        raise ValueError("Cannot specify both a gene selection and a feature space.")
+        raise ValueError("give a gene selection or a feature space, not both")
     df = _select_rows(spark.read.parquet(f"{path}/matrix"), rows)
     if feature_space is not None:
         gene_table = spark.read.parquet(f"{path}/genes")
@@ -84,7 +84,7 @@ def read_matrix(
         return df.withColumn("values", F.transform(idx, lambda i: F.get("values", i)))
     width = spark.read.parquet(f"{path}/genes").count()
     if any(i < 0 or i >= width for i in genes):
-        raise IndexError(f"Indices out of bounds (0 to {width - 1})")
+        raise IndexError(f"gene positions must lie in 0..{width - 1}")
     idx = F.lit([int(i) for i in genes]).cast("array<int>")
     return df.withColumn("values", F.transform(idx, lambda i: F.get("values", i)))
 

@@ -90,7 +90,7 @@ def read_edges(spark: SparkSession, path: str, kind: str = "network", sep: str =
     names = spark.read.csv(path, sep=sep, header=True).columns
     absent = {"source", "target", "weight"} - set(names)
     if absent:
-        raise ValueError(f"The network must contain the columns: {sorted(absent)}")
+        raise ValueError(f"network lacks the columns {sorted(absent)}")
     types = {"weight": "DOUBLE"}
     ddl = ", ".join(f"`{c}` {types.get(c, 'STRING')}" for c in names)
     return _read_delimited(spark, path, sep, ddl, ["source", "target", "weight"], header=True)
