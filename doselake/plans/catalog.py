@@ -23,10 +23,19 @@ class Query:
 CATALOG: dict[str, Query] = {}
 
 
-def query(sql: str | None = None) -> Callable:
-    """Register a query under its function name; without SQL only rows are checked."""
+def query(sql: str | None = None, ints: tuple[str, ...] = ()) -> Callable:
+    """Register a query under its function name; without SQL only rows are checked.
+
+    ``ints`` names the SQL's columns to give as INTEGER, which Spark uses for
+    positions and row numbers where SQL counts in BIGINT.
+    """
+    text = None if sql is None else with_views(sql)
+    if ints:
+        casts = ", ".join(f"CAST({c} AS INTEGER) AS {c}" for c in ints)
+        text = f"SELECT * REPLACE ({casts}) FROM ({text})"
+
     def add(fn: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
-        CATALOG[fn.__name__] = Query(fn, None if sql is None else with_views(sql))
+        CATALOG[fn.__name__] = Query(fn, text)
         return fn
 
     return add

@@ -198,7 +198,7 @@ SELECT pert_id, canonical_smiles, m.max_length FROM (
          row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents) d,
   (SELECT least(max(len(text)), 128) AS max_length FROM (
      SELECT text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1) m
-WHERE rn = 1""")
+WHERE rn = 1""", ints=("max_length",))
 def structure_dictionary(t: Tables) -> DataFrame:
     docs = t.raw("documents").select(
         F.col("source").alias("pert_id"), F.col("text").alias("canonical_smiles"), "doc_id"

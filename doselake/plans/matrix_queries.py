@@ -126,7 +126,7 @@ def feature_dropout(t: Tables) -> DataFrame:
 @query(f"""
 WITH {OF_EXPR}, k AS (SELECT pos FROM s WHERE v > 0.015::DOUBLE)
 SELECT e.sig_id, row_number() OVER (PARTITION BY e.sig_id ORDER BY e.pos) - 1 AS pos, round(e.x, 6) AS x
-FROM expr e JOIN k USING (pos)""")
+FROM expr e JOIN k USING (pos)""", ints=("pos",))
 def variance_threshold(t: Tables) -> DataFrame:
     return cells(M.variance_threshold(t.matrix, 0.015)[0])
 

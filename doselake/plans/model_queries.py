@@ -138,7 +138,7 @@ WITH p AS (SELECT run, x, y, {_parts('n')} FROM (
 m AS (SELECT run, avg(x) AS mx, avg(y) AS my, count(*) * covar_pop(x, y) / (count(*) * var_pop(x) + 1) AS b
   FROM p WHERE split = 'train' GROUP BY run)
 SELECT run, split, round(1 - avg((y - (my + b * (x - mx))) ** 2) / var_pop(y), 5) AS r2,
-  round(corr(y, my + b * (x - mx)), 5) AS pearson FROM p JOIN m USING (run) GROUP BY run, split""")
+  round(corr(y, my + b * (x - mx)), 5) AS pearson FROM p JOIN m USING (run) GROUP BY run, split""", ints=("run",))
 def repeat_fit(t: Tables) -> DataFrame:
     scores = L.repeat_fit(t.order_rows, L.fit_ridge, "y", 2)
     return scores.select("run", "split", r("r2", 5), r("pearson", 5))

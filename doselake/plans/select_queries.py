@@ -24,14 +24,14 @@ def filter_qc(t: Tables) -> DataFrame:
 
 @query("""
 SELECT e.sig_id, row_number() OVER (PARTITION BY e.sig_id ORDER BY e.pos) - 1 AS pos, round(e.x, 6) AS x
-FROM expr e JOIN genes g USING (pos) WHERE g.feature_space = 'best inferred'""")
+FROM expr e JOIN genes g USING (pos) WHERE g.feature_space = 'best inferred'""", ints=("pos",))
 def select_genes(t: Tables) -> DataFrame:
     return cells(P.select_genes(t.matrix, t.genes, "best inferred"))
 
 
 @query("""
 SELECT e.sig_id, row_number() OVER (PARTITION BY e.sig_id ORDER BY e.pos) - 1 AS pos, round(e.x, 6) AS x
-FROM expr e JOIN genes g USING (pos) WHERE g.feature_space IN ('landmark', 'best inferred')""")
+FROM expr e JOIN genes g USING (pos) WHERE g.feature_space IN ('landmark', 'best inferred')""", ints=("pos",))
 def select_genes_cumulative(t: Tables) -> DataFrame:
     return cells(P.select_genes(t.matrix, t.genes, "best inferred", mode="cumulative"))
 
@@ -191,7 +191,7 @@ VALID_SQL = """len(smiles) >= 2 AND len(replace(smiles, '(', '')) = len(replace(
 
 
 @query(f"""
-SELECT sig_id, unnest(range(11)) AS pos, unnest(list_append({_array_sql(chem.BASIC_COUNTS)}, dosage)) AS x FROM structures""")
+SELECT sig_id, unnest(range(11)) AS pos, unnest(list_append({_array_sql(chem.BASIC_COUNTS)}, dosage)) AS x FROM structures""", ints=("pos",))
 def basic_descriptors(t: Tables) -> DataFrame:
     f = chem.basic_descriptors(F.col("smiles"), F.col("dosage")).alias("values")
     return t.structures.select("sig_id", F.posexplode_outer(f).alias("pos", "x"))
@@ -200,7 +200,7 @@ def basic_descriptors(t: Tables) -> DataFrame:
 @query(f"""
 SELECT sig_id, unnest(range(64)) AS pos,
        unnest(list_concat({_array_sql(chem.ROBUST_COUNTS)}, [0.0::DOUBLE FOR i IN range(42)], [dosage])) AS x
-FROM structures WHERE {VALID_SQL}""")
+FROM structures WHERE {VALID_SQL}""", ints=("pos",))
 def robust_descriptors(t: Tables) -> DataFrame:
     d = chem.robust_descriptors(t.structures, "sig_id", "smiles", "dosage")
     return d.select("sig_id", F.posexplode_outer("features").alias("pos", "x"))
@@ -217,7 +217,7 @@ vocab AS (SELECT tk, row_number() OVER (ORDER BY tk) AS id FROM (SELECT DISTINCT
 flat AS (SELECT p_partkey, unnest(ts) AS tk, unnest(range(len(ts))) AS pos FROM tok),
 grid AS (SELECT p_partkey, unnest(range(8)) AS pos FROM part)
 SELECT g.p_partkey, g.pos, coalesce(v.id, 0) AS token_id, CASE WHEN f.tk IS NULL THEN 0 ELSE 1 END AS mask
-FROM grid g LEFT JOIN flat f ON f.p_partkey = g.p_partkey AND f.pos = g.pos LEFT JOIN vocab v ON v.tk = f.tk""")
+FROM grid g LEFT JOIN flat f ON f.p_partkey = g.p_partkey AND f.pos = g.pos LEFT JOIN vocab v ON v.tk = f.tk""", ints=("pos", "token_id"))
 def tokenize_fixed(t: Tables) -> DataFrame:
     pattern = "[a-z]+|[A-Z]|#|[0-9]+"
     names = t.raw("part").select("p_partkey", F.concat_ws(" ", "p_name", "p_brand").alias("s"))
@@ -238,7 +238,7 @@ WITH m AS (SELECT max(len(url)) AS n FROM pages),
 g AS (SELECT page_id, url, unnest(range((SELECT n FROM m))) AS pos FROM pages)
 SELECT page_id, pos, CASE WHEN pos >= len(url) THEN 0
   WHEN instr('{ALPHABET}', substr(url, CAST(pos AS INTEGER) + 1, 1)) > 0
-  THEN instr('{ALPHABET}', substr(url, CAST(pos AS INTEGER) + 1, 1)) - 1 ELSE 1 END AS char_id FROM g""")
+  THEN instr('{ALPHABET}', substr(url, CAST(pos AS INTEGER) + 1, 1)) - 1 ELSE 1 END AS char_id FROM g""", ints=("pos", "char_id"))
 def char_indices(t: Tables) -> DataFrame:
     out = chem.char_indices(t.raw("pages").select("page_id", "url"), "url", ALPHABET)
     return out.select("page_id", F.posexplode_outer("char_ids").alias("pos", "char_id"))

@@ -56,7 +56,7 @@ def write_matrix(t: Tables) -> DataFrame:
 
 @query("""
 SELECT e.sig_id, row_number() OVER (PARTITION BY e.sig_id ORDER BY e.pos) - 1 AS pos, round(e.x, 6) AS x
-FROM expr e JOIN genes g USING (pos) WHERE g.feature_space = 'landmark' AND e.sig_id >= 20 AND e.sig_id < 220 AND e.sig_id % 2 = 0""")
+FROM expr e JOIN genes g USING (pos) WHERE g.feature_space = 'landmark' AND e.sig_id >= 20 AND e.sig_id < 220 AND e.sig_id % 2 = 0""", ints=("pos",))
 def read_matrix(t: Tables) -> DataFrame:
     return cells(MS.read_matrix(t.spark, _container(t), slice(20, 220, 2), feature_space="landmark"))
 

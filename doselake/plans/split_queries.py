@@ -65,12 +65,12 @@ def split_ratio(t: Tables) -> DataFrame:
     return X.split_ratio(t.raw("orders").select("o_orderkey"), "o_orderkey", 0.7, 0.2, 0.1, seed=7)
 
 
-@query("SELECT o_orderkey, ntile(5) OVER (ORDER BY md5('42:' || o_orderkey)) - 1 AS fold FROM orders")
+@query("SELECT o_orderkey, ntile(5) OVER (ORDER BY md5('42:' || o_orderkey)) - 1 AS fold FROM orders", ints=("fold",))
 def kfold(t: Tables) -> DataFrame:
     return X.kfold(t.raw("orders").select("o_orderkey"), "o_orderkey", 5)
 
 
-@query("SELECT o_orderkey, ntile(4) OVER (PARTITION BY o_orderstatus ORDER BY md5('42:' || o_orderkey)) - 1 AS fold FROM orders")
+@query("SELECT o_orderkey, ntile(4) OVER (PARTITION BY o_orderstatus ORDER BY md5('42:' || o_orderkey)) - 1 AS fold FROM orders", ints=("fold",))
 def kfold_stratified(t: Tables) -> DataFrame:
     o = t.raw("orders").select("o_orderkey", "o_orderstatus")
     return X.kfold(o, "o_orderkey", 4, stratum="o_orderstatus").select("o_orderkey", "fold")
@@ -79,7 +79,7 @@ def kfold_stratified(t: Tables) -> DataFrame:
 @query(f"""
 SELECT o_orderkey, run, {_parts('n')} FROM (
   SELECT o_orderkey, run, row_number() OVER (PARTITION BY run ORDER BY md5((42 + run) || ':' || o_orderkey)) AS rn,
-    count(*) OVER (PARTITION BY run) AS n FROM orders, (SELECT unnest(range(3)) AS run))""")
+    count(*) OVER (PARTITION BY run) AS n FROM orders, (SELECT unnest(range(3)) AS run))""", ints=("run",))
 def repeated_splits(t: Tables) -> DataFrame:
     return X.repeated_splits(t.raw("orders").select("o_orderkey"), "o_orderkey", 3)
 
@@ -88,7 +88,7 @@ def repeated_splits(t: Tables) -> DataFrame:
 SELECT sig_id, run, split FROM order_rows JOIN (
   SELECT cell, run, {_parts('n')} FROM (
     SELECT cell, run, row_number() OVER (PARTITION BY run ORDER BY md5((42 + run) || ':' || cell)) AS rn,
-      count(*) OVER (PARTITION BY run) AS n FROM (SELECT DISTINCT cell FROM order_rows), (SELECT unnest(range(3)) AS run))) USING (cell)""")
+      count(*) OVER (PARTITION BY run) AS n FROM (SELECT DISTINCT cell FROM order_rows), (SELECT unnest(range(3)) AS run))) USING (cell)""", ints=("run",))
 def repeated_splits_group(t: Tables) -> DataFrame:
     return X.repeated_splits(t.order_rows.select("sig_id", "cell"), "sig_id", 3, group="cell").select("sig_id", "run", "split")
 

@@ -243,7 +243,7 @@ def best_and_last(t: Tables) -> DataFrame:
 
 @query("""
 SELECT run, metric, step, value, rank FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY value, step, metric) AS rank FROM history)
-WHERE rank <= 3""")
+WHERE rank <= 3""", ints=("rank",))
 def keep_top_k(t: Tables) -> DataFrame:
     unique = F.struct("step", "metric")
     return W.keep_top_k(t.history.withColumn("at", unique), ["run"], 3, step="at").drop("at")
