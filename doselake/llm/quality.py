@@ -36,12 +36,19 @@ _hashes = _Hashes()
 
 
 def buckets(text: str) -> np.ndarray:
-    """Bucket of each word and of each pair of neighbouring words, repeats included."""
+    """Bucket of each word, of each pair of neighbours, and of each four words' pattern; repeats included.
+
+    The pattern of four words is which of the three earlier the last one equals.
+    """
     words = WORDS(text)
     h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
     one = (h + np.uint64(1)) * _PRIMES[0]
     two = (one[:-1] ^ (one[1:] >> np.uint64(7))) * _PRIMES[1]
-    return (np.concatenate([one, two]) >> np.uint64(64 - BITS)).astype(np.int64)
+    same = np.zeros(max(0, len(h) - 1), np.uint64)
+    for back in (1, 2, 3):
+        same[back - 1:] += (h[back:] == h[:-back]) * np.uint64(1 << back)
+    three = (same + np.uint64(3)) * _PRIMES[1]
+    return (np.concatenate([one, two, three]) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doselake.llm import bytebpe, chat, fingerprints, neighbours, quality, tokencount, urls
+from doselake.llm import bytebpe, chat, fingerprints, mixing, neighbours, quality, secrets, simhash, tokencount, urls
 from doselake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,19 @@ def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 def op10_ann(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "embeddings")
     return neighbours.nearest(rows, rows.where(F.col("vec_id") % 100 == 0), k=10)
+
+
+@query()
+def op6_mix(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return mixing.mix(docs, mixing.tempered(docs))
+
+
+@query()
+def op1_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.digest_columns(secrets.find_secrets(table(spark, folder, "documents")))
+
+
+@query()
+def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"))
