@@ -21,10 +21,14 @@ from doselake.llm.components import connect
 WORDS = 4
 SEED = 42
 DISTANCE = 4
-#: Segments of a fingerprint, as (lowest bit, bits, radius). Two fingerprints
-#: that differ in 4 bits or fewer differ by no more than the radius in one
-#: segment at least: radius + 1 in each would be 2 + 2 + 1 = 5 bits.
-SEGMENTS = ((0, 22, 1), (22, 21, 1), (43, 21, 0))
+#: Segments of a fingerprint: lowest bit, bits, radius of the Hamming ball under
+#: which a fingerprint is stored, and of the ball it looks up. Segments are found
+#: to differ by up to the sum of both radii, 2 and 1: fingerprints that differ
+#: more in both differ in 3 + 2 bits. Halves are used because a table of 32 bits
+#: keeps chance meetings few in very large corpora.
+SEGMENTS = ((0, 32, 1, 1), (32, 32, 0, 1))
+#: Orders of the first pass: lowest bit and bits of the leading part.
+ORDERS = ((0, 22), (22, 21), (43, 21))
 
 
 def fingerprint(text: str) -> int:
@@ -79,7 +83,7 @@ def near_in_order(prints: DataFrame, reach: int = 24) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(fp[has]), pa.array(fp[to[has]])], schema=schema)
 
     out = None
-    for low, bits, _ in SEGMENTS:
+    for low, bits in ORDERS:
         key = segment(F.col("fp"), low, bits)
         turned = F.shiftleft("fp", (64 - low - bits) % 64).bitwiseOR(F.shiftrightunsigned("fp", low + bits)) if low + bits < 64 else F.col("fp")
         ordered = prints.select("fp").repartition(key).sortWithinPartitions(key, turned)
@@ -91,24 +95,24 @@ def near_in_order(prints: DataFrame, reach: int = 24) -> DataFrame:
 def table_links(prints: DataFrame) -> DataFrame:
     """All links between different groups of ``prints (fp, root)``: edges ``a, b`` of roots.
 
-    Multi-index hashing: each fingerprint is stored in one table per segment
-    under that segment's bits, and looks up every value in the Hamming ball of
-    the segment's radius around its own. A value where all that meet are of one
-    group cannot give a link between groups and is dropped before the join, so a
-    dense group costs its size, not its pairs. Whole distances verify the rest.
+    Multi-index hashing: in one table per segment each fingerprint is stored
+    under the values of a small Hamming ball around its own bits, and looks up
+    those of another. A value where all that meet are of one group cannot give a
+    link between groups and is dropped before the join, so a dense group costs
+    its size, not its pairs. Whole distances verify the rest.
     """
-    stored_in, looked_up = [], []
-    for s, (low, bits, radius) in enumerate(SEGMENTS):
-        own = segment(F.col("fp"), low, bits)
-        masks = [0] + ([1 << i for i in range(bits)] if radius else [])
-        stored_in.append(prints.select(F.lit(s).cast("tinyint").alias("s"), own.alias("v"), "fp", "root"))
-        looked_up.append(
-            prints.select("fp", "root", own.alias("own"), F.explode(F.array(*map(F.lit, masks))).alias("x")).select(
-                F.lit(s).cast("tinyint").alias("s"), F.col("own").bitwiseXOR(F.col("x")).alias("v"), "fp", "root"
-            )
-        )
-    kept = stored_in[0].unionByName(stored_in[1]).unionByName(stored_in[2])
-    asked = looked_up[0].unionByName(looked_up[1]).unionByName(looked_up[2])
+
+    def ball(s: int, low: int, bits: int, radius: int) -> DataFrame:
+        masks = [0] + [1 << i for i in range(bits)] * radius
+        return prints.select(
+            "fp", "root", segment(F.col("fp"), low, bits).alias("own"),
+            F.explode(F.array(*[F.lit(m).cast("bigint") for m in masks])).alias("x"),
+        ).select(F.lit(s).cast("tinyint").alias("s"), F.col("own").bitwiseXOR(F.col("x")).alias("v"), "fp", "root")
+
+    kept, asked = None, None
+    for s, (low, bits, held, reach) in enumerate(SEGMENTS):
+        a, b = ball(s, low, bits, held), ball(s, low, bits, reach)
+        kept, asked = (a, b) if kept is None else (kept.unionByName(a), asked.unionByName(b))
     # a value is worth a visit if a fingerprint is stored there and two groups meet
     ends = lambda df, p: df.groupBy("s", "v").agg(F.min("root").alias(f"{p}0"), F.max("root").alias(f"{p}1"))
     mixed = ends(kept, "k").join(ends(asked, "q"), ["s", "v"]).where("k0 != k1 OR q0 != q1 OR k0 != q0").select("s", "v")
