@@ -16,7 +16,7 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField, Str
 from doselake.llm.common import arrow_map, text_or_empty
 
 #: Pieces remembered per worker; the table is emptied when it is full.
-MEMO = 400_000
+MEMO = 150_000
 #: Bytes of a piece up to which trees are worked side by side.
 LONG = 256
 NONE = 1 << 62

@@ -17,8 +17,8 @@ from doselake.llm.common import arrow_map, text_or_empty
 
 BITS = 18
 #: Labelled rows the model is fitted on at most, chosen by a hash of the id.
-TRAIN_ROWS = 12_000
-MEMO = 400_000
+TRAIN_ROWS = 8_000
+MEMO = 100_000
 #: Words, and runs of signs other than letters, digits and white space.
 WORDS = re.compile(r"\w+|[^\w\s]+").findall
 _PRIMES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -80,7 +80,8 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Sparse vector of a text: n-gram counts over the root of their number, and the bias."""
     b = buckets(text)
     at, count = np.unique(b, return_counts=True)
-    return np.append(at, 1 << BITS), np.append(count / np.sqrt(max(1, len(b))), 1.0)
+    x = np.append(count / np.sqrt(max(1, len(b))), 1.0)
+    return np.append(at, 1 << BITS).astype(np.int32), x.astype(np.float32)
 
 
 def fit(training: DataFrame, passes: int = 3) -> np.ndarray:

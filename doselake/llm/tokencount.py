@@ -14,7 +14,7 @@ from doselake.llm.common import arrow_map, text_or_empty
 
 SPACE = "▁"
 #: Words remembered, states compiled and pairs judged per worker; each table is emptied when it is full.
-MEMO, STATES, PAIRS = 400_000, 200_000, 400_000
+MEMO, STATES, PAIRS = 250_000, 120_000, 300_000
 #: Code points of a chunk whose state map is computed on its own.
 CHUNK = 65_536
 
