@@ -35,11 +35,24 @@ def parse_run_key(df: DataFrame, column: str) -> DataFrame:
     )
 
 
-def flatten_metrics(
-    df: DataFrame, keys: list[str], column: str, sep: str = "/", depth: int = 3
-) -> DataFrame:
-    """Nested JSON metrics to rows ``(keys, metric, value)``; non-numbers dropped."""
+def flatten_metrics(df: DataFrame, keys: list[str], column: str, sep: str = "/") -> DataFrame:
+    """Nested JSON metrics to rows ``(keys, metric, value)``; non-numbers dropped.
+
+    Descends as deep as the data goes: the number of levels is that of the
+    deepest record, read off its brackets in one scan before the plan is built.
+    """
     record = "map<string,string>"
+    inside = F.regexp_replace(column, r'"(?:[^"\\\\]|\\\\.)*"', "")  # brackets in strings do not count
+    walked = F.aggregate(
+        F.split(F.regexp_replace(inside, "[^{}]", ""), ""),
+        F.struct(F.lit(0).alias("at"), F.lit(0).alias("most")),
+        lambda s, c: F.struct(
+            (s["at"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)).alias("at"),
+            F.greatest(s["most"], s["at"] + F.when(c == "{", 1).otherwise(0)).alias("most"),
+        ),
+        lambda s: s["most"],
+    )
+    depth = df.agg(F.max(walked)).first()[0] or 1
     level = df.select(*keys, F.explode(F.from_json(column, record)).alias("metric", "_v"))
     for _ in range(depth - 1):
         inner = F.when(F.col("_v").startswith("{"), F.from_json("_v", record))
