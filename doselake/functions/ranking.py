@@ -15,10 +15,11 @@ HASH_PREFIX = 4  # hex digits, so 65,536 buckets of equal expected size
 
 
 def seeded_hash(seed: int | str | Column, key: str | Column) -> Column:
-    """``md5(seed:key)`` as hex text: uniform, portable, and order-independent."""
+    """``md5(seed:key)`` as hex text: uniform, portable, and order-independent; a null key counts as empty."""
     seed = seed if isinstance(seed, Column) else F.lit(str(seed))
     key = F.col(key) if isinstance(key, str) else key
-    return F.md5(F.concat(seed.cast("string"), F.lit(":"), key.cast("string")).cast("binary"))
+    text = F.coalesce(key.cast("string"), F.lit(""))
+    return F.md5(F.concat(seed.cast("string"), F.lit(":"), text).cast("binary"))
 
 
 def blocked_row_number(
@@ -79,11 +80,12 @@ def hash_cuts(
     targets: Callable[[Column], list[Column]],
     strata: list[str] | None = None,
 ) -> DataFrame:
-    """Hash values at given ranks: one row per stratum, column ``cuts`` (map).
+    """Hash values at given ranks: one row per stratum, maps ``cuts``, ``takes``, ``shared``.
 
-    ``targets(n)`` gives the wanted ranks for a stratum of ``n`` rows. Pass one
-    counts rows per hash prefix; pass two sorts only the buckets that hold a
-    wanted rank, each about 1/65,536 of its stratum.
+    ``targets(n)`` gives the wanted ranks for a stratum of ``n`` rows. Of the
+    ``shared`` rows with the hash of a cut, ``takes`` are within its rank. Pass
+    one counts rows per hash prefix; pass two sorts only the distinct values of
+    the buckets that hold a wanted rank, each about 1/65,536 of its stratum.
     """
     strata = strata or []
     rows = df.select(*strata, F.col(hash_col).alias("_h")).withColumn(
@@ -101,16 +103,82 @@ def hash_cuts(
         .where((F.col("_t") > F.col("_cum") - F.col("_c")) & (F.col("_t") <= F.col("_cum")))
         .select(*strata, "_pre", "_i", (F.col("_t") - F.col("_cum") + F.col("_c")).alias("_k"))
     )
-    # a few rows per stratum: small unless there are very many strata
-    w = broadcast_if_small(wanted.select(
+    w = wanted.select(
         *[F.col(s).alias(f"_s{j}") for j, s in enumerate(strata)], F.col("_pre").alias("_wp"), "_i", "_k"
-    ))
+    )
+    # one row per wanted rank and stratum: bounded by construction without strata
+    w = broadcast_if_small(w) if strata else F.broadcast(w)
     cond = F.col("_pre") == F.col("_wp")
     for j, s in enumerate(strata):
         cond = cond & F.col(s).eqNullSafe(F.col(f"_s{j}"))
-    inside = rows.join(w, cond, "inner")
+    # equal values are counted before they meet, so a hot key is one row here
+    inside = rows.join(w, cond, "inner").groupBy(*strata, "_pre", "_i", "_k", "_h").agg(
+        F.count(F.lit(1)).alias("_c")
+    )
     nth = Window.partitionBy(*strata, "_pre", "_i", "_k").orderBy("_h")
-    found = inside.withColumn("_rn", F.row_number().over(nth)).where(F.col("_rn") == F.col("_k"))
+    take = F.col("_k") - F.col("_cum") + F.col("_c")
+    found = inside.withColumn("_cum", F.sum("_c").over(nth)).where((take >= 1) & (take <= F.col("_c")))
+    entries = lambda v: F.map_from_entries(F.collect_list(F.struct(F.col("_i"), v)))
     return found.groupBy(*strata).agg(
-        F.map_from_entries(F.collect_list(F.struct("_i", "_h"))).alias("cuts")
+        entries(F.col("_h")).alias("cuts"), entries(take).alias("takes"), entries(F.col("_c")).alias("shared")
+    )
+
+
+def beyond_cuts(
+    df: DataFrame,
+    hash_col: str,
+    targets: Callable[[Column], list[Column]],
+    strata: list[str] | None = None,
+    out: str = "beyond",
+) -> DataFrame:
+    """Adds how many of the wanted ranks a row lies beyond, in the order of ``hash_col``.
+
+    Each rank is met exactly. Rows are compared with the cut values where they
+    lie; only rows that share a value which a cut divides are numbered, in the
+    order of their columns. Fully equal rows are interchangeable.
+    """
+    strata = strata or []
+    cuts = cut_lineage(hash_cuts(df, hash_col, targets, strata))
+    at = cuts.select(*[F.col(s).alias(f"_s{j}") for j, s in enumerate(strata)], F.struct("cuts", "takes", "shared").alias("_at"))
+    if strata:
+        same = F.lit(True)
+        for j, s in enumerate(strata):
+            same = same & F.col(s).eqNullSafe(F.col(f"_s{j}"))
+        rows = df.join(broadcast_if_small(at), same, "left").select(*df.columns, "_at")
+    else:
+        rows = df.withColumn("_at", at.scalar())
+
+    h = F.col(hash_col)
+    spots = range(len(targets(F.lit(1))))
+    of = lambda name, i: F.try_element_at(F.col(f"_at.{name}"), F.lit(i))
+
+    def count_beyond(number: Column) -> Column:
+        each = [
+            F.when((h < of("cuts", i)) | ((h == of("cuts", i)) & (number <= of("takes", i))), 0).otherwise(1)
+            for i in spots
+        ]
+        return sum(each[1:], each[0])
+
+    divided = F.exists(F.map_keys("takes"), lambda i: F.element_at("takes", i) < F.element_at("shared", i))
+    if cuts.where(divided).isEmpty():
+        return rows.withColumn(out, count_beyond(F.lit(0))).drop("_at")
+    split = F.lit(False)
+    for i in spots:
+        split = split | F.coalesce((h == of("cuts", i)) & (of("takes", i) < of("shared", i)), F.lit(False))
+    whole = rows.where(~split).withColumn(out, count_beyond(F.lit(0)))
+    sortable = [
+        f.name for f in df.schema if f.name not in (hash_col, *strata)
+        and not any(t in f.dataType.simpleString() for t in ("map<", "variant", "void"))
+    ]
+    tied = rows.where(split).withColumn("_mid0", F.monotonically_increasing_id())
+    tied = global_row_number(tied, [*strata, hash_col, *sortable, "_mid0"], "_no")
+    first = tied.groupBy(*strata, hash_col).agg(F.min("_no").alias("_first")).select(
+        *[F.col(s).alias(f"_s{j}") for j, s in enumerate(strata)], F.col(hash_col).alias("_h0"), "_first"
     )
+    same = h == F.col("_h0")
+    for j, s in enumerate(strata):
+        same = same & F.col(s).eqNullSafe(F.col(f"_s{j}"))
+    # one row per divided value
+    numbered = tied.join(broadcast_if_small(first) if strata else F.broadcast(first), same)
+    numbered = numbered.withColumn(out, count_beyond(F.col("_no") - F.col("_first") + 1))
+    return whole.drop("_at").unionByName(numbered.select(*df.columns, out))

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from doselake.functions.ranking import global_row_number
-from doselake.operators.matrix import exploded
 from doselake.schema import nan_to_null, require_columns
 
 METADATA = ("cell_mfc_name", "viability", "pert_dose")
@@ -34,27 +33,40 @@ def _require_metadata(matrix: DataFrame, metadata: tuple[str, ...]) -> None:
 
 def tf_activity_ulm(
     matrix: DataFrame, genes: DataFrame, network: DataFrame, min_n: int = 1, key: str = "sig_id",
-    metadata: tuple[str, ...] = METADATA, max_edges: int = MAX_EDGES,
+    metadata: tuple[str, ...] = METADATA,
 ) -> DataFrame:
     """t value of expression regressed on one factor's weights, per (row, factor).
 
     Genes are those the network shares with the matrix; a gene the factor does
     not regulate weighs 0. Factors with fewer than ``min_n`` targets are left
-    out. A network of at most ``max_edges`` travels as one value and every row
-    is solved where it lies; a larger one is joined in the long form.
+    out. A gene missing in a row is left out of that row's regressions; the
+    value is NULL where too little is left. ``key`` names a row.
+
+    Sums over a row's own genes are taken on its array. Only the cells of shared
+    genes meet the edges, and their products are summed before the shuffle.
     """
     _require_metadata(matrix, metadata)
     edges = _network_edges(genes, network)
-    universe = edges.select("pos").distinct()
-    factors = edges.groupBy("source").agg(
-        F.count(F.lit(1)).alias("k"), F.sum("weight").alias("sw"),
-        F.sum(F.col("weight") * F.col("weight")).alias("sww"),
-    ).where(F.col("k") >= min_n)
-    if edges.limit(max_edges + 1).count() <= max_edges:
-        sums = _ulm_local(matrix, edges, universe, factors, key, metadata)
-    else:
-        sums = _ulm_joined(matrix, edges, universe, factors, key)
-        sums = sums.join(matrix.select(key, *metadata), key)
+    kept = edges.groupBy("source").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= min_n)
+    # at most one position per gene of a row
+    spots = edges.select("pos").distinct().agg(F.array_sort(F.collect_list("pos")))
+    cells = matrix.withColumn("_u", spots.scalar()).select(
+        key, *metadata,
+        F.transform("_u", lambda i: F.struct(
+            i.alias("pos"), nan_to_null(F.get("values", i).cast("double")).alias("x")
+        )).alias("_c"),
+    )
+    there = F.filter(F.col("_c.x"), lambda x: x.isNotNull())
+    cells = cells.withColumn("_x", there).select(
+        key, *metadata, F.size("_x").cast("double").alias("n"),
+        F.aggregate("_x", F.lit(0.0), lambda a, x: a + x).alias("sx"),
+        F.aggregate("_x", F.lit(0.0), lambda a, x: a + x * x).alias("sxx"),
+        F.inline("_c"),
+    )
+    w = F.when(F.col("x").isNotNull(), F.col("weight"))
+    sums = cells.join(edges.join(kept, "source", "left_semi"), "pos").groupBy(
+        key, *metadata, "n", "sx", "sxx", "source"
+    ).agg(F.sum(w).alias("sw"), F.sum(w * w).alias("sww"), F.sum(w * F.col("x")).alias("swx"))
     n = F.col("n")
     cov = n * F.col("swx") - F.col("sw") * F.col("sx")
     vw = n * F.col("sww") - F.col("sw") * F.col("sw")
@@ -64,45 +76,6 @@ def tf_activity_ulm(
     return sums.withColumn("r", r).select(key, *metadata, "source", t.alias("activity"))
 
 
-def _ulm_local(
-    matrix: DataFrame, edges: DataFrame, universe: DataFrame, factors: DataFrame, key: str,
-    metadata: tuple[str, ...],
-) -> DataFrame:
-    per_factor = edges.join(factors.select("source", "sw", "sww"), "source").groupBy("source").agg(
-        F.first("sw").alias("sw"), F.first("sww").alias("sww"),
-        F.collect_list(F.struct("pos", "weight")).alias("e"),
-    )
-    net = per_factor.agg(F.collect_list(F.struct("source", "sw", "sww", "e")))
-    spots = universe.agg(F.array_sort(F.collect_list("pos")))
-    picked = matrix.withColumn("_u", spots.scalar()).withColumn("_net", net.scalar()).withColumn(
-        "_x", F.transform("_u", lambda i: nan_to_null(F.get("values", i).cast("double")))
-    )
-    summed = picked.select(
-        key, *metadata, "values",
-        F.size("_u").cast("double").alias("n"),
-        F.aggregate("_x", F.lit(0.0), lambda a, x: a + x).alias("sx"),
-        F.aggregate("_x", F.lit(0.0), lambda a, x: a + x * x).alias("sxx"),
-        F.explode("_net").alias("f"),
-    )
-    dot = F.aggregate(
-        "f.e", F.lit(0.0), lambda a, e: a + e["weight"] * nan_to_null(F.get("values", e["pos"]).cast("double"))
-    )
-    return summed.select(key, *metadata, F.col("f.source").alias("source"), "n", "sx", "sxx",
-                         F.col("f.sw").alias("sw"), F.col("f.sww").alias("sww"), dot.alias("swx"))
-
-
-def _ulm_joined(matrix: DataFrame, edges: DataFrame, universe: DataFrame, factors: DataFrame, key: str) -> DataFrame:
-    long = exploded(matrix, [key]).join(universe, "pos").select(
-        key, "pos", nan_to_null(F.col("x").cast("double")).alias("x")
-    )
-    rows = long.groupBy(key).agg(
-        F.sum("x").alias("sx"), F.sum(F.col("x") * F.col("x")).alias("sxx"),
-        F.count(F.lit(1)).cast("double").alias("n"),
-    )
-    dots = long.join(edges, "pos").groupBy(key, "source").agg(F.sum(F.col("x") * F.col("weight")).alias("swx"))
-    return dots.join(factors.select("source", "sw", "sww"), "source").join(rows, key)
-
-
 def _independent(w: np.ndarray) -> list[int]:
     """Columns kept in order, those that depend on earlier ones dropped."""
     basis: list[np.ndarray] = [np.ones(w.shape[0]) / np.sqrt(w.shape[0])]

@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from doselake.session import cut_lineage
 
-MAX_ROUNDS = 1000
-
 
 def nodes(edges: DataFrame) -> DataFrame:
     both = F.explode(F.array("parent", "child"))
@@ -41,21 +39,28 @@ def genes_below(edges: DataFrame, genes: DataFrame) -> DataFrame:
         links.join(known, links["term"] == known["gene"]).select(F.col("parent").alias("term"), "gene")
     )
     frontier = found
-    for _ in range(MAX_ROUNDS):
+    while True:  # every round but the last adds a pair
         step = frontier.join(links, "term").select(F.col("parent").alias("term"), "gene").distinct()
         frontier = cut_lineage(step.join(found, ["term", "gene"], "left_anti"))
         if frontier.isEmpty():
             return found
         found = cut_lineage(found.unionByName(frontier))
-    raise ValueError("ontology is deeper than allowed")
 
 
 def filter_ontology(edges: DataFrame, genes: DataFrame) -> DataFrame:
-    """Edges whose child is a known gene or has one among its descendants."""
-    useful = genes.select(F.col("node").alias("child")).unionByName(
-        genes_below(edges, genes).select(F.col("term").alias("child"))
-    ).distinct()
-    return edges.join(useful, "child", "left_semi").select(edges.columns)
+    """Edges whose child is a known gene or has one among its descendants.
+
+    Only the set of useful nodes is walked upwards, never (term, gene) pairs.
+    """
+    links = edges.select("parent", "child").distinct()
+    useful = cut_lineage(genes.select(F.col("node").alias("child")).distinct())
+    frontier = useful
+    while True:  # every round but the last adds a node
+        step = frontier.join(links, "child").select(F.col("parent").alias("child")).distinct()
+        frontier = cut_lineage(step.join(useful, "child", "left_anti"))
+        if frontier.isEmpty():
+            return edges.join(useful, "child", "left_semi").select(edges.columns)
+        useful = cut_lineage(useful.unionByName(frontier))
 
 
 def term_sizes(edges: DataFrame, genes: DataFrame) -> DataFrame:
@@ -88,8 +93,8 @@ def ontology_layers(edges: DataFrame) -> DataFrame:
     links = cut_lineage(edges.select("parent", F.col("child").alias("node")).distinct())
     frontier = cut_lineage(ontology_leaves(edges))
     layers = frontier.withColumn("layer", F.lit(0))
-    bound = min(MAX_ROUNDS, nodes(edges).count())
-    for r in range(1, bound + 1):
+    # without a cycle no way is longer than the number of nodes
+    for r in range(1, nodes(edges).count() + 1):
         frontier = cut_lineage(frontier.join(links, "node").select(F.col("parent").alias("node")).distinct())
         if frontier.isEmpty():
             return layers.groupBy("node").agg(F.max("layer").alias("layer"))

@@ -2,7 +2,7 @@
 
 A row's part depends on where ``md5(seed:key)`` falls among a few cut points.
 Finding the cuts counts hash prefixes and sorts one bucket; labelling is a
-projection. Rows are never shuffled, ranked, or numbered.
+projection. Only rows of a key that a cut divides are ever numbered.
 """
 
 from __future__ import annotations
@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from doselake.functions.quantiles import exact_quantiles
-from doselake.functions.ranking import hash_cuts, seeded_hash
-from doselake.functions.skew import broadcast_if_small
+from doselake.functions.ranking import beyond_cuts, hash_cuts, seeded_hash
 
 
 def _check(test: float, val: float) -> None:
@@ -38,25 +37,32 @@ def _label(h: Column, cuts: Column) -> Column:
     )
 
 
+def _named(beyond: str) -> Column:
+    """Part of a row that lies beyond none, one, or both ends."""
+    return F.when(F.col(beyond) == 0, "test").when(F.col(beyond) == 1, "val").otherwise("train")
+
+
 def split_random(df: DataFrame, key: str, test: float = 0.2, val: float = 0.1, seed: int = 42) -> DataFrame:
-    """Adds ``split``: test first, then ``val / (1 - test)`` of the rest."""
+    """Adds ``split``: test first, then ``val / (1 - test)`` of the rest.
+
+    Sizes are exact for repeating and null keys too: rows of the one key that
+    a part's end divides are taken in the order of their columns.
+    """
     _check(test, val)
     hashed = df.withColumn("_h", seeded_hash(seed, key))
-    cuts = hash_cuts(hashed, "_h", _ends(test, val))
-    return hashed.withColumn("_cuts", cuts.scalar()).withColumn(
-        "split", _label(F.col("_h"), F.col("_cuts"))
-    ).drop("_h", "_cuts")
+    placed = beyond_cuts(hashed, "_h", _ends(test, val), out="_beyond")
+    return placed.withColumn("split", _named("_beyond")).drop("_h", "_beyond")
 
 
 def split_group(df: DataFrame, group: str, test: float = 0.2, val: float = 0.1, seed: int = 42) -> DataFrame:
-    """Whole groups go to one part; fractions count groups."""
+    """Whole groups go to one part; fractions count groups. Null and empty are one group."""
     _check(test, val)
-    groups = df.select(group).distinct()
+    unit = F.coalesce(F.col(group).cast("string"), F.lit(""))
+    groups = df.select(unit.alias("_g")).distinct()
     if groups.limit(3).count() < 3:
         raise ValueError(f"group split needs at least 3 groups of {group}")
-    hashed = groups.withColumn("_h", seeded_hash(seed, F.coalesce(F.col(group).cast("string"), F.lit(""))))
-    cuts = hash_cuts(hashed, "_h", _ends(test, val))
-    h = seeded_hash(seed, F.coalesce(F.col(group).cast("string"), F.lit("")))
+    cuts = hash_cuts(groups.withColumn("_h", seeded_hash(seed, "_g")), "_h", _ends(test, val)).select("cuts")
+    h = seeded_hash(seed, unit)
     return df.withColumn("_cuts", cuts.scalar()).withColumn("split", _label(h, F.col("_cuts"))).drop("_cuts")
 
 
@@ -70,11 +76,6 @@ def quantile_bins(df: DataFrame, column: str, bins: int = 10, out: str = "stratu
     ).drop("_edges")
 
 
-def _with_cuts(hashed: DataFrame, cuts: DataFrame, stratum: str) -> DataFrame:
-    c = broadcast_if_small(cuts.select(F.col(stratum).alias("_s"), "cuts"))
-    return hashed.join(c, F.col(stratum).eqNullSafe(F.col("_s")), "left").drop("_s")
-
-
 def split_stratified(
     df: DataFrame, key: str, column: str, test: float = 0.2, val: float = 0.1, seed: int = 42, bins: int = 10
 ) -> DataFrame:
@@ -88,10 +89,8 @@ def split_stratified(
     numeric = isinstance(df.schema[column].dataType, NumericType)
     binned = quantile_bins(df, column, bins, "_stratum") if numeric else df.withColumn("_stratum", F.col(column))
     hashed = binned.withColumn("_h", seeded_hash(seed, key))
-    cuts = hash_cuts(hashed, "_h", targets, ["_stratum"])
-    return _with_cuts(hashed, cuts, "_stratum").withColumn(
-        "split", _label(F.col("_h"), F.col("cuts"))
-    ).drop("_h", "cuts", "_stratum")
+    placed = beyond_cuts(hashed, "_h", targets, ["_stratum"], "_beyond")
+    return placed.withColumn("split", _named("_beyond")).drop("_h", "_beyond", "_stratum")
 
 
 def split_ratio(
@@ -116,17 +115,10 @@ def kfold(df: DataFrame, key: str, n: int = 5, seed: int = 42, stratum: str | No
         base, extra = F.floor(total / n), total % n
         return [base * (i + 1) + F.least(F.lit(i + 1), extra) for i in range(n - 1)]
 
+    if n == 1:
+        return df.withColumn("fold", F.lit(0))
     hashed = df.withColumn("_h", seeded_hash(seed, key))
-    if stratum is None:
-        hashed = hashed.withColumn("cuts", hash_cuts(hashed, "_h", targets).scalar())
-    else:
-        hashed = _with_cuts(hashed, hash_cuts(hashed, "_h", targets, [stratum]), stratum)
-    beyond = [
-        F.coalesce(F.col("_h") > F.try_element_at("cuts", F.lit(i)), F.lit(True)).cast("int")
-        for i in range(n - 1)
-    ]
-    fold = sum(beyond[1:], beyond[0]) if beyond else F.lit(0)
-    return hashed.withColumn("fold", fold).drop("_h", "cuts")
+    return beyond_cuts(hashed, "_h", targets, [stratum] if stratum else None, "fold").drop("_h")
 
 
 def repeated_splits(
@@ -135,13 +127,16 @@ def repeated_splits(
 ) -> DataFrame:
     """One row per (row, run) with a fresh split per run, of rows or whole groups."""
     _check(test, val)
-    unit = group or key
     run = F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run")
-    h = seeded_hash(F.col("run") + seed, unit)
-    units = df.select(unit).distinct() if group else df.select(unit)
-    hashed = units.select(unit, run).withColumn("_h", h)
+    h = seeded_hash(F.col("run") + seed, group or key)
+    if not group:
+        hashed = df.select("*", run).withColumn("_h", h)
+        placed = beyond_cuts(hashed, "_h", _ends(test, val), ["run"], "_beyond")
+        return placed.withColumn("split", _named("_beyond")).drop("_h", "_beyond")
+    units = df.select(F.coalesce(F.col(group).cast("string"), F.lit("")).alias(group)).distinct()
+    hashed = units.select(group, run).withColumn("_h", h)
     # one row per run
-    cuts = F.broadcast(hash_cuts(hashed, "_h", _ends(test, val), ["run"]))
+    cuts = F.broadcast(hash_cuts(hashed, "_h", _ends(test, val), ["run"]).select("run", "cuts"))
     return df.select("*", run).join(cuts, "run").withColumn("split", _label(h, F.col("cuts"))).drop("cuts")
 
 

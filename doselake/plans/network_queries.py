@@ -26,6 +26,21 @@ def tf_activity_ulm(t: Tables) -> DataFrame:
     return G.tf_activity_ulm(rows, t.genes, t.network, min_n=5).select("sig_id", "source", "cell_mfc_name", r("activity", 5))
 
 
+# A gene missing in a row is left out of that row's regressions.
+@query("""
+WITH e AS (SELECT n.source, g.pos, sum(n.weight) AS w FROM network n JOIN genes g ON g.gene_symbol = n.target GROUP BY 1, 2),
+u AS (SELECT DISTINCT pos FROM e),
+k AS (SELECT source FROM e GROUP BY 1 HAVING count(*) >= 5),
+x AS (SELECT sig_id, count(x)::DOUBLE AS n, sum(x) AS sx, sum(x * x) AS sxx FROM gaps JOIN u USING (pos) GROUP BY 1),
+d AS (SELECT sig_id, source, sum(x * w) AS swx, sum(w) FILTER (x IS NOT NULL) AS sw, sum(w * w) FILTER (x IS NOT NULL) AS sww
+  FROM gaps JOIN e USING (pos) JOIN k USING (source) GROUP BY 1, 2),
+rr AS (SELECT sig_id, source, n, (n * swx - sw * sx) / (sqrt(n * sww - sw * sw) * sqrt(n * sxx - sx * sx)) AS r
+  FROM d JOIN x USING (sig_id))
+SELECT sig_id, source, round(r * sqrt((n - 2) / ((1 - r) * (1 + r))), 5) AS activity FROM rr""")
+def tf_activity_ulm_gaps(t: Tables) -> DataFrame:
+    return G.tf_activity_ulm(t.gappy, t.genes, t.network, min_n=5, metadata=()).select("sig_id", "source", r("activity", 5))
+
+
 @query()
 def tf_activity_mlm(t: Tables) -> DataFrame:
     return G.tf_activity_mlm(t.matrix, t.genes, t.network).select("sig_id", "source", r("activity", 5))

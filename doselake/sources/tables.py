@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doselake import schema as S
-from doselake.functions.ranking import hash_cuts, seeded_hash
+from doselake.functions.ranking import beyond_cuts, seeded_hash
 
 
 def _read_delimited(
@@ -43,16 +43,15 @@ def read_csv(
 
 
 def sample_rows(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
-    """The ``n`` rows of smallest ``md5(seed:key)``; all rows when there are fewer.
+    """Exactly ``n`` rows, of smallest ``md5(seed:key)``; all rows when there are fewer.
 
     Finding the cut costs two narrow passes, and the rows themselves are only
-    filtered, so a large sample is never sorted in one place.
+    filtered, so a large sample is never sorted in one place. A null key counts
+    as empty; rows of the key that the cut divides go in the order of their columns.
     """
     hashed = df.withColumn("_h", seeded_hash(seed, key))
-    cut = hash_cuts(hashed, "_h", lambda total: [F.lit(n)]).select(F.get_json_object(F.to_json("cuts"), "$.0"))
-    return hashed.withColumn("_cut", cut.scalar()).where(
-        F.col("_cut").isNull() | (F.col("_h") <= F.col("_cut"))
-    ).drop("_h", "_cut")
+    placed = beyond_cuts(hashed, "_h", lambda total: [F.least(F.lit(n).cast("bigint"), total)], out="_beyond")
+    return placed.where("_beyond = 0").drop("_h", "_beyond")
 
 
 def read_csv_sampled(

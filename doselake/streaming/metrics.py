@@ -7,8 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+#: Windows computed at a time.
+FRAMES = 4096
+
 
 def _types(df: DataFrame, names: list[str]) -> str:
     return ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
@@ -20,36 +24,62 @@ def _in_order(batches: Iterator[pd.DataFrame], step: str) -> pd.DataFrame:
     return pd.concat(parts, ignore_index=True).sort_values(step, kind="stable") if parts else pd.DataFrame()
 
 
+def _window_stats(v: np.ndarray, ok: np.ndarray, window: int) -> dict[str, np.ndarray]:
+    """Statistics of every full window over the values that are there."""
+    v, ok = (np.lib.stride_tricks.sliding_window_view(a, window) for a in (v, ok))
+    n = ok.sum(axis=1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        mean = np.where(ok, v, 0.0).sum(axis=1) / n
+        off = np.where(ok, v - mean[:, None], 0.0)
+        std = np.sqrt((off * off).sum(axis=1) / n)
+        real = ok & ~np.isnan(v)
+        low = np.where(real.any(axis=1), np.where(real, v, np.inf).min(axis=1), np.nan)
+        high = np.where(ok, v, -np.inf).max(axis=1)
+    return {"mean": mean, "std": std, "min": low, "max": high, "_some": n > 0}
+
+
 def stream_moving_stats(
     df: DataFrame, keys: list[str], step: str = "step", value: str = "value", window: int = 100
 ) -> DataFrame:
-    """Mean, population std, min, max, last of the latest ``window`` values per key.
+    """Mean, population std, min, max, last of the latest ``window`` rows per key.
 
-    State is the last ``window - 1`` values.
+    As in the batch operator, NULL takes a place in the window but no part in
+    its statistics, and NaN counts as a value above all others. State is the
+    last ``window - 1`` rows.
     """
-    out = f"{_types(df, keys)}, {_types(df, [step])}, mean DOUBLE, std DOUBLE, min DOUBLE, max DOUBLE, last DOUBLE"
+    names = ["mean", "std", "min", "max", "last"]
+    out = (f"{_types(df, keys)}, {_types(df, [step])}, " + ", ".join(f"{n} DOUBLE" for n in names)
+           + ", _some BOOLEAN, _there BOOLEAN")
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = np.array(state.get[0], dtype="float64") if state.exists else np.empty(0)
+        held, there = state.get if state.exists else ([], [])
         rows = _in_order(batches, step)
         if rows.empty:
             return
-        allv = np.concatenate([held, rows[value].to_numpy(dtype="float64")])
-        first = len(held)
-        frames = [allv[max(0, i - window + 1): i + 1] for i in range(first, len(allv))]
-        res = {k: [v] * len(rows) for k, v in zip(keys, key)}
-        res[step] = rows[step].to_numpy()
-        res["mean"] = [f.mean() for f in frames]
-        res["std"] = [f.std() for f in frames]
-        res["min"] = [f.min() for f in frames]
-        res["max"] = [f.max() for f in frames]
-        res["last"] = allv[first:]
-        state.update((allv[-(window - 1):].tolist() if window > 1 else [],))
-        yield pd.DataFrame(res)
-
-    return df.select(*keys, step, value).groupBy(*keys).applyInPandasWithState(
-        update, out, "held ARRAY<DOUBLE>", "append", GroupStateTimeout.NoTimeout
+        pad = window - 1 - len(held)
+        v = np.concatenate([np.zeros(pad), np.array(held, dtype="float64"), rows["_v"].to_numpy("float64")])
+        ok = np.concatenate([np.zeros(pad, bool), np.array(there, dtype=bool), rows["_there"].to_numpy(bool)])
+        for at in range(0, len(rows), FRAMES):
+            part = slice(at, min(at + FRAMES, len(rows)) + window - 1)
+            stats = _window_stats(v[part], ok[part], window)
+            now = rows.iloc[at:at + FRAMES]
+            yield pd.DataFrame({
+                **{k: [x] * len(now) for k, x in zip(keys, key)}, step: now[step].to_numpy(), **stats,
+                "last": now["_v"].to_numpy("float64"), "_there": now["_there"].to_numpy(bool),
+            })
+        known = min(window - 1, len(held) + len(rows))
+        state.update((v[len(v) - known:].tolist(), ok[len(ok) - known:].tolist()))
+
+    flagged = df.select(*keys, step, F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("_v"),
+                        F.col(value).isNotNull().alias("_there"))
+    stats = flagged.groupBy(*keys).applyInPandasWithState(
+        update, out, "held ARRAY<DOUBLE>, there ARRAY<BOOLEAN>", "append", GroupStateTimeout.NoTimeout
     )
+    # pandas hands NaN over as NULL; the flags tell them apart
+    known = {n: F.col("_there" if n == "last" else "_some") for n in names}
+    return stats.select(*keys, step, *[
+        F.when(known[n], F.coalesce(n, F.lit(float("nan")))).alias(n) for n in names
+    ])
 
 
 def stream_early_stop(
@@ -58,7 +88,8 @@ def stream_early_stop(
 ) -> DataFrame:
     """One row per key, emitted when the key stops improving.
 
-    State is the best value, its step, the wait, and whether the key stopped.
+    As in the batch operator, NULL is skipped and NaN is a value that is no
+    better. State is the best value, its step, the wait, and whether the key stopped.
     """
     if mode not in ("min", "max"):
         raise ValueError(f"mode must be 'min' or 'max', not {mode}")
@@ -72,9 +103,7 @@ def stream_early_stop(
         hit = None
         if not rows.empty and not stopped:
             for s, v in zip(rows[step], rows[value]):
-                if v is None or pd.isna(v):
-                    continue
-                if v * sign < best - min_delta:
+                if v * sign < best - min_delta:  # never true of NaN
                     best, best_step, wait = float(v * sign), int(s), 0
                 else:
                     wait += 1
@@ -87,7 +116,8 @@ def stream_early_stop(
             yield pd.DataFrame({**row, "stop_step": [hit], "best_step": [best_step],
                                 "best_value": [best * sign if best_step is not None else None]})
 
-    return df.select(*keys, step, value).groupBy(*keys).applyInPandasWithState(
+    present = df.select(*keys, step, value).where(F.col(value).isNotNull())
+    return present.groupBy(*keys).applyInPandasWithState(
         update, out, "best DOUBLE, best_step BIGINT, wait INT, stopped BOOLEAN", "append",
         GroupStateTimeout.NoTimeout,
     )

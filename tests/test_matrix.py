@@ -187,13 +187,16 @@ def ols_t(y, a):
     return beta / np.sqrt(np.diag(cov))
 
 
-@pytest.mark.parametrize("max_edges", [100, 3])
-def test_ulm_equals_least_squares(spark, max_edges):
+@pytest.mark.parametrize("gaps", [0, 3])
+def test_ulm_equals_least_squares(spark, gaps):
     net, edges = network(spark)
     m, genes, x = expression(spark)
-    got = {(r["sig_id"], r["source"]): r["activity"] for r in
-           G.tf_activity_ulm(m, genes, net, min_n=2, max_edges=max_edges).collect()}
-    assert {k[1] for k in got} == {"T1", "T2"}
+    if gaps:  # row i lacks the genes i and i + 1, row 0 all
+        hole = F.transform("values", lambda v, i: F.when((i == F.col("sig_id")) | (F.col("sig_id") == 0), F.lit(None))
+                           .when(i == F.col("sig_id") + 1, F.lit(float("nan"))).otherwise(v))
+        m = m.withColumn("values", hole)
+    got = {(r["sig_id"], r["source"]): r["activity"] for r in G.tf_activity_ulm(m, genes, net, min_n=2).collect()}
+    assert len(got) == 16 and {k[1] for k in got} == {"T1", "T2"}
     shared = 11
     for tf in ("T1", "T2"):
         w = np.zeros(shared)
@@ -201,7 +204,11 @@ def test_ulm_equals_least_squares(spark, max_edges):
             if s == tf:
                 w[int(t[1:])] = v
         for i in range(8):
-            assert got[(i, tf)] == pytest.approx(ols_t(x[i, :shared], np.column_stack([np.ones(shared), w]))[1])
+            at = [g for g in range(shared) if not gaps or g not in (i, i + 1)]
+            if gaps and i == 0:
+                assert got[(i, tf)] is None
+            else:
+                assert got[(i, tf)] == pytest.approx(ols_t(x[i, at], np.column_stack([np.ones(len(at)), w[at]]))[1])
 
 
 def test_mlm_equals_least_squares(spark):

@@ -9,6 +9,7 @@ from doselake.operators import models as L
 from doselake.operators import split as X
 from doselake.operators import stats as A
 from doselake.plans.stream_queries import drain
+from doselake.sources.tables import sample_rows
 from doselake.streaming import metrics as R
 
 
@@ -27,6 +28,40 @@ def test_random_split_sizes(spark):
         X.split_random(df, "k", 0.6, 0.4)
 
 
+@pytest.mark.parametrize("rows", [
+    [(i // 20, i) for i in range(100)],
+    [(None if i % 3 == 0 else 7, i % 2) for i in range(100)],
+    [(1, 1)] * 100,
+])
+def test_splits_of_repeating_keys_are_exact(spark, rows):
+    df = spark.createDataFrame(rows, "k int, v int")
+    assert counts(X.split_random(df, "k", 0.1, 0.1)) == {"test": 10, "val": 10, "train": 80}
+    a, b = (sorted(map(str, X.split_random(d, "k", 0.1, 0.1).collect())) for d in (df, df.repartition(5)))
+    assert a == b
+    folds = X.kfold(df, "k", 7).groupBy("fold").count().orderBy("fold").collect()
+    assert [r["count"] for r in folds] == [15, 15, 14, 14, 14, 14, 14]
+    sized = X.split_stratified(df.withColumn("s", F.lit("one")), "k", "s", 0.1, 0.1)
+    assert counts(sized) == {"test": 10, "val": 10, "train": 80}
+    runs = X.repeated_splits(df, "k", 2, 0.1, 0.1).where("split = 'test'").groupBy("run").count().collect()
+    assert [r["count"] for r in runs] == [10, 10]
+    assert sample_rows(df, 10, "k").count() == 10 and sample_rows(df, 1000, "k").count() == 100
+
+
+def test_streams_treat_gaps_as_the_batch_does(spark, tmp_path):
+    rows = [(1, i, v) for i, v in enumerate([1.0, float("nan"), None, float("nan"), float("nan"), 0.5, 0.4])]
+    rows += [(2, 0, None), (2, 1, 3.0), (2, 2, 1.0)]
+    df = spark.createDataFrame(rows, "k int, step bigint, value double")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    s = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    out = drain(R.stream_early_stop(s, ["k"], patience=3), "gaps").collect()
+    want = W.early_stop(df, ["k"], patience=3).where("stop_step IS NOT NULL").collect()
+    assert [(r["k"], r["stop_step"]) for r in out] == [(r["k"], r["stop_step"]) for r in want] == [(1, 4)]
+    cols = ["k", "step", "mean", "std", "min", "max", "last"]
+    live = drain(R.stream_moving_stats(s, ["k"], window=3), "gaps").select(cols).orderBy("k", "step").collect()
+    batch = W.moving_stats(df, ["k"], window=3, block=4).select(cols).orderBy("k", "step").collect()
+    assert str(live) == str(batch)
+
+
 def test_group_split_is_pure(spark):
     df = spark.range(600).select(F.col("id").alias("k"), F.when(F.col("id") < 300, 0).otherwise(F.col("id") % 10).alias("g"))
     out = X.split_group(df, "g", 0.2, 0.1)
