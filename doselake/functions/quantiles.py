@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from doselake.functions.skew import broadcast_if_small
 
 
 def exact_quantiles(
@@ -36,10 +35,8 @@ def exact_quantiles(
         F.percentile_approx("_x", brackets, accuracy).alias("_c"),
     )
     if keys:
-        # one narrow row per key: small unless there are very many keys
-        c = broadcast_if_small(
-            cuts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_n", "_c")
-        )
+        # no hint: there may be many keys, and Spark knows the size once they are counted
+        c = cuts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_n", "_c")
         cond = F.lit(True)
         for i, k in enumerate(keys):
             cond = cond & F.col(k).eqNullSafe(F.col(f"_k{i}"))

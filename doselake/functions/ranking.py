@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from doselake.functions.skew import broadcast_if_small
 from doselake.session import cut_lineage
 
 HASH_PREFIX = 4  # hex digits, so 65,536 buckets of equal expected size
@@ -107,7 +106,7 @@ def hash_cuts(
         *[F.col(s).alias(f"_s{j}") for j, s in enumerate(strata)], F.col("_pre").alias("_wp"), "_i", "_k"
     )
     # one row per wanted rank and stratum: bounded by construction without strata
-    w = broadcast_if_small(w) if strata else F.broadcast(w)
+    w = w if strata else F.broadcast(w)
     cond = F.col("_pre") == F.col("_wp")
     for j, s in enumerate(strata):
         cond = cond & F.col(s).eqNullSafe(F.col(f"_s{j}"))
@@ -144,7 +143,7 @@ def beyond_cuts(
         same = F.lit(True)
         for j, s in enumerate(strata):
             same = same & F.col(s).eqNullSafe(F.col(f"_s{j}"))
-        rows = df.join(broadcast_if_small(at), same, "left").select(*df.columns, "_at")
+        rows = df.join(at, same, "left").select(*df.columns, "_at")
     else:
         rows = df.withColumn("_at", at.scalar())
 
@@ -179,6 +178,6 @@ def beyond_cuts(
     for j, s in enumerate(strata):
         same = same & F.col(s).eqNullSafe(F.col(f"_s{j}"))
     # one row per divided value
-    numbered = tied.join(broadcast_if_small(first) if strata else F.broadcast(first), same)
+    numbered = tied.join(first if strata else F.broadcast(first), same)
     numbered = numbered.withColumn(out, count_beyond(F.col("_no") - F.col("_first") + 1))
     return whole.drop("_at").unionByName(numbered.select(*df.columns, out))

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from doselake.functions.chem import is_valid_structure
 from doselake.functions.dose import clip_unit, log2_dose, sig3upper
 from doselake.functions.ranking import blocked_row_number, seeded_hash
-from doselake.functions.skew import broadcast_if_small, salted_join
+from doselake.functions.skew import salted_join
 from doselake.schema import require_columns
 
 # Joins to dimension tables carry no hint: Spark broadcasts a side by its size
@@ -148,6 +148,17 @@ def signature_viability(
     return out.withColumn("viability", clip_unit(F.col("viability"))) if clip else out
 
 
+def usable_curves(curves: DataFrame, per_compound: DataFrame) -> DataFrame:
+    """Curves of compounds with a usable structure.
+
+    Taken before matching, so that a signature whose first curve has none still
+    matches by a later curve or by the fallback key.
+    """
+    first = keep_first(per_compound, ["master_cpd_id"], ["cpd_smiles"])
+    usable = first.where(is_valid_structure(F.col("cpd_smiles"))).select("master_cpd_id")
+    return curves.join(usable, "master_cpd_id", "left_semi")
+
+
 def attach_structure(matched: DataFrame, per_compound: DataFrame) -> DataFrame:
     """Structure string by compound id; rows without a usable one are dropped."""
     first = keep_first(per_compound, ["master_cpd_id"], ["cpd_smiles"])
@@ -194,6 +205,7 @@ def pair_controls(
 ) -> DataFrame:
     """Each treated sample with one control of its plate, drawn by hash.
 
+    Treated samples of a plate without a control have no pair and are left out.
     Controls get a number per plate block by block, so a plate that holds a
     large share of the samples is ranked by many tasks.
     """
@@ -209,7 +221,7 @@ def pair_controls(
     draw = F.conv(F.substring(seeded_hash(seed + 1, key), 1, 8), 16, 10).cast("bigint")
     treated = (
         tagged.where(~F.col("_control")).drop("_control")
-        .join(broadcast_if_small(sizes), plate)
+        .join(sizes, plate)
         .withColumn("_no", F.pmod(draw, F.col("_n")) + 1)
         .drop("_n")
     )
@@ -222,7 +234,7 @@ def structure_dictionary(compounds: DataFrame, order: list[str]) -> DataFrame:
     return keep_first(present, ["pert_id"], order).select("pert_id", "canonical_smiles")
 
 
-def structure_length_limit(dictionary: DataFrame, cap: int = 128) -> DataFrame:
+def structure_length_limit(dictionary: DataFrame, cap: int) -> DataFrame:
     """Token length used for a dictionary: its longest string, at most ``cap``."""
     return dictionary.agg(
         F.least(F.max(F.length("canonical_smiles")), F.lit(cap)).alias("max_length")

@@ -63,7 +63,7 @@ def _solver(width: int) -> str:
 def fit_linear(df: DataFrame, target: str, values: str = "values") -> Model:
     """Ordinary least squares, one pass over the rows."""
     width = df.select(F.size(values).alias("w")).first()["w"]
-    return _linear(df, values, target, 0.0, 0.0, solver=_solver(width))
+    return _linear(df, values, target, 0.0, 0.0, solver=_solver(width), tol=1e-10, maxIter=1000)
 
 
 def _penalised(df: DataFrame, target: str, l1: float, l2: float, values: str, std: float, width: int) -> Model:
@@ -252,37 +252,61 @@ def cv_score(
     return per.agg(F.avg(metric).alias("cv_mean"), F.stddev_pop(metric).alias("cv_std"))
 
 
+def cv_grid(
+    df: DataFrame, fits: Sequence[Fit], target: str, key: str = "sig_id", values: str = "values", folds: int = 5,
+    seed: int = 42,
+) -> DataFrame:
+    """``candidate`` (position in ``fits``), ``cv_mean`` and ``cv_std`` of R2 for many fits on the same folds.
+
+    Rows are dealt to folds and stored once; each fold's held-out rows are
+    scored by all candidates in one pass.
+    """
+    data = cut_lineage(kfold(df.select(*dict.fromkeys([key, values, target])), key, folds, seed))
+    out = None
+    for f in range(folds):
+        train, held = data.where(F.col("fold") != f), data.where(F.col("fold") == f)
+        scored = []
+        for i, fit in enumerate(fits):
+            held = predict(fit(train, target), held, values).withColumnRenamed("prediction", f"_p{i}")
+            scored.append(F.struct(F.lit(i).alias("candidate"), F.col(f"_p{i}").alias("prediction")))
+        part = held.select("fold", F.col(target).alias("target"), F.inline(F.array(*scored)))
+        out = part if out is None else out.unionByName(part)
+    per = regression_metrics(out, ["candidate", "fold"], ["r2"])
+    return per.groupBy("candidate").agg(F.avg("r2").alias("cv_mean"), F.stddev_pop("r2").alias("cv_std"))
+
+
 def choose_alpha(
     df: DataFrame, fit: Callable[[DataFrame, str, float], Model], target: str, alphas: list[float] | None = None,
     key: str = "sig_id", values: str = "values", folds: int = 5, seed: int = 42,
 ) -> tuple[float, DataFrame]:
     """Penalty of best mean R2 over the folds, and the score of every candidate."""
     alphas = alphas or ALPHAS
-    rows = cut_lineage(df.select(*dict.fromkeys([key, values, target])))
-    tables = [
-        cv_score(rows, lambda d, t, a=a: fit(d, t, a), target, key, values, folds, seed).withColumn("alpha", F.lit(a))
-        for a in alphas
-    ]
-    scores = tables[0]
-    for t in tables[1:]:
-        scores = scores.unionByName(t)
-    scores = cut_lineage(scores)
+    found = cv_grid(df, [lambda d, t, a=a: fit(d, t, a) for a in alphas], target, key, values, folds, seed)
+    of = F.element_at(F.array(*[F.lit(float(a)) for a in alphas]), F.col("candidate") + 1)
+    scores = cut_lineage(found.select(of.alias("alpha"), "cv_mean", "cv_std"))
     best = scores.orderBy(F.col("cv_mean").desc_nulls_last(), "alpha").first()
     return best["alpha"], scores
 
 
+def elastic_net_scores(
+    df: DataFrame, target: str, key: str = "sig_id", values: str = "values", folds: int = 5, seed: int = 42
+) -> DataFrame:
+    """``alpha, l1_ratio, cv_mean, cv_std`` of every penalty and L1 share."""
+    grid = [(a, share) for share in L1_RATIOS for a in ALPHAS]
+    fits = [lambda d, t, a=a, s=s: fit_elastic_net(d, t, a, s, values) for a, s in grid]
+    found = cv_grid(df, fits, target, key, values, folds, seed)
+    options = F.array(*[F.struct(F.lit(a).alias("alpha"), F.lit(s).alias("l1_ratio")) for a, s in grid])
+    of = F.element_at(options, F.col("candidate") + 1)
+    return cut_lineage(found.select(of["alpha"].alias("alpha"), of["l1_ratio"].alias("l1_ratio"), "cv_mean", "cv_std"))
+
+
 def choose_elastic_net(
     df: DataFrame, target: str, key: str = "sig_id", values: str = "values", folds: int = 5, seed: int = 42
 ) -> tuple[tuple[float, float], Model]:
     """Penalty and L1 share of best mean R2, and the model refitted on all rows."""
-    best, choice = -np.inf, (ALPHAS[0], L1_RATIOS[0])
-    for share in L1_RATIOS:
-        alpha, scores = choose_alpha(
-            df, lambda d, t, a, s=share: fit_elastic_net(d, t, a, s, values), target, None, key, values, folds, seed
-        )
-        top = scores.agg(F.max("cv_mean")).first()[0]
-        if top is not None and top > best:
-            best, choice = top, (alpha, share)
+    scores = elastic_net_scores(df, target, key, values, folds, seed)
+    best = scores.orderBy(F.col("cv_mean").desc_nulls_last(), "l1_ratio", "alpha").first()
+    choice = (best["alpha"], best["l1_ratio"])
     return choice, fit_elastic_net(df, target, *choice, values)
 
 

@@ -13,7 +13,6 @@ from doselake.functions.ranking import global_row_number
 from doselake.schema import nan_to_null, require_columns
 
 METADATA = ("cell_mfc_name", "viability", "pert_dose")
-MAX_EDGES = 5_000_000
 
 
 def _network_edges(genes: DataFrame, network: DataFrame) -> DataFrame:
@@ -93,37 +92,30 @@ def _independent(w: np.ndarray) -> list[int]:
 
 
 def tf_activity_mlm(
-    matrix: DataFrame, genes: DataFrame, network: DataFrame, min_n: int = 1, key: str = "sig_id",
-    max_edges: int = MAX_EDGES,
+    matrix: DataFrame, genes: DataFrame, network: DataFrame, min_n: int = 1, key: str = "sig_id"
 ) -> DataFrame:
     """t values of all factors fitted jointly (with intercept), per row.
 
     The weight grid is factored once; rows then go through two matrix products.
+    The grid is shared genes by factors, and a fit needs fewer factors than
+    genes: its size is set by the gene axis, not by the rows.
     """
-    edges = _network_edges(genes, network)
-    listed = edges.limit(max_edges + 1).collect()
-    if len(listed) > max_edges:
-        raise ValueError(f"a joint fit needs the weight grid in each task: more than {max_edges} edges")
-    spots = sorted({r["pos"] for r in listed})
-    counts: dict[str, int] = {}
-    for r in listed:
-        counts[r["source"]] = counts.get(r["source"], 0) + 1
-    names = sorted(s for s, c in counts.items() if c >= min_n)
-    row_of, col_of = {p: i for i, p in enumerate(spots)}, {s: j for j, s in enumerate(names)}
-    w = np.zeros((len(spots), len(names)))
-    for r in listed:
-        if r["source"] in col_of:
-            w[row_of[r["pos"]], col_of[r["source"]]] = r["weight"]
+    edges = _network_edges(genes, network).toArrow()
+    at, row_of = np.unique(edges["pos"].to_numpy(), return_inverse=True)
+    labels = np.array(edges["source"].to_pylist(), dtype=str)
+    sources, col_of, counts = np.unique(labels, return_inverse=True, return_counts=True)
+    w = np.zeros((len(at), len(sources)))
+    w[row_of, col_of] = edges["weight"].to_numpy()
+    w, names = w[:, counts >= min_n], sources[counts >= min_n].tolist()
     kept = _independent(w)
     names = [names[j] for j in kept]
-    design = np.column_stack([np.ones(len(spots)), w[:, kept]])
+    design = np.column_stack([np.ones(len(at)), w[:, kept]])
     df = design.shape[0] - design.shape[1]
     if df < 1:
         raise ValueError("a joint fit needs more shared genes than factors")
     q, r = np.linalg.qr(design)
     rinv = np.linalg.inv(r)
     se = np.sqrt((rinv * rinv).sum(axis=1))
-    at = np.array(spots)
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -61,7 +61,10 @@ def split_group(df: DataFrame, group: str, test: float = 0.2, val: float = 0.1,
     groups = df.select(unit.alias("_g")).distinct()
     if groups.limit(3).count() < 3:
         raise ValueError(f"group split needs at least 3 groups of {group}")
-    cuts = hash_cuts(groups.withColumn("_h", seeded_hash(seed, "_g")), "_h", _ends(test, val)).select("cuts")
+    # one row, stored because every pass over the split rows needs it
+    cuts = cut_lineage(
+        hash_cuts(groups.withColumn("_h", seeded_hash(seed, "_g")), "_h", _ends(test, val)).select("cuts")
+    )
     h = seeded_hash(seed, unit)
     return df.withColumn("_cuts", cuts.scalar()).withColumn("split", _label(h, F.col("_cuts"))).drop("_cuts")
 

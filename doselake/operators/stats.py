@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doselake.functions.quantiles import exact_quantiles
-from doselake.functions.skew import broadcast_if_small
 from doselake.schema import nan_to_null
 
 
@@ -203,7 +202,7 @@ def box_summary(df: DataFrame, by: list[str], value: str) -> DataFrame:
     x = F.col(value).cast("double")
     lo, hi = F.col("q")[0] - 1.5 * F.col("_iqr"), F.col("q")[2] + 1.5 * F.col("_iqr")
     return (
-        df.join(broadcast_if_small(q), by)
+        df.join(q, by)
         .groupBy(*by)
         .agg(
             F.min(x).alias("min"), F.first(F.col("q")[0]).alias("q1"),

@@ -48,16 +48,21 @@ def first_curve(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT m.sig_id, s.viability, round(log2(m.pert_dose), 6) AS dose_log2, round(log2(l.c), 6) AS lowest_conc_log2,
-       p.cpd_smiles
-FROM (SELECT *, row_number() OVER (PARTITION BY sig_id ORDER BY strategy, experiment_id, master_cpd_id) AS rn
-      FROM matched) m
-JOIN (SELECT sig_id, round(viability, 6) AS viability FROM sig_viability) s USING (sig_id)
-JOIN (SELECT experiment_id, master_cpd_id, min(cpd_conc_umol) AS c FROM concentrations GROUP BY 1, 2) l
-  USING (experiment_id, master_cpd_id)
-JOIN per_compound p USING (master_cpd_id)
-WHERE rn = 1 AND len(p.cpd_smiles) >= 2
-  AND len(replace(p.cpd_smiles, '(', '')) = len(replace(p.cpd_smiles, ')', ''))""")
+WITH v AS (SELECT c.*, p.cpd_smiles FROM named_curves c JOIN per_compound p USING (master_cpd_id)
+  WHERE len(p.cpd_smiles) >= 2 AND len(replace(p.cpd_smiles, '(', '')) = len(replace(p.cpd_smiles, ')', ''))
+    AND len(replace(p.cpd_smiles, '[', '')) = len(replace(p.cpd_smiles, ']', '')) AND NOT contains(p.cpd_smiles, '1PS')),
+a AS (SELECT s.sig_id, 1 AS strategy, s.pert_dose, v.*
+  FROM eligible s JOIN v ON v.ccl_name = s.cell_mfc_name AND v.broad_cpd_id = s.pert_mfc_id),
+b AS (SELECT s.sig_id, 2 AS strategy, s.pert_dose, v.*
+  FROM eligible s JOIN v ON v.ccl_name = s.cell_mfc_name AND v.cpd_name = s.cmap_name
+  WHERE s.sig_id NOT IN (SELECT sig_id FROM a)),
+m AS (SELECT *, row_number() OVER (PARTITION BY sig_id ORDER BY strategy, experiment_id, master_cpd_id) AS rn,
+  avg(p4_baseline + (1 - p4_baseline) / (1 + exp(greatest(-100, least(100, -(log2(pert_dose) - p1_center) / p2_slope)))))
+    OVER (PARTITION BY sig_id) AS mean FROM (SELECT * FROM a UNION ALL SELECT * FROM b))
+SELECT m.sig_id, round(greatest(0, least(1, m.mean)), 6) AS viability, round(log2(m.pert_dose), 6) AS dose_log2,
+  round(log2(l.c), 6) AS lowest_conc_log2, m.cpd_smiles
+FROM m JOIN (SELECT experiment_id, master_cpd_id, min(cpd_conc_umol) AS c FROM concentrations GROUP BY 1, 2) l
+  USING (experiment_id, master_cpd_id) WHERE rn = 1""")
 def matched_data_set(t: Tables) -> DataFrame:
     d = matched_dataset(
         t.siginfo, t.curves, t.per_experiment, t.per_cell_line, t.per_compound, t.concentrations
@@ -204,7 +209,7 @@ def structure_dictionary(t: Tables) -> DataFrame:
         F.col("source").alias("pert_id"), F.col("text").alias("canonical_smiles"), "doc_id"
     )
     d = J.structure_dictionary(docs, ["doc_id"])
-    return d.withColumn("max_length", J.structure_length_limit(d).scalar())
+    return d.withColumn("max_length", J.structure_length_limit(d, 128).scalar())
 
 
 @query("""

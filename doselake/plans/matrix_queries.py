@@ -149,10 +149,10 @@ def pca_loadings(t: Tables) -> DataFrame:
 
 @query("""
 SELECT sig_id, pos, round(x, 6) AS x FROM expr
-UNION ALL SELECT sig_id, 64 + pos, round(x * 2, 6) FROM expr WHERE pos < 3
-UNION ALL SELECT sig_id, 67, pert_dose FROM rowmeta""")
+UNION ALL SELECT sig_id, 64 + pos, round(x * 2, 6) FROM expr
+UNION ALL SELECT sig_id, 128, pert_dose FROM rowmeta""")
 def concat_features(t: Tables) -> DataFrame:
-    extra = F.transform(F.slice("values", 1, 3), lambda x: x.cast("double") * 2)
+    extra = F.transform("values", lambda x: x.cast("double") * 2)
     rows = t.matrix.withColumn("molecular", extra).join(t.rowmeta, "sig_id")
     return cells(M.concat_features(rows, ["values", "molecular"], ["pert_dose"]), values="features")
 

@@ -116,10 +116,38 @@ def cv_score(t: Tables) -> DataFrame:
     return L.cv_score(t.order_rows, L.fit_linear, "y").select(r("cv_mean", 5), r("cv_std", 5))
 
 
-@query()
+def _grid_sql(slope: str, shares: bool = False) -> str:
+    """Fold scores of one-feature fits over the whole grid of penalties."""
+    columns = "alpha, l1_ratio" if shares else "alpha"
+    grid = f"SELECT unnest({L.ALPHAS}::DOUBLE[]) AS alpha"
+    if shares:
+        grid = f"SELECT alpha, l1_ratio FROM ({grid}), (SELECT unnest({L.L1_RATIOS}::DOUBLE[]) AS l1_ratio)"
+    return f"""
+WITH {FOLDS}, k AS (SELECT unnest(range(5)) AS fold), g AS ({grid}),
+m AS (SELECT k.fold, avg(x) AS mx, avg(y) AS my, covar_pop(x, y) AS cxy, var_pop(x) AS vx, count(*) AS n
+  FROM k JOIN f ON f.fold <> k.fold GROUP BY 1),
+b AS (SELECT fold, mx, my, {columns}, {slope} AS b FROM m, g),
+s AS (SELECT {columns}, f.fold, 1 - avg((y - (my + b * (x - mx))) ** 2) / var_pop(y) AS r2
+  FROM f JOIN b USING (fold) GROUP BY {columns}, f.fold)
+SELECT {columns}, round(avg(r2), 5) AS cv_mean, round(stddev_pop(r2), 5) AS cv_std FROM s GROUP BY {columns}"""
+
+
+@query(_grid_sql("n * cxy / (n * vx + alpha)"))
 def choose_alpha(t: Tables) -> DataFrame:
-    best, scores = L.choose_alpha(t.order_rows, L.fit_ridge, "y", [0.1, 100000.0], folds=2)
-    return scores.select("alpha", r("cv_mean", 5), r("cv_std", 5), F.lit(best).alias("chosen"))
+    _, scores = L.choose_alpha(t.order_rows, L.fit_ridge, "y")
+    return scores.select("alpha", r("cv_mean", 5), r("cv_std", 5))
+
+
+@query(_grid_sql("sign(cxy) * greatest(abs(cxy) - alpha, 0) / vx"))
+def choose_alpha_lasso(t: Tables) -> DataFrame:
+    _, scores = L.choose_alpha(t.order_rows, L.fit_lasso, "y")
+    return scores.select("alpha", r("cv_mean", 5), r("cv_std", 5))
+
+
+@query(_grid_sql("sign(cxy) * greatest(abs(cxy) - alpha * l1_ratio, 0) / (vx + alpha * (1 - l1_ratio))", shares=True))
+def elastic_net_scores(t: Tables) -> DataFrame:
+    scores = L.elastic_net_scores(t.order_rows, "y")
+    return scores.select("alpha", "l1_ratio", r("cv_mean", 5), r("cv_std", 5))
 
 
 @query()
@@ -134,16 +162,32 @@ def model_table(t: Tables) -> DataFrame:
 @query(f"""
 WITH p AS (SELECT run, x, y, {_parts('n')} FROM (
   SELECT x, y, run, row_number() OVER (PARTITION BY run ORDER BY md5((42 + run) || ':' || sig_id)) AS rn,
-    count(*) OVER (PARTITION BY run) AS n FROM order_rows, (SELECT unnest(range(2)) AS run))),
+    count(*) OVER (PARTITION BY run) AS n FROM order_rows, (SELECT unnest(range(20)) AS run))),
 m AS (SELECT run, avg(x) AS mx, avg(y) AS my, count(*) * covar_pop(x, y) / (count(*) * var_pop(x) + 1) AS b
   FROM p WHERE split = 'train' GROUP BY run)
 SELECT run, split, round(1 - avg((y - (my + b * (x - mx))) ** 2) / var_pop(y), 5) AS r2,
   round(corr(y, my + b * (x - mx)), 5) AS pearson FROM p JOIN m USING (run) GROUP BY run, split""", ints=("run",))
 def repeat_fit(t: Tables) -> DataFrame:
-    scores = L.repeat_fit(t.order_rows, L.fit_ridge, "y", 2)
+    scores = L.repeat_fit(t.order_rows, L.fit_ridge, "y", 20)
     return scores.select("run", "split", r("r2", 5), r("pearson", 5))
 
 
+@query(f"""
+WITH c AS (SELECT run, cell, row_number() OVER (PARTITION BY run ORDER BY md5((42 + run) || ':' || cell)) AS rn,
+    count(*) OVER (PARTITION BY run) AS n FROM (SELECT DISTINCT cell FROM order_rows), (SELECT unnest(range(20)) AS run)),
+g AS (SELECT run, cell, {_parts('n')} FROM c),
+p AS (SELECT g.run, g.split, x, y FROM order_rows JOIN g USING (cell)),
+m AS (SELECT run, avg(x) AS mx, avg(y) AS my, count(*) * covar_pop(x, y) / (count(*) * var_pop(x) + 1) AS b
+  FROM p WHERE split = 'train' GROUP BY run),
+s AS (SELECT run, split, 1 - avg((y - (my + b * (x - mx))) ** 2) / var_pop(y) AS r2,
+  corr(y, my + b * (x - mx)) AS pearson FROM p JOIN m USING (run) GROUP BY run, split),
+l AS (SELECT split, metric, value FROM s UNPIVOT (value FOR metric IN (r2, pearson)))
+SELECT split, metric, round(avg(value), 5) AS mean, round(stddev_pop(value), 5) AS std FROM l GROUP BY split, metric""")
+def repeat_summary(t: Tables) -> DataFrame:
+    scores = L.repeat_fit(t.order_rows, L.fit_ridge, "y", 20, group="cell")
+    return L.repeat_summary(scores).select("split", "metric", r("mean", 5), r("std", 5))
+
+
 def _coef(t: Tables) -> DataFrame:
     return t.genes.select("pos", ((F.col("pos") % 5 - 2) / 10.0).alias("coef"))
 

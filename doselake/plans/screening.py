@@ -32,10 +32,14 @@ def matched_dataset(
     siginfo: DataFrame, curves: DataFrame, per_experiment: DataFrame, per_cell_line: DataFrame,
     per_compound: DataFrame, measurements: DataFrame,
 ) -> DataFrame:
-    """Mean viability, log2 dose, first curve's structure and lowest concentration."""
+    """Mean viability, log2 dose, first curve's structure and lowest concentration.
+
+    Only curves of compounds with a usable structure are matched.
+    """
     eligible = select.filter_signatures(siginfo)
     named = joins.lookup_chain(curves, per_experiment, per_cell_line, per_compound)
-    both = joins.signature_viability(eligible, named, "mean", first_curve=True)
+    usable = joins.usable_curves(named, per_compound)
+    both = joins.signature_viability(eligible, usable, "mean", first_curve=True)
     with_low = stats.min_concentration(both, measurements)
     return joins.attach_structure(with_low, per_compound).withColumn(
         "dose_log2", log2_dose(F.col("pert_dose"))

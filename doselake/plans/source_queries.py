@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from doselake import schema as S
+from doselake.operators import joins as J
+from doselake.operators import select as P
 from doselake.operators import stats as A
 from doselake.plans.catalog import cells, query, r
 from doselake.plans.standins import Tables
@@ -152,10 +154,14 @@ def write_index_file(t: Tables) -> DataFrame:
     return tables.read_tsv(t.spark, path, "index BIGINT, name STRING", header=False)
 
 
-@query("SELECT sig_id, cell_mfc_name FROM siginfo")
+@query("SELECT sig_id, strategy, experiment_id, master_cpd_id FROM matched")
 def resume_match(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "resume")
-    seen = t.siginfo.select("sig_id", "cell_mfc_name")
-    early = seen.where("cell_mfc_name < 'NATION_2'")
-    sinks.resume_match(early, lambda s: s, path, buckets=4)
-    return sinks.resume_match(seen, lambda s: s, path, buckets=4).drop("bucket")
+    named = J.lookup_chain(t.curves, t.per_experiment, t.per_cell_line, t.per_compound)
+    wanted = P.filter_signatures(t.siginfo)
+
+    def match(todo: DataFrame) -> DataFrame:
+        return J.match_with_fallback(todo, named).select("sig_id", "strategy", "experiment_id", "master_cpd_id")
+
+    sinks.resume_match(wanted.where("cell_mfc_name < 'NATION_2'"), match, path, buckets=8)  # a first run that ends early
+    return sinks.resume_match(wanted, match, path, buckets=8).drop("bucket")

@@ -236,8 +236,6 @@ def test_activity_errors(spark):
         G.tf_activity_ulm(m, genes, alien)
     with pytest.raises(ValueError):
         G.tf_activity_ulm(m, genes, net.drop("weight"))
-    with pytest.raises(ValueError):
-        G.tf_activity_mlm(m, genes, net, max_edges=3)
 
 
 def test_sample_network(spark):

@@ -143,12 +143,16 @@ def test_resume_skips_what_is_done(spark, tmp_path):
 
     def match(todo):
         calls.append(todo.count())
-        return todo
+        return todo.where("sig_id <> 2")  # one finds no match
 
     sigs = spark.range(10).select(F.col("id").alias("sig_id"))
     sinks.resume_match(sigs.where("sig_id < 4"), match, path, buckets=2)
     out = sinks.resume_match(sigs, match, path, buckets=2)
-    assert calls == [4, 6] and out.count() == 10
+    assert calls == [4, 6]
+    assert sorted(r["sig_id"] for r in out.collect()) == [i for i in range(10) if i != 2]
+    # matches of a run that broke off before it noted them are not returned
+    sigs.limit(1).withColumn("bucket", F.lit(0)).write.parquet(path + "/matches/run=broken")
+    assert sinks.resume_match(sigs, match, path, buckets=2).count() == 9 and calls[2] == 0
 
 
 def test_require_columns(spark):
