@@ -151,7 +151,7 @@ def test_resume_skips_what_is_done(spark, tmp_path):
     assert calls == [4, 6]
     assert sorted(r["sig_id"] for r in out.collect()) == [i for i in range(10) if i != 2]
     # matches of a run that broke off before it noted them are not returned
-    sigs.limit(1).withColumn("bucket", F.lit(0)).write.parquet(path + "/matches/run=broken")
+    sigs.limit(1).withColumn("bucket", F.lit(0)).write.partitionBy("bucket").parquet(path + "/matches/run=broken")
     assert sinks.resume_match(sigs, match, path, buckets=2).count() == 9 and calls[2] == 0
 
 
