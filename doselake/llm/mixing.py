@@ -1,20 +1,22 @@
-"""Mixing sources to target weights by Pfair scheduling of blocks."""
+"""Mixing sources to target weights by Pfair scheduling of documents."""
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from fractions import Fraction
+from itertools import islice
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Slots of the period in which every source gets its whole number of blocks.
-PERIOD = 2_000
+from doselake.llm.common import stored
 
 
-def shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
+def shares(weights: dict[str, float], period: int) -> dict[str, int]:
     """Whole blocks of each source in one period: largest remainders, one at least.
 
     A period too short for one block of each source is doubled until it is not.
@@ -39,56 +41,82 @@ def shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
     return units
 
 
-def period_schedule(units: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
-    """``(source, block, slot, release, deadline)`` of one period, earliest deadline first.
+def whole(weights: dict[str, float]) -> dict[str, int]:
+    """The weights as whole numbers in exactly the same proportions; sources of weight 0 are left out."""
+    if any(w < 0 for w in weights.values()):
+        raise ValueError("weights must not be negative")
+    exact = {n: Fraction(w) for n, w in weights.items() if w > 0}
+    scale = math.lcm(*[w.denominator for w in exact.values()])
+    return {n: int(w * scale) for n, w in exact.items()}
 
-    Block ``j`` of a source of weight ``w`` is released at ``floor(j / w)`` and due at
-    ``ceil((j + 1) / w)``. The weights add to one, so each slot takes the released
-    block that is due first (then by source), none is ever late, and after any
-    number of slots a source is less than one block off its share.
-    """
-    period = sum(units.values())
-    ahead: dict[int, list[tuple[str, int, int]]] = {}
-
-    def announce(source: str, j: int) -> None:
-        w = Fraction(units[source], period)
-        release, due = j / w, (j + 1) / w
-        ahead.setdefault(release.__floor__(), []).append((source, j, due.__ceil__()))
-
-    for source in sorted(units):
-        announce(source, 0)
-    ready: list[tuple[int, str, int, int]] = []
-    out = []
-    for slot in range(period):
-        for source, j, due in ahead.pop(slot, []):
-            heapq.heappush(ready, (due, source, j, slot))
-        due, source, j, release = heapq.heappop(ready)
-        out.append((source, j, slot, release, due))
-        if j + 1 < units[source]:
-            nxt = Fraction(period, units[source]) * (j + 1)
-            if nxt.__floor__() <= slot:  # may be released while this one runs
-                heapq.heappush(ready, ((Fraction(period, units[source]) * (j + 2)).__ceil__(), source, j + 1, nxt.__floor__()))
-            else:
-                announce(source, j + 1)
-    return out
-
-
-SLOTS = "_source string, _units bigint, _period bigint, _block bigint, _slot bigint, _release bigint, _due bigint"
-
-
-def slot_table(weights: DataFrame, period: int = PERIOD) -> DataFrame:
-    """Schedule of one period for ``weights (source, weight)``: a row per slot, made in one task.
-
-    Its size is the period, or four times the number of sources where that is more.
+
+def schedule(weights: dict[str, int], counts: dict[str, int]) -> Iterator[tuple[str, int, int, int, int]]:
+    """``(source, block, slot, release, deadline)``, earliest deadline first, until each source has its count of blocks.
+
+    With ``w`` the share of a source in all weights, its block ``j`` is released
+    at ``floor(j / w)`` and due at ``ceil((j + 1) / w)``, in exact whole numbers.
+    The shares add to one, so each slot takes the released block that is due
+    first (then by source), none is ever late, and after any number of slots a
+    source is less than one block off its share. Holds one block a source.
     """
+    names, total = sorted(weights), sum(weights.values())
+    ahead: dict[int, list[int]] = {0: list(range(len(names)))}
+    at, per = [0] * len(names), [weights[n] for n in names]
+    need = [counts[n] for n in names]
+    left = sum(n > 0 for n in need)
+    ready: list[tuple[int, int, int]] = []
+    slot = 0
+    while left:
+        for i in ahead.pop(slot, ()):
+            heapq.heappush(ready, (-(-(at[i] + 1) * total // per[i]), i, slot))
+        due, i, release = heapq.heappop(ready)
+        j = at[i]
+        yield names[i], j, slot, release, due
+        at[i] = j + 1
+        left -= j + 1 == need[i]
+        release = (j + 1) * total // per[i]
+        if release <= slot:  # may be released while the last one runs
+            heapq.heappush(ready, (-(-(j + 2) * total // per[i]), i, release))
+        else:
+            ahead.setdefault(release, []).append(i)
+        slot += 1
+
+
+def period_schedule(units: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
+    """``(source, block, slot, release, deadline)`` of one period."""
+    return list(schedule(units, units))
 
-    def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        f = pd.concat(list(frames))
-        units = shares(dict(zip(f["source"], f["weight"], strict=True)), period) if len(f) else {}
-        rows = [(s, units[s], sum(units.values()), j, slot, r, d) for s, j, slot, r, d in period_schedule(units)] if units else []
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in SLOTS.split(", ")])
 
-    return weights.select("source", F.col("weight").cast("double")).coalesce(1).mapInPandas(make, SLOTS)
+SLOTS = "_source string, _j bigint, _epoch bigint, _slot bigint, _release bigint, _due bigint"
+#: Slots a batch of the schedule holds.
+BATCH = 50_000
+
+
+def slot_table(weights: DataFrame, period: int | None = None) -> DataFrame:
+    """The schedule of ``weights (source, weight, n)`` until each source has placed its ``n`` documents.
+
+    A row per position: source, document number, epoch, slot, release and
+    deadline. Each choice depends on all before it, so one task makes the
+    rows; it holds one block a source and ``BATCH`` rows.
+    """
+    schema = pa.schema([(c.split()[0], pa.string() if c.endswith("string") else pa.int64()) for c in SLOTS.split(", ")])
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = [r for b in batches for r in b.to_pylist()]
+        target = {r["source"]: r["weight"] for r in given}
+        units = whole(target) if period is None else shares(target, period)
+        n = {r["source"]: r["n"] for r in given}
+        rows = schedule(units, n)
+        while part := list(islice(rows, BATCH)):
+            source, block, *times = zip(*part, strict=True)
+            size = np.array([n[s] for s in source], np.int64)
+            block = np.array(block, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(source, pa.string()), *[pa.array(x, pa.int64()) for x in (block % size, block // size, *times)]],
+                schema=schema,
+            )
+
+    return weights.select("source", F.col("weight").cast("double"), "n").where("weight != 0").coalesce(1).mapInArrow(make, SLOTS)
 
 
 def tempered(docs: DataFrame, power: float = 0.8, source_col: str = "source") -> DataFrame:
@@ -103,7 +131,7 @@ def source_key(source):  # a null source is a source of its own
 
 def mix(
     docs: DataFrame, weights: DataFrame, id_col: str = "doc_id", source_col: str = "source", seed: int = 17,
-    period: int = PERIOD, keep: tuple[str, ...] | None = None,
+    period: int | None = None, keep: tuple[str, ...] | None = None,
 ) -> DataFrame:
     """Interleave the documents of all sources at the given weights; a block is one document.
 
@@ -112,16 +140,19 @@ def mix(
     positions. Each source goes through its documents in a seeded order and
     begins again when it ends, until every source has ended once: no document is
     left out, and over any first n positions a source is less than one document
-    off its weight. Equal rows are documents of their own.
+    off its weight. Equal rows are documents of their own. Only if ``period`` is
+    given, the weights are first rounded to ``shares`` of so many positions.
 
     ``weights`` has ``source`` keys as ``source_key`` gives them. Sources with
-    no weight, or weight 0, are left out: that is what the weight says. A null
+    no weight, or weight 0, are left out: that is what the weight says; a source
+    without documents can take no position, so the others share it. A null
     source is a source of its own; null ids and texts are kept; an empty table
     gives an empty result.
 
     A source's rows are dealt to as many hash bins as the root of the largest
     source, numbered inside each bin, and moved on by the counts of the bins
-    before: the rows are shuffled once, and no source is in one task.
+    before; their positions then meet them by source and number. So the rows are
+    shuffled twice, and no source is in one task. The schedule is stored once.
     """
     keep = keep or (id_col, source_col)
     # fixed while the plan is built: one number
@@ -136,37 +167,18 @@ def mix(
         source_key(F.col(source_col)).alias("_s"), F.pmod(place, F.lit(bins)).alias("_b")
     ).groupBy("_s", "_b").agg(F.count(F.lit(1)).alias("_c"))
     before = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("_s")
+    every = Window.partitionBy("_s")
     counts = counts.select(
         F.col("_s").alias("_source"), F.col("_b").alias("_bin"),
-        F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"), F.sum("_c").over(whole).alias("_n"),
+        F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"), F.sum("_c").over(every).alias("_n"),
     )
     inside = Window.partitionBy("_source", "_bin").orderBy("_hash", F.xxhash64("_row"))
     numbered = rows.withColumn("_i", F.row_number().over(inside) - 1).join(counts, ["_source", "_bin"])
-    slots = slot_table(weights, period)
-    per = slots.groupBy("_source").agg(F.first("_units").alias("_units"), F.first("_period").alias("_period"))
-    # where each source places its last document first: the mix ends at the latest of these
-    ends = (
-        counts.groupBy("_source").agg(F.max("_n").alias("_n")).join(per, "_source")
-        .withColumn("_block", (F.col("_n") - 1) % F.col("_units"))
-        .join(slots.select("_source", "_block", "_slot"), ["_source", "_block"])
-        .agg(F.max(F.floor((F.col("_n") - 1) / F.col("_units")) * F.col("_period") + F.col("_slot") + 1))
-    ).scalar()
-    # the slot table has one row a slot of one period: a size fixed by the weights
-    used = (
-        numbered.withColumn("_j", F.col("_before") + F.col("_i"))
-        .join(F.broadcast(per), "_source")
-        .withColumn("_end", ends)
-        .withColumn("_rounds", F.ceil(F.col("_end") / F.col("_period")) * F.col("_units"))
-        .withColumn("_epoch", F.explode(F.expr("sequence(0L, greatest(0L, (_rounds - 1 - _j) div _n))")))
-        .withColumn("_m", F.col("_j") + F.col("_epoch") * F.col("_n"))
-        .withColumn("_round", F.expr("_m div _units"))
-        .withColumn("_block", F.col("_m") % F.col("_units"))
-        .join(F.broadcast(slots.drop("_units", "_period")), ["_source", "_block"])
-        .withColumn("_at", F.col("_round") * F.col("_period"))
-        .where(F.col("_at") + F.col("_slot") < F.col("_end"))
-    )
+    sizes = counts.groupBy("_source").agg(F.max("_n").alias("n"))
+    given = weights.join(sizes, weights["source"] == sizes["_source"]).select("source", "weight", "n")
+    slots = stored(slot_table(given, period), "slots")
+    used = numbered.withColumn("_j", F.col("_before") + F.col("_i")).join(slots, ["_source", "_j"])
     return used.select(
-        "_row.*", (F.col("_at") + F.col("_slot")).alias("mix_position"), F.col("_epoch").alias("mix_epoch"),
-        (F.col("_at") + F.col("_release")).alias("mix_release"), (F.col("_at") + F.col("_due")).alias("mix_deadline"),
+        "_row.*", F.col("_slot").alias("mix_position"), F.col("_epoch").alias("mix_epoch"),
+        F.col("_release").alias("mix_release"), F.col("_due").alias("mix_deadline"),
     )

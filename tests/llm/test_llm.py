@@ -280,6 +280,23 @@ def test_mix_keeps_all(spark, hard, empty):
     assert mixing.mix(hard, mixing.tempered(hard)).count() >= hard.count() and mixing.mix(empty, mixing.tempered(empty)).count() == 0
 
 
+def test_mix_meets_given_weights(spark):
+    sizes = {"a": 20_000, "b": 200, "c": 10}
+    df = spark.createDataFrame([(i, None, "en", s, 1) for s, n in sizes.items() for i in range(n)], DOCS)
+    w = mixing.tempered(df)
+    got = mixing.mix(df, w).toPandas().sort_values("mix_position")
+    assert got.mix_position.tolist() == list(range(len(got)))
+    assert ((got.mix_release <= got.mix_position) & (got.mix_position < got.mix_deadline)).all()
+    total = sum(n**0.8 for n in sizes.values())
+    for s, n in sizes.items():
+        placed = (got.source == s).to_numpy().cumsum()
+        assert abs(placed - np.arange(1, len(got) + 1) * n**0.8 / total).max() < 1 and placed[-1] >= n
+        mine = got[got.source == s].reset_index(drop=True)
+        assert (mine.mix_epoch == mine.index // n).all() and mine.doc_id[:n].is_unique
+    twice = mixing.mix(df, w.unionByName(spark.createDataFrame([("=none", 5.0)], w.schema)))
+    assert twice.count() == len(got)  # a source without documents leaves no gap
+
+
 def test_quality_on_held_out(spark, empty):
     rng = random.Random(8)
     good = lambda: " ".join(rng.choices(["the", "cat", "sat", "on", "a", "mat", "and", "ran"], k=40))
