@@ -337,6 +337,30 @@ def test_nearest(spark):
     assert neighbours.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_visits_follow_measured_recall(spark):
+    rng = np.random.default_rng(10)
+    x = rng.standard_normal((8000, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    # small leaves stand for a large table: 512 a tree, of which few visits see little
+    got = neighbours.nearest(df, df.where("vec_id % 80 = 0"), k=10, leaf_rows=16, visits=8).toPandas()
+    hits = 0
+    for q, f in got.groupby("query_id"):
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        hits += len(set(np.argsort(d)[1:11]) & set(f.vec_id))
+    assert got.query_id.nunique() == 100 and hits >= 0.9 * 1000
+
+
+def test_cells_are_bounded():
+    sizes = np.array([[5, 0, 4, 30, 1], [10, 1, 9, 0, 20]])
+    first, blocks = neighbours.cells(sizes, 10)
+    rows = {}
+    for t in range(2):
+        for leaf in range(5):
+            for b in range(blocks[t, leaf]):
+                rows.setdefault(int(first[t, leaf] + b), []).append((t, -(-int(sizes[t, leaf]) // int(blocks[t, leaf]))))
+    assert all(sum(n for _, n in r) <= 10 and len({t for t, n in r if n}) <= 1 for r in rows.values())
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     at = docs
