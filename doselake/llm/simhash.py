@@ -171,7 +171,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Rows that share that id and are in the group count as one document; the row
     of least text hash stays. Of a group without ids the least text hash stays.
-    All columns are kept.
+    All columns are kept. Near means linked as in ``near_duplicates``: most copies
+    whose five-word similarity is 0.8 to 0.9 are farther apart, and stay (README).
     """
     names = docs.columns
     key = F.struct(
