@@ -85,7 +85,10 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(training: DataFrame, passes: int = 3) -> np.ndarray:
-    """Weights learnt from rows ``id, text, label`` in one task; the caller bounds the rows."""
+    """Weights learnt from rows ``id, text, label`` in one task; the caller bounds the rows.
+
+    Only these rows are moved: what makes them stays parallel.
+    """
 
     def train(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = pd.concat([f.assign(x=[features(t) for t in f["text"]]).drop(columns="text") for f in frames])
@@ -99,7 +102,7 @@ def fit(training: DataFrame, passes: int = 3) -> np.ndarray:
         yield pd.DataFrame({"at": at, "w": w[at]})
 
     out = np.zeros((1 << BITS) + 1)
-    got = training.coalesce(1).sortWithinPartitions("id", "text").mapInPandas(train, "at bigint, w double").toPandas()
+    got = training.repartition(1).sortWithinPartitions("id", "text").mapInPandas(train, "at bigint, w double").toPandas()
     out[got["at"].to_numpy(np.int64)] = got["w"]
     return out
 
@@ -113,14 +116,19 @@ def train_on_labels(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS)
     """Weights from labelled documents that are not held out.
 
     At most ``rows`` ids are used, those of least hash; their ids are the one
-    broadcast. Repeated labels of an id are averaged; null ids and labels are
-    skipped. Without any label all weights are zero and every score is 0.5.
+    broadcast. Repeated labels of an id are averaged; of its documents the text
+    of least hash counts, so ``rows`` bounds the texts too; null ids and labels
+    are skipped. Without any label all weights are zero and every score is 0.5.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").alias("id")).agg(F.avg("quality").alias("label"))
     some = known.orderBy(F.xxhash64("id"), "id").limit(rows)
     texts = docs.select(F.col("doc_id").alias("id"), text_or_empty("text").alias("text"))
-    return fit(texts.join(F.broadcast(some), "id").select("id", "text", "label"))
+    joined = texts.join(F.broadcast(some), "id")
+    one = joined.groupBy("id").agg(
+        F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.first("label").alias("label")
+    )
+    return fit(one)
 
 
 def score_texts(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text",

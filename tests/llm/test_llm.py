@@ -314,6 +314,16 @@ def test_quality_on_held_out(spark, empty):
     assert quality.score_texts(empty, none).count() == 0 and not none.any()
 
 
+def test_training_takes_one_text_an_id(spark):
+    rng = random.Random(12)
+    texts = [" ".join(rng.choices(["the", "cat", "sat!", "on", "a", "mat$"], k=20)) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    labels = spark.createDataFrame([(i, "!" in t) for i, t in rows], "doc_id bigint, quality boolean").withColumn("quality", F.col("quality").cast("int"))
+    once, often = (spark.createDataFrame(r, "doc_id bigint, text string") for r in (rows, rows + rows[:3] * 200))
+    w = quality.train_on_labels(once, labels)
+    assert w.any() and (quality.train_on_labels(often.repartition(4), labels) == w).all()
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(9)
     v = rng.standard_normal((3000, 16)).astype(np.float32)
