@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doselake.llm import bytebpe, chat, fingerprints, mixing, neighbours, quality, secrets, simhash, tokencount, urls
+from doselake.llm import (
+    bytebpe, chat, fingerprints, mixing, neighbours, quality, secrets, simhash, tokencount, urls, warc,
+)
 from doselake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +109,25 @@ def op1_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+#: Five hex digits of the SHA-1 at a time are four base32 digits.
+WARC_SQL = r"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h, coalesce(html, '') AS body FROM pages),
+lasts AS (SELECT body, max(page_id) AS last FROM p GROUP BY body),
+digits AS (SELECT p.*, last, list_transform(range(8), lambda g: CAST('0x' || substr(h, 5 * g + 1, 5) AS BIGINT)) AS fives
+  FROM p JOIN lasts USING (body))
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST((fives[i // 4 + 1] >> (15 - 5 * (i % 4))) & 31 AS INT) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id IS DISTINCT FROM last AND last IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM last THEN last END AS refers_to
+FROM digits
+"""
+
+
+@query(WARC_SQL)
+def op12_warc(spark: SparkSession, folder: str) -> DataFrame:
+    normalised = warc.archive_pages(table(spark, folder, "pages"), least_bytes=0)
+    read = warc.read_archives(normalised, whole=False)
+    return read.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
