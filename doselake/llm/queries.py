@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doselake.llm import (
-    bytebpe, chat, fingerprints, mixing, neighbours, quality, secrets, simhash, tokencount, urls, warc,
+    bytebpe, chat, fingerprints, mixing, neighbours, phrases, quality, secrets, simhash, tokencount, urls, warc,
 )
 from doselake.llm.common import table
 
@@ -131,3 +131,30 @@ def op12_warc(spark: SparkSession, folder: str) -> DataFrame:
     normalised = warc.archive_pages(table(spark, folder, "pages"), least_bytes=0)
     read = warc.read_archives(normalised, whole=False)
     return read.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+PHRASES_SQL = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+lines AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS ws FROM pieces),
+starts AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM lines),
+f AS (SELECT lang, k, array_to_string(list_slice(ws, i, i + k - 1), ' ') AS phrase, count(*) AS n
+  FROM starts, range(1, 6) t(k) WHERE i + k - 1 <= len(ws) GROUP BY ALL),
+totals AS (SELECT lang, sum(len(ws)) AS n FROM lines GROUP BY lang),
+c AS (SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND n >= 100),
+kept AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM c AS m WHERE m.lang = c.lang AND m.k > c.k
+  AND contains(' ' || m.phrase || ' ', ' ' || c.phrase || ' ') AND 100 * m.a >= 100 * c.a)),
+cuts AS (SELECT lang, phrase, a, k, unnest(range(1, k)) AS j, ws FROM kept),
+scored AS (SELECT cuts.lang, cuts.phrase, a, j, x.n AS l, y.n AS r, CAST(totals.n AS BIGINT) AS n,
+  CAST(CAST(1000 AS HUGEINT) * a * totals.n // (CAST(x.n AS HUGEINT) * y.n) AS BIGINT) AS score FROM cuts JOIN totals USING (lang)
+  JOIN f AS x ON x.lang = cuts.lang AND x.k = j AND x.phrase = array_to_string(list_slice(ws, 1, j), ' ')
+  JOIN f AS y ON y.lang = cuts.lang AND y.k = cuts.k - j AND y.phrase = array_to_string(list_slice(ws, j + 1, cuts.k), ' ')),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM best QUALIFY rank <= 2000
+"""
+
+
+@query(PHRASES_SQL)
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"), least=100, top=2000, covered=100)
