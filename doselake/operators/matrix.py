@@ -21,7 +21,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doselake.functions.quantiles import exact_quantiles
+from doselake.functions.quantiles import array_moments, array_quantiles, exact_quantiles
 from doselake.operators.select import pick_genes
 from doselake.schema import nan_to_null
 
@@ -51,18 +51,20 @@ def to_wide(long: DataFrame, key: str = "sig_id") -> DataFrame:
 def gene_stats(
     matrix: DataFrame, probs: list[float] | None = None, values: str = "values"
 ) -> DataFrame:
-    """Per gene count, mean, population std, and exact quantiles, missing ignored."""
-    long = exploded(matrix, [], values).select(
-        "pos", nan_to_null(F.col("x").cast("double")).alias("x")
-    )
-    basic = long.groupBy("pos").agg(
-        F.count("x").alias("n_present"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"),
-        F.var_pop("x").alias("variance"),
+    """Per gene count, mean, population std, and exact quantiles, missing ignored.
+
+    Cells are added up as whole arrays where they lie; quantiles are found at
+    once, by counting (``array_quantiles``).
+    """
+    if probs:
+        stats = matrix.sparkSession.createDataFrame(array_quantiles(matrix, probs, values))
+    else:
+        stats = array_moments(matrix, values)
+    variance = F.try_divide("m2", "n")
+    return stats.select(
+        "pos", F.col("n").alias("n_present"), "mean", F.sqrt(variance).alias("std"), variance.alias("variance"),
+        *(["q"] if probs else []),
     )
-    if not probs:
-        return basic
-    q = exact_quantiles(long, ["pos"], "x", probs).drop("n")
-    return basic.join(q, "pos", "left")
 
 
 def per_gene_array(stats: DataFrame, value: Column) -> DataFrame:
@@ -143,8 +145,8 @@ class RobustScaler(_OnValues, Estimator, DefaultParamsReadable, DefaultParamsWri
 
     def _fit(self, df: DataFrame) -> AffineModel:
         lo, hi = self.getOrDefault(self.lower) / 100, self.getOrDefault(self.upper) / 100
-        rows = _collect(gene_stats(df, [lo, 0.5, hi], self.values()))
-        return AffineModel([r["q"][1] for r in rows], [(r["q"][2] - r["q"][0]) or 1.0 for r in rows])
+        q = array_quantiles(df, [lo, 0.5, hi], self.values()).column("q").to_pylist()
+        return AffineModel([g[1] for g in q], [(g[2] - g[0]) or 1.0 for g in q])
 
 
 class L2Normalizer(_OnValues, Transformer, DefaultParamsReadable, DefaultParamsWritable):
@@ -187,9 +189,10 @@ class Imputer(_OnValues, Estimator, DefaultParamsReadable, DefaultParamsWritable
         self._set(strategy=strategy)
 
     def _fit(self, df: DataFrame) -> ImputeModel:
-        median = self.getOrDefault(self.strategy) == "median"
-        rows = _collect(gene_stats(df, [0.5] if median else None, self.values()))
-        fill = [(r["q"][0] if r["q"] else None) if median else r["mean"] for r in rows]
+        if self.getOrDefault(self.strategy) == "median":
+            fill = [g and g[0] for g in array_quantiles(df, [0.5], self.values()).column("q").to_pylist()]
+        else:
+            fill = [r["mean"] for r in _collect(gene_stats(df, values=self.values()))]
         if any(f is None for f in fill):
             raise ValueError("a gene has no value at all")
         return ImputeModel(fill)

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doselake.functions.quantiles import exact_quantiles
+from doselake.functions.quantiles import array_quantiles, exact_quantiles
 from doselake.schema import nan_to_null
 
 
@@ -53,27 +53,20 @@ def null_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return one.unpivot([], cols, "column", "n_missing").where("n_missing > 0")
 
 
-def unpivoted(df: DataFrame, columns: list[str], keys: list[str] | None = None) -> DataFrame:
-    """Rows ``(keys, column, x)`` of numeric columns, NaN as NULL."""
-    cells = F.array(*[
-        F.struct(F.lit(c).alias("column"), nan_to_null(F.col(c).cast("double")).alias("x"))
-        for c in columns
-    ])
-    return df.select(*(keys or []), F.inline(cells))
-
-
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Count, mean, sample std, min, quartiles and max per numeric column."""
-    long = unpivoted(df, columns)
-    basic = long.groupBy("column").agg(
-        F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"),
-        F.min("x").alias("min"), F.max("x").alias("max"),
-    )
-    q = exact_quantiles(long, ["column"], "x", [0.25, 0.5, 0.75])
-    return basic.join(q, "column", "left").select(
-        "column", "count", "mean", "std", "min",
-        F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "max",
-    )
+    """Count, mean, sample std, min, quartiles and max per numeric column; missing ignored."""
+    cells = df.select(F.array(*[F.col(c).cast("double") for c in columns]).alias("values"))
+    seen = array_quantiles(cells, [0.25, 0.5, 0.75]).to_pydict()
+    spread = [None if not n or n < 2 else (m2 / (n - 1)) ** 0.5 for n, m2 in zip(seen["n"], seen["m2"], strict=True)]
+    quartiles = [q or [None] * 3 for q in seen["q"]]
+    rows = [
+        (columns[pos], n, mean, std, low, *q, high)
+        for pos, n, mean, std, low, q, high in zip(
+            *(seen[c] for c in ("pos", "n", "mean")), spread, seen["low"], quartiles, seen["high"], strict=True
+        )
+    ]
+    names = ("mean", "std", "min", "q25", "q50", "q75", "max")
+    return df.sparkSession.createDataFrame(rows, "column string, count bigint, " + ", ".join(f"{c} double" for c in names))
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from doselake import schema as S
+from doselake.functions.ranking import global_row_number
 from doselake.operators import joins as J
 from doselake.operators import select as P
 from doselake.operators import stats as A
@@ -13,7 +14,7 @@ from doselake.plans.catalog import cells, query, r
 from doselake.plans.standins import Tables
 from doselake.session import scratch_path
 from doselake.sources import matrix_store as MS
-from doselake.sources import sinks, tables
+from doselake.sources import flat, sinks, tables
 
 
 @query("SELECT sig_id, cell_mfc_name, pert_mfc_id, cmap_name, pert_dose, pert_time FROM siginfo")
@@ -63,6 +64,20 @@ def read_matrix(t: Tables) -> DataFrame:
     return cells(MS.read_matrix(t.spark, _container(t), slice(20, 220, 2), feature_space="landmark"))
 
 
+@query("""
+SELECT n.row_no, g.sig_id, g.pos, round(g.x, 6) AS x FROM gaps g
+JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS row_no FROM embeddings) n ON n.vec_id = g.sig_id
+WHERE g.x IS NOT NULL""")
+def read_binary_matrix(t: Tables) -> DataFrame:
+    """The matrix with gaps as a flat file and back; ids come from a table of row numbers."""
+    size = t.gappy.agg(F.count(F.lit(1)).alias("rows"), F.max(F.size("values")).alias("cols")).first()
+    path = flat.write_flat_matrix(t.gappy, scratch_path(t.spark, "flat"), size.cols, dtype="float32")
+    ids = global_row_number(t.gappy.select("sig_id"), ["sig_id"], "row_no").withColumn("row_no", F.col("row_no") - 1)
+    back = tables.read_binary_matrix(t.spark, path, size.rows, size.cols, "float32", row_ids=ids)
+    long = back.select("row_no", "sig_id", F.posexplode_outer("values").alias("pos", "x")).where("x IS NOT NULL")
+    return long.select("row_no", "sig_id", "pos", r("x"))
+
+
 @query("SELECT sig_id, cell_mfc_name, pert_dose FROM rowmeta WHERE sig_id >= 5")
 def read_row_metadata(t: Tables) -> DataFrame:
     return MS.read_row_metadata(t.spark, _container(t), ["sig_id", "cell_mfc_name", "pert_dose"], slice(5, None))

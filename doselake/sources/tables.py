@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doselake import schema as S
 from doselake.functions.ranking import beyond_cuts, seeded_hash
+from doselake.sources.flat import read_flat_matrix
 
 
 def _read_delimited(
@@ -99,31 +96,15 @@ def read_binary_matrix(
     spark: SparkSession, path: str, rows: int, cols: int, dtype: str = "float64",
     row_ids: DataFrame | None = None, n_genes: int | None = None,
 ) -> DataFrame:
-    """Flat row-major file to ``(row_no, values)``; ``row_ids(row_no, sig_id)`` joins ids.
+    """Flat row-major file (or folder of parts) to ``(row_no, values)``; ``row_ids(row_no, sig_id)`` joins ids.
 
-    The file splits on record boundaries, so it is read by many tasks.
+    Read by byte ranges of whole rows through the ``flat_matrix`` data source.
     """
-    width = np.dtype(dtype).itemsize * cols
     if n_genes is not None and n_genes != cols:
         raise ValueError(f"gene table has {n_genes} rows, the matrix {cols} columns")
-    # selecting `length` alone lists the file without reading it
-    size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0]
-    if size != rows * width:
-        raise ValueError(f"file holds {size} bytes, expected {rows} x {width}")
+    matrix = read_flat_matrix(spark, path, rows, cols, dtype)
     if row_ids is not None and row_ids.count() != rows:
         raise ValueError("row table does not match the number of matrix rows")
-    # no DataFrame source reads fixed-length records, hence this one RDD
-    records = spark.sparkContext.binaryRecords(path, width).zipWithIndex()
-    raw = records.map(lambda r: (r[1], bytearray(r[0]))).toDF("row_no BIGINT, raw BINARY")
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            flat = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=dtype).astype("float32")
-            offsets = pa.array(np.arange(b.num_rows + 1, dtype="int32") * cols)
-            values = pa.ListArray.from_arrays(offsets, pa.array(flat))
-            yield pa.RecordBatch.from_arrays([b.column(0), values], names=["row_no", "values"])
-
-    matrix = raw.mapInArrow(decode, "row_no BIGINT, values ARRAY<FLOAT>")
     matrix = matrix.withColumn("values", S.nan_to_null_array(F.col("values")))
     if row_ids is not None:
         matrix = matrix.join(row_ids, "row_no")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from doselake.functions import chem, dose, text
+from doselake.functions import chem, dose, quantiles, text
 from doselake.functions.quantiles import exact_quantiles
 from doselake.functions.ranking import blocked_row_number, global_row_number, hash_cuts, seeded_hash
 from doselake.functions.skew import hot_keys, salted_join
@@ -17,27 +17,73 @@ def skewed(spark, n=3000):
     return spark.range(0, n, 1, 6).select("id", key.alias("k"), ((F.col("id") * 7919) % 1009 / 7.0).alias("v"))
 
 
-def test_quantiles_match_numpy_with_small_sketch(spark):
+def test_quantiles_match_numpy_per_key_and_overall(spark):
     df = skewed(spark, 6000)
     probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
-    got = {r["k"]: r["q"] for r in exact_quantiles(df, ["k"], "v", probs, accuracy=50).collect()}
+    got = {r["k"]: r["q"] for r in exact_quantiles(df, ["k"], "v", probs).collect()}
     pdf = df.toPandas()
     for k, part in pdf.groupby("k"):
         assert np.allclose(got[k], np.quantile(part["v"], probs)), k
-    whole = exact_quantiles(df, [], "v", probs, accuracy=50).first()
+    whole = exact_quantiles(df, [], "v", probs).first()
     assert whole["n"] == 6000
     assert np.allclose(whole["q"], np.quantile(pdf["v"], probs))
 
 
 def test_quantiles_with_one_dominant_value(spark):
     df = spark.range(5000).select(F.when(F.col("id") < 3000, 1.5).otherwise(F.col("id") / 10.0).alias("v"))
-    got = exact_quantiles(df, [], "v", [0.3, 0.5, 0.7], accuracy=40).first()["q"]
+    got = exact_quantiles(df, [], "v", [0.3, 0.5, 0.7]).first()["q"]
     assert np.allclose(got, np.quantile(df.toPandas()["v"], [0.3, 0.5, 0.7]))
 
 
 def test_quantiles_ignore_missing(spark):
     df = spark.createDataFrame([(1.0,), (None,), (float("nan"),), (3.0,)], "v double")
     assert exact_quantiles(df, [], "v", [0.5]).first()["q"] == [2.0]
+    assert exact_quantiles(df.where("v IS NULL"), [], "v", [0.5]).count() == 0
+    keyed = spark.createDataFrame([("a", 1.0), (None, 5.0), (None, float("inf")), ("b", None)], "k string, v double")
+    assert {r.k: (r.n, r.q) for r in exact_quantiles(keyed, ["k"], "v", [0.5, 1.0]).collect()} == {
+        "a": (1, [1.0, 1.0]), None: (2, [float("inf"), float("inf")])
+    }
+
+
+def test_ordered_keys():
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.integers(0, 1 << 63, 5000).view(np.float64), [0.0, -0.0, np.inf, -np.inf, 5e-324, -5e-324, 1.0]])
+    x = x[~np.isnan(x)]
+    x = np.concatenate([x, -x])
+    keys = quantiles.ordered(x)
+    assert (quantiles.restored(keys) == x).all()
+    rising = x[np.argsort(keys, kind="stable")]
+    assert (rising[1:] >= rising[:-1]).all()
+    assert keys[x == 0].max() == keys[x == 0].min()
+
+
+@pytest.mark.parametrize("counters", [1 << 21, 40])
+def test_array_quantiles_match_numpy(spark, monkeypatch, counters):
+    """Gaps, one value, ties, narrow and huge ranges, an empty position; few counters make many passes."""
+    monkeypatch.setattr(quantiles, "COUNTERS", counters)
+    rng = np.random.default_rng(4)
+    m = rng.standard_normal((700, 8))
+    m[rng.random(m.shape) < 0.2] = np.nan
+    m[:, 1], m[1:, 2], m[:, 3] = np.nan, np.nan, 7.0
+    m[:, 4], m[:, 5], m[:, 6] = np.round(m[:, 4], 1), 1000 + rng.random(700) * 1e-9, m[:, 6] * 10.0 ** rng.integers(-300, 300, 700)
+    m[5, 7], m[6, 7] = np.inf, -np.inf
+    rows = [([None if np.isnan(v) else float(v) for v in r],) for r in m]
+    df = spark.createDataFrame([*rows, (None,), ([],), ([0.5],)], "values array<double>").repartition(3)
+    m = np.concatenate([m, [[0.5, *[np.nan] * 7]]])
+    probs = [0.0, 0.25, 0.5, 0.99, 1.0] if counters > 100 else [0.5]
+    got = quantiles.array_quantiles(df, probs).to_pydict()
+    for g, x in enumerate(m.T):
+        x = x[~np.isnan(x)]
+        assert got["n"][g] == len(x)
+        if not len(x):
+            assert got["q"][g] is None
+        elif np.isfinite(x).all():
+            assert np.allclose(got["q"][g], np.quantile(x, probs), rtol=1e-12, atol=0)
+        else:
+            assert [got["q"][g][0], got["q"][g][-1]] == ([-np.inf, np.inf] if len(probs) > 1 else [np.median(x)] * 2)
+        if len(x) and np.isfinite(x).all() and g != 6:
+            assert np.allclose([got["mean"][g], got["m2"][g]], [x.mean(), ((x - x.mean()) ** 2).sum()], rtol=1e-9)
+    assert len(quantiles.array_quantiles(df.limit(0), [0.5])) == 0
 
 
 def test_blocked_row_number(spark):

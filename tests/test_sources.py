@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from doselake import schema as S
+from doselake.sources import flat, sinks, tables
 from doselake.sources import matrix_store as MS
-from doselake.sources import sinks, tables
 
 
 @pytest.fixture
@@ -54,6 +54,43 @@ def test_binary_matrix(spark, tmp_path):
         tables.read_binary_matrix(spark, path, 5, 4, row_ids=ids.limit(4))
 
 
+def test_flat_matrix_parts_and_ranges(spark, tmp_path, monkeypatch):
+    """Many parts and ranges give the rows in order; a broken or wrong file is an error."""
+    rng = np.random.default_rng(1)
+    data = rng.standard_normal((503, 7)).astype("float32")
+    data[3, 2] = np.nan
+    rows = [(i, [None if np.isnan(x) else float(x) for x in r]) for i, r in enumerate(data)]
+    df = spark.createDataFrame(rows, "row_no bigint, values array<float>").withColumn("more", F.lit("x")).repartition(5)
+    path = flat.write_flat_matrix(df, str(tmp_path / "m"), 7)
+    assert flat.read_flat_matrix(spark, path, 503, 7).count() == 503
+    dealt = df.repartitionByRange(4, "row_no").sortWithinPartitions("row_no")
+    dealt.write.format("flat_matrix").option("cols", 7).mode("overwrite").save(path)
+    back = flat.read_flat_matrix(spark, path, 503, 7).orderBy("row_no").collect()
+    assert [r.row_no for r in back] == list(range(503))
+    assert np.array_equal(np.array([r["values"] for r in back], "float32"), data, equal_nan=True)
+    parts = flat.Shape(path, 7, "<f8", 503).parts()
+    assert len(parts) > 1 and sum(n for _, n in parts) == 503
+    monkeypatch.setattr(flat, "RANGE", 10 * 56)
+    ranges = flat.Reader(flat.Shape(path, 7, "<f8", None)).partitions()
+    assert [r.first for r in ranges] == np.cumsum([0, *[r.rows for r in ranges]])[:-1].tolist() and max(r.rows for r in ranges) == 10
+    got = np.concatenate([np.array(b.column(1).to_pylist(), "float32") for r in ranges for b in flat.Reader(flat.Shape(path, 7, "<f8", None)).read(r)])
+    assert np.array_equal(got, data, equal_nan=True)
+    # a second write appends, an overwrite replaces
+    spark.createDataFrame([([1.0] * 7,)], "values array<double>").write.format("flat_matrix").option("cols", 7).mode("append").save(path)
+    assert flat.read_flat_matrix(spark, path, 504, 7).count() == 504
+    flat.write_flat_matrix(df.limit(2), path, 7)
+    assert flat.read_flat_matrix(spark, path, None, 7).count() == 2
+    flat.write_flat_matrix(df.limit(0), path, 7)
+    assert flat.read_flat_matrix(spark, path, 0, 7).count() == 0
+    for shape in ((503, 6), (502, 7), (None, 1000)):
+        with pytest.raises(ValueError):
+            flat.read_flat_matrix(spark, flat.write_flat_matrix(df, path, 7), *shape)
+    with pytest.raises(Exception, match="does not have 6 values"):
+        flat.write_flat_matrix(df, str(tmp_path / "wrong"), 6)
+    with pytest.raises(FileNotFoundError):  # the broken write named no parts
+        flat.read_flat_matrix(spark, str(tmp_path / "wrong"), None, 6)
+
+
 @pytest.fixture
 def container(spark, tmp_path):
     m = spark.createDataFrame([(i, f"s{i}", [float(i * 10 + j) for j in range(4)]) for i in range(6)],
