@@ -249,7 +249,7 @@ def array_quantiles(df: DataFrame, probs: list[float], values: str = "values") -
         state.narrow(np.arange(width), counts, bits)
     a, b = _read_out(df, values, state) if width and len(ask) else (np.zeros((len(ask), width)),) * 2
     with np.errstate(invalid="ignore"):
-        out = np.where(a == b, a, a + (b - a) * (wanted - first)).T
+        out = np.where((a == b) | (wanted == first), a, a + (b - a) * (wanted - first)).T
     starts = np.arange(width + 1, dtype=np.int32) * len(ask)
     lists = pa.ListArray.from_arrays(pa.array(starts), pa.array(np.ascontiguousarray(out).ravel()), mask=pa.array(n == 0))
     return seen.append_column("q", lists)
@@ -343,7 +343,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
             wanted = np.asarray(probs) * (n[:, None] - 1)
             low, high = ends[:, :, 0], ends[:, :, 1]
             with np.errstate(invalid="ignore"):
-                q = np.where(low == high, low, low + (high - low) * (wanted - np.floor(wanted)))
+                q = np.where((low == high) | (wanted == np.floor(wanted)), low, low + (high - low) * (wanted - np.floor(wanted)))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * len(probs)), pa.array(q.ravel()))
             yield pa.RecordBatch.from_arrays([*b.columns[:len(keys) + 1], lists], names=[*b.schema.names[:len(keys) + 1], out])
 
