@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow.fs import FileSelector, FileSystem
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from doselake.functions.arrays import CELLS, blocks
 from doselake.functions.ranking import global_row_number
-from doselake.schema import nan_to_null, require_columns
+from doselake.schema import require_columns
+from doselake.session import cut_lineage, scratch_path
 
 METADATA = ("cell_mfc_name", "viability", "pert_dose")
+EDGE = pa.schema([("source", pa.string()), ("pos", pa.int32()), ("weight", pa.float64())])
+#: Blocks of weights that a task keeps, of 2 * CELLS cells each.
+KEPT = 4
 
 
 def _network_edges(genes: DataFrame, network: DataFrame) -> DataFrame:
@@ -30,6 +40,58 @@ def _require_metadata(matrix: DataFrame, metadata: tuple[str, ...]) -> None:
         raise ValueError(f"Missing expected metadata columns: {sorted(absent)}")
 
 
+@dataclass
+class Weights:
+    """Edges ``source, pos, weight`` stored by blocks, which tasks read when they need them.
+
+    ``genes`` are the positions that the network shares with the matrix: as wide
+    as a row. Edges never meet in one place.
+    """
+
+    path: str
+    genes: np.ndarray
+
+    def edges(self, block: int) -> pa.Table:
+        fs, at = FileSystem.from_uri(self.path)
+        infos = fs.get_file_info(FileSelector(f"{at}/block={block}", allow_not_found=True))
+        files = [i.path for i in infos if i.base_name.endswith(".parquet")]
+        parts = []
+        for f in files:
+            with fs.open_input_file(f) as file:
+                parts.append(pq.ParquetFile(file).read())
+        return pa.concat_tables(parts) if parts else EDGE.empty_table()
+
+
+def _stored_weights(edges: DataFrame, block: Column, genes: np.ndarray) -> Weights:
+    path = scratch_path(edges.sparkSession, "weights")
+    blocked = edges.select("source", "pos", F.col("weight").cast("double").alias("weight"), block.cast("int").alias("block"))
+    blocked.repartition("block").write.partitionBy("block").parquet(path)
+    return Weights(path, genes)
+
+
+def _shared_genes(edges: DataFrame) -> np.ndarray:
+    return np.sort(edges.select("pos").distinct().toArrow().column("pos").to_numpy())  # as wide as a row
+
+
+def _at_genes(x: np.ndarray, genes: np.ndarray) -> np.ndarray:
+    """The columns of a block at the shared genes; a row too short lacks them."""
+    out = np.full((len(x), len(genes)), np.nan)
+    inside = genes < x.shape[1]
+    out[:, inside] = x[:, genes[inside]]
+    return out
+
+
+def _long(part: pa.RecordBatch, keys: int, names: pa.Array, t: np.ndarray) -> pa.RecordBatch:
+    """A row per row of ``part`` and name: its first ``keys`` columns, the name, and the number (null if not finite)."""
+    rows = pa.array(np.repeat(np.arange(part.num_rows), len(names)))
+    flat = t.ravel()
+    return pa.RecordBatch.from_arrays(
+        [*(c.take(rows) for c in part.columns[:keys]), names.take(pa.array(np.tile(np.arange(len(names)), part.num_rows))),
+         pa.array(flat, mask=~np.isfinite(flat))],
+        names=[*part.schema.names[:keys], "source", "activity"],
+    )
+
+
 def tf_activity_ulm(
     matrix: DataFrame, genes: DataFrame, network: DataFrame, min_n: int = 1, key: str = "sig_id",
     metadata: tuple[str, ...] = METADATA,
@@ -39,105 +101,205 @@ def tf_activity_ulm(
     Genes are those the network shares with the matrix; a gene the factor does
     not regulate weighs 0. Factors with fewer than ``min_n`` targets are left
     out. A gene missing in a row is left out of that row's regressions; the
-    value is NULL where too little is left. ``key`` names a row.
+    value is NULL where too little is left.
 
-    Sums over a row's own genes are taken on its array. Only the cells of shared
-    genes meet the edges, and their products are summed before the shuffle.
+    Rows are not shuffled and cells not listed: a task multiplies blocks of rows
+    with blocks of factors, which it reads from where they are stored once.
     """
     _require_metadata(matrix, metadata)
-    edges = _network_edges(genes, network)
+    edges = cut_lineage(_network_edges(genes, network))
     kept = edges.groupBy("source").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= min_n)
-    # at most one position per gene of a row
-    spots = edges.select("pos").distinct().agg(F.array_sort(F.collect_list("pos")))
-    cells = matrix.withColumn("_u", spots.scalar()).select(
-        key, *metadata,
-        F.transform("_u", lambda i: F.struct(
-            i.alias("pos"), nan_to_null(F.get("values", i).cast("double")).alias("x")
-        )).alias("_c"),
-    )
-    there = F.filter(F.col("_c.x"), lambda x: x.isNotNull())
-    cells = cells.withColumn("_x", there).select(
-        key, *metadata, F.size("_x").cast("double").alias("n"),
-        F.aggregate("_x", F.lit(0.0), lambda a, x: a + x).alias("sx"),
-        F.aggregate("_x", F.lit(0.0), lambda a, x: a + x * x).alias("sxx"),
-        F.inline("_c"),
-    )
-    w = F.when(F.col("x").isNotNull(), F.col("weight"))
-    sums = cells.join(edges.join(kept, "source", "left_semi"), "pos").groupBy(
-        key, *metadata, "n", "sx", "sxx", "source"
-    ).agg(F.sum(w).alias("sw"), F.sum(w * w).alias("sww"), F.sum(w * F.col("x")).alias("swx"))
-    n = F.col("n")
-    cov = n * F.col("swx") - F.col("sw") * F.col("sx")
-    vw = n * F.col("sww") - F.col("sw") * F.col("sw")
-    vx = F.greatest(n * F.col("sxx") - F.col("sx") * F.col("sx"), F.lit(0.0))
-    r = F.try_divide(cov, F.sqrt(vw) * F.sqrt(vx))
-    t = F.col("r") * F.sqrt(F.try_divide(n - 2, (1 - F.col("r")) * (1 + F.col("r"))))
-    return sums.withColumn("r", r).select(key, *metadata, "source", t.alias("activity"))
+    shared = _shared_genes(edges)
+    per_block = max(1, 2 * CELLS // len(shared))
+    count = max(1, -(-kept.count() // per_block))
+    wide = edges.join(kept, "source", "left_semi")
+    weights = _stored_weights(wide, F.pmod(F.xxhash64("source"), F.lit(count)), shared)
+    sent = matrix.sparkSession.sparkContext.broadcast(weights)
+    keys = [key, *metadata]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = sent.value
+
+        @lru_cache(KEPT)
+        def block(b: int) -> tuple[pa.Array, np.ndarray]:
+            t = w.edges(b)
+            named = t.column("source").combine_chunks().dictionary_encode()
+            dense = np.zeros((len(w.genes), len(named.dictionary)))
+            dense[np.searchsorted(w.genes, t.column("pos").to_numpy()), named.indices.to_numpy()] = t.column("weight").to_numpy()
+            return named.dictionary, dense
+
+        for part, x in blocks(batches, len(keys)):
+            x = _at_genes(x, w.genes)
+            there = (~np.isnan(x)).astype(np.float64)
+            x = np.nan_to_num(x)
+            n, sx, sxx = there.sum(axis=1)[:, None], x.sum(axis=1)[:, None], (x * x).sum(axis=1)[:, None]
+            for b in range(count):
+                names, dense = block(b)
+                sw, sww, swx = there @ dense, there @ (dense * dense), x @ dense
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    r = (n * swx - sw * sx) / (np.sqrt(n * sww - sw * sw) * np.sqrt(np.maximum(n * sxx - sx * sx, 0)))
+                    yield _long(part, len(keys), names, r * np.sqrt((n - 2) / ((1 - r) * (1 + r))))
+
+    rows = matrix.select(*keys, F.col("values").cast("array<double>").alias("values"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    return rows.mapInArrow(run, f"{schema}, source string, activity double")
 
 
 def _independent(w: np.ndarray) -> list[int]:
-    """Columns kept in order, those that depend on earlier ones dropped."""
-    basis: list[np.ndarray] = [np.ones(w.shape[0]) / np.sqrt(w.shape[0])]
+    """Columns after the first that do not depend on earlier ones, in order."""
+    basis = np.zeros((w.shape[0], w.shape[1]))
+    first = np.linalg.norm(w[:, 0])
+    basis[:, 0] = w[:, 0] / first
     kept = []
-    for j in range(w.shape[1]):
-        v = w[:, j].astype("float64")
+    for j in range(1, w.shape[1]):
+        q, v = basis[:, :len(kept) + 1], w[:, j].copy()
         for _ in range(2):
-            for b in basis:
-                v = v - (b @ v) * b
+            v -= q @ (q.T @ v)
         size = np.linalg.norm(v)
         if size > 1e-9 * max(1.0, np.linalg.norm(w[:, j])):
-            basis.append(v / size)
             kept.append(j)
+            basis[:, len(kept)] = v / size
     return kept
 
 
+def _triangle(blocks_of: DataFrame, factor: Callable[[int], np.ndarray], fan: int = 8) -> np.ndarray:
+    """R of the tall matrix whose row blocks ``factor(block)`` gives, by a tree of QR factorisations.
+
+    Each task factors a block; ``fan`` triangles at a time are stacked and
+    factored again, until one is left: columns x columns.
+    """
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in batch.column(0).to_pylist():
+                r = np.linalg.qr(factor(block), mode="r")
+                yield pa.RecordBatch.from_pydict({"node": [block // fan], "width": [r.shape[1]], "r": [r.tobytes()]})
+
+    def merge(t: pa.Table) -> pa.Table:
+        width = t.column("width")[0].as_py()
+        stack = np.concatenate([np.frombuffer(r).reshape(-1, width) for r in t.column("r").to_pylist()])
+        return pa.table({"node": [t.column("node")[0].as_py() // fan], "width": [width], "r": [np.linalg.qr(stack, mode="r").tobytes()]})
+
+    schema, left = "node bigint, width bigint, r binary", blocks_of.count()
+    nodes = blocks_of.mapInArrow(first, schema)
+    while left > 1:
+        left = -(-left // fan)
+        nodes = nodes.groupBy("node").applyInArrow(merge, schema)
+    last = nodes.first()
+    return np.frombuffer(last.r).reshape(-1, last.width)
+
+
 def tf_activity_mlm(
     matrix: DataFrame, genes: DataFrame, network: DataFrame, min_n: int = 1, key: str = "sig_id"
 ) -> DataFrame:
     """t values of all factors fitted jointly (with intercept), per row.
 
-    The weight grid is factored once; rows then go through two matrix products.
-    The grid is shared genes by factors, and a fit needs fewer factors than
-    genes: its size is set by the gene axis, not by the rows.
+    Factors that depend linearly on earlier ones, in name order, are dropped. A
+    gene missing in a row is left out of that row's fit, as in
+    ``tf_activity_ulm``; values are NULL where too little is left.
+
+    The weights are stored by blocks of genes. A tree of QR factorisations over
+    the blocks gives R, factors by factors, which alone is held in one place.
+    Rows are fitted block by block from R and the products with the weights, and
+    corrected once by their residuals. A row with gaps adapts the inverse by the
+    weights of the genes that it lacks.
     """
-    edges = _network_edges(genes, network).toArrow()
-    at, row_of = np.unique(edges["pos"].to_numpy(), return_inverse=True)
-    labels = np.array(edges["source"].to_pylist(), dtype=str)
-    sources, col_of, counts = np.unique(labels, return_inverse=True, return_counts=True)
-    w = np.zeros((len(at), len(sources)))
-    w[row_of, col_of] = edges["weight"].to_numpy()
-    w, names = w[:, counts >= min_n], sources[counts >= min_n].tolist()
-    kept = _independent(w)
-    names = [names[j] for j in kept]
-    design = np.column_stack([np.ones(len(at)), w[:, kept]])
-    df = design.shape[0] - design.shape[1]
-    if df < 1:
+    edges = cut_lineage(_network_edges(genes, network))
+    spark = matrix.sparkSession
+    kept = edges.groupBy("source").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= min_n)
+    names = sorted(r.source for r in kept.select("source").collect())  # R is as wide
+    shared = _shared_genes(edges)
+    per_block = max(1, 2 * CELLS // (len(names) + 1))
+    count = -(-len(shared) // per_block)
+    place = F.array_position(F.lit(shared.tolist()), F.col("pos")) - 1
+    weights = _stored_weights(edges.join(kept, "source", "left_semi"), F.floor(place / per_block), shared)
+
+    def design(block: int) -> np.ndarray:
+        """Rows of a block of genes: 1, then the weight of each factor."""
+        own = weights.genes[block * per_block:(block + 1) * per_block]
+        t = weights.edges(block)
+        out = np.zeros((len(own), len(names) + 1))
+        out[:, 0] = 1
+        column = pc.index_in(t.column("source"), pa.array(names)).to_numpy()
+        out[np.searchsorted(own, t.column("pos").to_numpy()), 1 + column] = t.column("weight").to_numpy()
+        return out
+
+    r = _triangle(spark.range(count).repartition(min(count, 1000)), design)
+    used = [0, *_independent(r)]
+    if len(shared) - len(used) < 1:
         raise ValueError("a joint fit needs more shared genes than factors")
-    q, r = np.linalg.qr(design)
-    rinv = np.linalg.inv(r)
-    se = np.sqrt((rinv * rinv).sum(axis=1))
+    inverse = np.linalg.inv(np.linalg.qr(r[:, used], mode="r"))
+    sent = spark.sparkContext.broadcast((weights, used, inverse @ inverse.T, pa.array([names[j - 1] for j in used[1:]])))
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows == 0:
-                continue
-            y = np.asarray(b.column(1).flatten(), dtype="float64").reshape(b.num_rows, -1)[:, at]
-            z = y @ q
-            beta = z @ rinv.T
-            resid = y - z @ q.T
-            s = np.sqrt((resid * resid).sum(axis=1) / df)
+        w, used, gram, labels = sent.value
+
+        @lru_cache(KEPT)
+        def block(b: int) -> np.ndarray:
+            return design(b)[:, used]
+
+        def onto(y: np.ndarray) -> np.ndarray:
+            return sum(y[:, b * per_block:(b + 1) * per_block] @ block(b) for b in range(count))
+
+        def fitted(beta: np.ndarray) -> np.ndarray:
+            return np.concatenate([beta @ block(b).T for b in range(count)], axis=1)
+
+        for part, x in blocks(batches, 1):
+            x = _at_genes(x, w.genes)
+            there = ~np.isnan(x)
+            y = np.nan_to_num(x)
+            solve, spread = _with_gaps(there, gram, lambda g: block(g // per_block)[g % per_block])
+            beta = solve(onto(y))
+            rest = np.where(there, y - fitted(beta), 0.0)
+            beta = beta + solve(onto(rest))
+            rest = np.where(there, y - fitted(beta), 0.0)
+            free = there.sum(axis=1) - len(used)
             with np.errstate(divide="ignore", invalid="ignore"):
-                t = (beta / (s[:, None] * se))[:, 1:]
-            offsets = pa.array(np.arange(b.num_rows + 1, dtype="int32") * len(names))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.ListArray.from_arrays(offsets, pa.array(t.ravel()))], names=[key, "t"]
-            )
+                s = np.sqrt(np.where(free > 0, (rest * rest).sum(axis=1) / free, np.nan))
+                t = beta / (s[:, None] * np.sqrt(spread))
+            yield _long(part, 1, labels, t[:, 1:])
 
     kt = matrix.schema[key].dataType.simpleString()
-    x = F.transform("values", lambda v: F.coalesce(v.cast("double"), F.lit(float("nan"))))
-    acts = matrix.select(key, x.alias("values")).mapInArrow(fit, f"{key} {kt}, t ARRAY<DOUBLE>")
-    labelled = F.map_from_arrays(F.lit(names), F.col("t"))
-    return acts.select(key, F.explode(labelled).alias("source", "activity"))
+    rows = matrix.select(key, F.col("values").cast("array<double>").alias("values"))
+    return rows.mapInArrow(fit, f"`{key}` {kt}, source string, activity double")
+
+
+def _with_gaps(
+    there: np.ndarray, gram: np.ndarray, row_of: Callable[[int], np.ndarray]
+) -> tuple[Callable[[np.ndarray], np.ndarray], np.ndarray]:
+    """How each row's normal equations are solved, and the diagonal of its inverse, from the inverse ``gram`` without gaps.
+
+    Rows that lack the same genes are solved together: the inverse is changed by
+    a matrix as small as the number of those genes (Woodbury). NaN where the
+    genes that are left do not determine the factors.
+    """
+    patterns, of = np.unique(np.packbits(~there, axis=1), axis=0, return_inverse=True)
+    of = of.ravel()
+    spread = np.empty((len(there), len(gram)))
+    change: list[tuple[np.ndarray, np.ndarray] | None] = []
+    for i in range(len(patterns)):
+        missing = np.flatnonzero(~there[np.argmax(of == i)])
+        if not len(missing):
+            change.append(None)
+            spread[of == i] = np.diag(gram)
+            continue
+        lost = np.stack([row_of(int(g)) for g in missing])
+        c = gram @ lost.T
+        left = np.eye(len(missing)) - lost @ c
+        size = np.linalg.eigvalsh(left).min()  # 0 where a factor hangs on the missing genes alone
+        inner = np.linalg.inv(left) if size > 1e-9 else np.full(left.shape, np.nan)
+        change.append((c, inner))
+        spread[of == i] = np.diag(gram) + ((c @ inner) * c).sum(axis=1)
+
+    def solve(b: np.ndarray) -> np.ndarray:
+        out = b @ gram
+        for i, change_ in enumerate(change):
+            if change_ is not None:
+                c, inner = change_
+                out[of == i] += (b[of == i] @ c) @ inner @ c.T
+        return out
+
+    return solve, spread
 
 
 def min_targets(network: DataFrame, n: int) -> DataFrame:

@@ -226,6 +226,48 @@ def test_mlm_equals_least_squares(spark):
         assert np.allclose([got[(i, f"T{j}")] for j in (1, 2, 3)], ols_t(x[i, :11], a)[1:])
 
 
+@pytest.mark.parametrize("cells", [1 << 20, 8])
+def test_mlm_with_gaps_equals_least_squares(spark, monkeypatch, cells):
+    """A row's missing genes are left out of its fit; few cells make many blocks of genes and factors."""
+    monkeypatch.setattr(G, "CELLS", cells)
+    rng = np.random.default_rng(12)
+    w = rng.normal(size=(30, 5)) * (rng.random((30, 5)) < 0.6)
+    w[7] = [0, 0, 0, 0, 2.0]
+    w[:, 3] = w[:, 1] - 2 * w[:, 2]  # depends on earlier ones
+    net = spark.createDataFrame([(f"F{j}", f"g{i}", float(w[i, j])) for i in range(30) for j in range(5)], "source string, target string, weight double")
+    genes = spark.createDataFrame([(i + 3, f"g{i}") for i in range(30)], "pos int, gene_symbol string")
+    x = rng.normal(size=(12, 33))
+    x[1, 5:8], x[2, [4, 20]], x[3, 3:30], x[4] = np.nan, np.nan, np.nan, np.nan
+    x[5, [4, 20]] = np.nan  # the gaps of row 2
+    m = frame(spark, x)
+    got = {(r["sig_id"], r["source"]): r["activity"] for r in G.tf_activity_mlm(m, genes, net).collect()}
+    assert {k[1] for k in got} == {"F0", "F1", "F2", "F4"} and len(got) == 48
+    a = np.column_stack([np.ones(30), w[:, [0, 1, 2, 4]]])
+    for i in range(12):
+        at = ~np.isnan(x[i, 3:])
+        mine = [got[(i, f"F{j}")] for j in (0, 1, 2, 4)]
+        if at.sum() <= 5:
+            assert mine == [None] * 4
+        else:
+            assert np.allclose(mine, ols_t(x[i, 3:][at], a[at])[1:]), i
+    single = {(r["sig_id"], r["source"]): r["activity"] for r in G.tf_activity_ulm(m, genes, net, metadata=()).collect()}
+    assert len(single) == 60
+    for i in (0, 1, 2, 5, 11):
+        at = ~np.isnan(x[i, 3:])
+        for j in range(5):
+            assert single[(i, f"F{j}")] == pytest.approx(ols_t(x[i, 3:][at], np.column_stack([np.ones(at.sum()), w[at, j]]))[1])
+
+
+def test_mlm_factor_lost_in_gaps(spark):
+    """A factor whose only genes a row lacks cannot be told from the rest: the row's values are null."""
+    net = spark.createDataFrame([("A", "g0", 1.0), ("B", "g1", 1.0), ("B", "g2", -1.0)] + [("C", f"g{i}", float(i)) for i in range(8)], "source string, target string, weight double")
+    genes = spark.createDataFrame([(i, f"g{i}") for i in range(8)], "pos int, gene_symbol string")
+    x = np.random.default_rng(1).normal(size=(2, 8))
+    x[1, 0] = np.nan
+    got = G.tf_activity_mlm(frame(spark, x), genes, net).collect()
+    assert all((r["activity"] is None) == (r["sig_id"] == 1) for r in got) and len(got) == 6
+
+
 def test_activity_errors(spark):
     net, _ = network(spark)
     m, genes, _ = expression(spark)
