@@ -21,12 +21,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from doselake.functions.skew import salted_join
-from doselake.llm.common import stored, text_or_empty
+from doselake.llm.common import batches_of, stored, text_or_empty
 
 #: Words of a phrase at most: the depth at which trees are cut.
 DEPTH = 5
 #: Bytes of text worked on at a time; a piece without end may pass it.
 CHUNK = 8 << 20
+#: Texts that a task receives at a time.
+TEXTS = 2_000
 #: Bits of a filter at most. A fuller filter prunes less and changes no result.
 FILTER_BITS = 1 << 27
 #: Rows of a filter's block, in bytes.
@@ -38,6 +40,8 @@ MOST_GROUPS = 50_000
 PIECE_ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
 BLANKS = b" \t"
 
+SUFFIX = pa.schema([("lang", pa.string()), ("phrase", pa.large_string()), ("n", pa.int64())])
+
 _KIND = np.zeros(256, np.uint8)
 _KIND[list(BLANKS)] = 1
 _KIND[list(PIECE_ENDS)] = 2
@@ -241,6 +245,31 @@ def windows(words: Words, pairs: np.ndarray) -> tuple[list[pa.Array], np.ndarray
     return [names.take(pa.array((c[first] - 1) % base)) for c in columns], n
 
 
+class Sums:
+    """Counts of suffixes over the chunks of a task: added up, and handed over when more than ``most`` differ."""
+
+    def __init__(self, most: int = 200_000):
+        self.most, self.parts, self.rows = most, [], 0
+
+    def add(self, part: pa.Table) -> pa.Table | None:
+        self.parts.append(part)
+        self.rows += part.num_rows
+        if self.rows <= 2 * self.most:
+            return None
+        whole = self.whole()
+        if whole.num_rows > self.most:
+            self.parts, self.rows = [], 0
+            return whole
+        self.parts, self.rows = [whole], whole.num_rows
+        return None
+
+    def whole(self) -> pa.Table:
+        if not self.parts:
+            return SUFFIX.empty_table()
+        summed = pa.concat_tables(self.parts).group_by(["lang", "phrase"], use_threads=False).aggregate([("n", "sum")])
+        return summed.select(["lang", "phrase", "n_sum"]).rename_columns(SUFFIX.names)
+
+
 def frequent_windows(texts: DataFrame, frequent: DataFrame, least: int) -> DataFrame:
     """``lang, phrase, n``: distinct truncated suffixes of two words or more, with their totals over all texts.
 
@@ -258,19 +287,22 @@ def frequent_windows(texts: DataFrame, frequent: DataFrame, least: int) -> DataF
                 h, n = np.unique(h[h != 0], return_counts=True)
                 yield pa.RecordBatch.from_pydict({"h": h.view(np.int64), "n": n})
 
-    counted = texts.mapInArrow(pairs, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+    # most pairs of a task are seen once there, so they are dealt first and added up where they meet
+    counted = texts.mapInArrow(pairs, "h bigint, n bigint").repartition("h").groupBy("h").agg(F.sum("n").alias("n"))
     common = stored(counted.where(F.col("n") >= least).select("h"), "phrase-pairs")
     paired = sc.broadcast(build_filter(common))
 
-    schema = pa.schema([("lang", pa.string()), ("phrase", pa.large_string()), ("n", pa.int64())])
-
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = Sums()
         for batch in batches:
             for lang, words in by_lang(batch):
                 h = pair_hashes(words, lang, known.value)
                 columns, n = windows(words, (h != 0) & paired.value.has(h))
                 phrase = pc.binary_join_element_wise(*columns, pa.scalar(" ", pa.large_string()), null_handling="skip")
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), phrase, pa.array(n)], schema=schema)
+                full = sums.add(pa.Table.from_arrays([pa.array([lang] * len(n), pa.string()), phrase, pa.array(n)], schema=SUFFIX))
+                if full is not None:
+                    yield from full.to_batches()
+        yield from sums.whole().to_batches()
 
     rows = texts.mapInArrow(suffixes, "lang string, phrase string, n bigint")
     return rows.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
@@ -283,20 +315,19 @@ def first_words(phrase: Column, k: int | Column) -> Column:
 def heavy_prefixes(rows: DataFrame, budget: int) -> DataFrame:
     """``lang, prefix, words, n`` of the prefixes under which more than ``budget`` rows lie.
 
-    A level is counted under the heavy prefixes of the level before only. Each
-    level has at most rows / budget of them.
+    Each number of words has at most rows / budget of them. A longer one is
+    never heavier than its own beginning, so the search ends with the first
+    number of words that has none.
     """
     spark, out = rows.sparkSession, None
-    left = rows
     for k in range(1, DEPTH):
         prefix = first_words(F.col("phrase"), k)
-        counts = left.groupBy("lang", prefix.alias("prefix")).agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n"))
+        counts = rows.groupBy("lang", prefix.alias("prefix")).agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n"))
         found = [tuple(r) for r in counts.where(F.col("rows") > budget).select("lang", "prefix", F.lit(k), "n").collect()]
         level = spark.createDataFrame(found, "lang string, prefix string, words int, n bigint")
         out = level if out is None else out.unionByName(level)
         if not found:
             break
-        left = left.withColumn("prefix", prefix).join(F.broadcast(level.select("lang", "prefix")), ["lang", "prefix"], "left_semi").drop("prefix")
     return out
 
 
@@ -368,10 +399,9 @@ def subtree(rows: pa.Table, least: int) -> pa.Table:
     return pa.concat_tables(made)
 
 
-def phrase_counts(texts: DataFrame, frequent: DataFrame, least: int, memory_rows: int) -> DataFrame:
-    """``lang, phrase, words, n`` of all phrases of 2 to ``DEPTH`` words that occur ``least`` times or more."""
-    spark = texts.sparkSession
-    rows = stored(frequent_windows(texts, frequent, least), "phrase-suffixes")
+def phrase_counts(rows: DataFrame, least: int, memory_rows: int) -> DataFrame:
+    """``lang, phrase, words, n`` of all phrases of 2 to ``DEPTH`` words in the suffixes ``rows`` that occur ``least`` times or more."""
+    spark = rows.sparkSession
     total = rows.count()
     tasks = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     budget = max(1, min(memory_rows, max(1_000, -(-total // tasks))), -(-total // MOST_GROUPS))
@@ -402,10 +432,12 @@ def collocations(
     budget of a tree, in distinct suffixes.
     """
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), text_or_empty(text_col).alias("text"))
-    counts = stored(word_counts(texts).where(F.col("word").isNull() | (F.col("n") >= least)), "phrase-words")
+    with batches_of(docs.sparkSession, TEXTS):
+        counts = stored(word_counts(texts).where(F.col("word").isNull() | (F.col("n") >= least)), "phrase-words")
+        frequent = counts.where("word IS NOT NULL")
+        rows = stored(frequent_windows(texts, frequent, least), "phrase-suffixes")
     totals = counts.where("word IS NULL").select("lang", F.col("n").alias("total"))
-    frequent = counts.where("word IS NOT NULL")
-    nodes = phrase_counts(texts, frequent, least, memory_rows)
+    nodes = phrase_counts(rows, least, memory_rows)
 
     # what covers a phrase is at least as frequent one word longer, so looking there is enough
     words = F.split("phrase", " ")
