@@ -7,6 +7,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import DataFrame
 
 #: Cells handled at a time within a task, however many rows or genes a batch has.
 CELLS = 1 << 20
@@ -36,3 +39,15 @@ def blocks(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[tuple
         for start in range(0, batch.num_rows, step):
             part = batch.slice(start, step)
             yield part, as_block(part.column(column))
+
+
+def summed(parts: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """Sum of the arrays ``column`` (of one length per key) by ``keys``: one array is held at a time, however many there are."""
+    return parts.groupBy(*keys).agg(vector_to_array(Summarizer.sum(array_to_vector(column))).alias(column))
+
+
+def number_lists(rows: list[np.ndarray]) -> pa.ListArray:
+    """Flat arrays of doubles as one array column."""
+    offsets = np.concatenate([[0], np.cumsum([r.size for r in rows])]).astype(np.int32)
+    flat = np.concatenate([r.ravel() for r in rows]) if rows else np.zeros(0)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.float64)))

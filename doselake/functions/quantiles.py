@@ -17,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doselake.functions.arrays import blocks
+from doselake.functions.arrays import blocks, number_lists, summed
 
 #: Counters of a task at most, over all genes and ranks; decides how many cells a range is cut into.
 COUNTERS = 1 << 21
 #: A range with this many values or fewer is read out.
 FEW = 64
-#: Genes whose counts travel in one row.
+#: Positions whose moments travel in one row.
 GENES = 256
 TOP = np.uint64(1 << 63)
 
@@ -80,12 +80,14 @@ def array_moments(df: DataFrame, values: str = "values") -> DataFrame:
             part = np.ascontiguousarray(total[:, start:start + GENES])
             yield pa.RecordBatch.from_pydict({"block": pa.array([start // GENES], pa.int32()), "part": [part.tobytes()]})
 
-    def merge(t: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(p).reshape(5, -1) for p in t.column("part").to_pylist()]
-        n, mean, m2, low, high = reduce(_merged, parts)
-        pos = t.column("block")[0].as_py() * GENES + np.arange(len(n))
-        return pa.table({
-            "pos": pa.array(pos, pa.int32()), "n": pa.array(n.astype(np.int64)),
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            total = reduce(_merged, (np.frombuffer(p).reshape(5, -1) for p in b.column("part").to_pylist()), total)
+            block = b.column("block")[0].as_py()
+        n, mean, m2, low, high = total
+        yield pa.RecordBatch.from_pydict({
+            "pos": pa.array(block * GENES + np.arange(len(n)), pa.int32()), "n": pa.array(n.astype(np.int64)),
             **{k: pa.array(v, mask=n == 0) for k, v in (("mean", mean), ("m2", m2), ("low", low), ("high", high))},
         })
 
@@ -132,8 +134,9 @@ class Search:
 
 
 def _counted(df: DataFrame, values: str, state: Search, bits: int) -> DataFrame:
-    """Rows ``block, counts``: how many values lie in each cell of each open range, by blocks of positions."""
+    """Rows ``block, counts``: how many values lie in each cell of each open range, by blocks of ``positions_a_row``."""
     sent = df.sparkSession.sparkContext.broadcast((state, state.shifts(bits), state.open()))  # a few numbers per position
+    step = positions_a_row(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, shift, open_ = sent.value
@@ -147,18 +150,17 @@ def _counted(df: DataFrame, values: str, state: Search, bits: int) -> DataFrame:
                 row, at = np.nonzero(fit)
                 cell = (keys[row, at] - s.low[t, at]) >> shift[t, at]
                 total[t] += np.bincount((at << bits) + cell.astype(np.int64), minlength=width << bits).reshape(width, -1)
-        for start in range(0, width, GENES):
-            part = total[:, start:start + GENES]
+        for start in range(0, width, step):
+            part = total[:, start:start + step]
             if part.any():
-                yield pa.RecordBatch.from_pydict({
-                    "block": pa.array([start // GENES], pa.int32()), "counts": [np.ascontiguousarray(part).tobytes()],
-                })
+                yield pa.RecordBatch.from_pydict({"block": pa.array([start // step], pa.int32()), "counts": number_lists([part])})
+
+    return summed(df.select(values).mapInArrow(run, "block int, counts array<double>"), ["block"], "counts")
 
-    def add(t: pa.Table) -> pa.Table:
-        counts = sum(np.frombuffer(c, np.int64) for c in t.column("counts").to_pylist())
-        return pa.table({"block": t.column("block")[:1], "counts": [counts.tobytes()]}, schema=t.schema)
 
-    return df.select(values).mapInArrow(run, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary")
+def positions_a_row(bits: int) -> int:
+    """Positions whose counts travel in one row."""
+    return max(1, (1 << 14) >> bits)
 
 
 def _read_out(df: DataFrame, values: str, state: Search) -> tuple[np.ndarray, np.ndarray]:
@@ -243,9 +245,10 @@ def array_quantiles(df: DataFrame, probs: list[float], values: str = "values") -
     while state.open().any():
         parts = _counted(df, values, state, bits).toArrow()
         counts = np.zeros((len(ask), width, 1 << bits), np.int64)
-        for block, part in zip(parts.column("block").to_pylist(), parts.column("counts").to_pylist(), strict=True):
-            at = slice(block * GENES, min(width, (block + 1) * GENES))
-            counts[:, at] = np.frombuffer(part, np.int64).reshape(len(ask), -1, 1 << bits)
+        step = positions_a_row(bits)
+        for block, part in zip(parts.column("block").to_pylist(), parts.column("counts"), strict=True):
+            at = slice(block * step, min(width, (block + 1) * step))
+            counts[:, at] = part.values.to_numpy().reshape(len(ask), -1, 1 << bits)  # doubles hold counts below 2 ** 53 exactly
         state.narrow(np.arange(width), counts, bits)
     a, b = _read_out(df, values, state) if width and len(ask) else (np.zeros((len(ask), width)),) * 2
     with np.errstate(invalid="ignore"):

@@ -17,13 +17,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import pyarrow.parquet as pq
-from pyarrow.fs import FileSelector, FileSystem
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from doselake.functions.arrays import CELLS, as_block, blocks
-from doselake.session import scratch_path
+from doselake.functions.parts import read_part, store_parts
 
 #: Pivots, and rings around each, at most: what a task is told of the cells stays small.
 PIVOTS, RINGS = 128, 256
@@ -88,11 +86,7 @@ class Cells:
 
     def read(self, cell: int, rows: int) -> Iterator[pa.RecordBatch]:
         """Rows of a cell by key, ``rows`` at a time."""
-        fs, at = FileSystem.from_uri(self.path)
-        for info in fs.get_file_info(FileSelector(f"{at}/cell={cell}")):
-            if info.base_name.endswith(".parquet"):
-                with fs.open_input_file(info.path) as f:
-                    yield from pq.ParquetFile(f).iter_batches(rows)
+        return read_part(self.path, cell, rows)
 
 
 def _trimmed(squares: np.ndarray, gaps: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,9 +120,8 @@ def store_cells(data: DataFrame, key: str, values: str, extra: list[str], cell_r
     rings = int(np.clip(-(-n // (cell_rows * count)), 1, RINGS))
     chosen = data.select(key, values).orderBy(F.xxhash64(key), key).limit(count).select(F.col(values).cast("array<double>").alias("v")).toArrow()
     pivots = np.nan_to_num(as_block(chosen.column("v").combine_chunks()))
-    path = scratch_path(spark, "cells")
     if not len(pivots):
-        return Cells(path, np.zeros((0, 0)), np.zeros(0), np.zeros(0), gaps)
+        return Cells("", np.zeros((0, 0)), np.zeros(0), np.zeros(0), gaps)
     sent = spark.sparkContext.broadcast(pivots)  # PIVOTS rows at most
     rows = data.select(F.col(key).alias("key"), *extra, F.col(values).cast("array<double>").alias("v"))
 
@@ -151,13 +144,13 @@ def store_cells(data: DataFrame, key: str, values: str, extra: list[str], cell_r
             cuts[r.pivot] = r.q
     bounds = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(cuts)], "pivot int, cuts array<double>")
     ring = F.size(F.filter("cuts", lambda c: c < F.col("high")))
-    celled = placed.join(F.broadcast(bounds), "pivot").withColumn("cell", F.col("pivot") * rings + ring).drop("pivot", "cuts")
+    celled = placed.join(F.broadcast(bounds), "pivot").withColumn("part", F.col("pivot") * rings + ring).drop("pivot", "cuts")
     # a cell of many equal rows is split over several tasks and files
-    celled.hint("rebalance", "cell").sortWithinPartitions("cell", "key").write.partitionBy("cell").parquet(path)
+    path = store_parts(celled.hint("rebalance", "part").sortWithinPartitions("part", "key"), "cells")
     low, high = np.full(len(pivots) * rings, np.inf), np.full(len(pivots) * rings, -np.inf)
-    stored = spark.read.parquet(path).groupBy("cell").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    stored = spark.read.parquet(path).groupBy("part").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     for r in stored.collect():  # a row a cell
-        low[r.cell], high[r.cell] = r.low, r.high
+        low[r.part], high[r.part] = r.low, r.high
     return Cells(path, pivots, low, high, gaps)
 
 

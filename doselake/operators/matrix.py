@@ -7,13 +7,13 @@ gene, where map-side combining leaves one row per gene and task.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain as flatten
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml import Estimator, Model, Pipeline, Transformer
-from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.stat import Summarizer
@@ -21,6 +21,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from doselake.functions.arrays import CELLS, as_block, blocks, number_lists, summed
 from doselake.functions.quantiles import array_moments, array_quantiles, exact_quantiles
 from doselake.operators.select import pick_genes
 from doselake.schema import nan_to_null
@@ -368,39 +369,115 @@ def high_corr_pairs(corr: DataFrame, threshold: float = 0.5) -> DataFrame:
     return corr.where((F.abs("r") > threshold) & (F.col("r") != 1))
 
 
+def leading_eigenvectors(
+    apply: Callable[[np.ndarray], np.ndarray], start: np.ndarray, k: int, passes: int = 300, close: float = 1e-9
+) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` largest eigenvalues and their vectors of a symmetric operator, by block Krylov iteration.
+
+    Each pass applies the operator to one block of at most as many columns as
+    ``start`` has: what the vectors found so far still lack, made orthogonal to
+    all kept. Ends when that is ``close`` to nothing. Six blocks are kept, then
+    the best two of them go on.
+    """
+    width, step = start.shape
+    q, made = np.zeros((width, 0)), np.zeros((width, 0))
+    block = start
+    for _ in range(passes):
+        for _ in range(2):
+            block = block - q @ (q.T @ block)
+            block, r = np.linalg.qr(block)
+            block = block[:, np.abs(np.diag(r)) > 1e-12 * max(1e-300, np.abs(np.diag(r)).max(initial=0))]
+        block = block[:, :width - q.shape[1]]
+        if block.shape[1]:
+            q, made = np.concatenate([q, block], axis=1), np.concatenate([made, apply(block)], axis=1)
+        small = q.T @ made
+        values, turn = np.linalg.eigh((small + small.T) / 2)
+        values, turn = values[::-1], turn[:, ::-1]
+        vectors = q @ turn
+        lack = made @ turn - vectors * values
+        missing = np.linalg.norm(lack[:, :k], axis=0)
+        if q.shape[1] >= width or not block.shape[1] or missing.max(initial=0) <= close * max(abs(values[0]), 1e-300):
+            break
+        block = lack[:, np.argsort(-missing, kind="stable")[:step]] if len(missing) > step else lack[:, :step]
+        if q.shape[1] + step > 6 * step:
+            q, made = vectors[:, :2 * step], (made @ turn)[:, :2 * step]
+    return np.maximum(values[:k], 0.0), vectors[:, :k]
+
+
 class CenteredPCA:
-    """Principal components of centred data, sign fixed by the largest loading."""
+    """Principal components of centred data, sign fixed by the largest loading; a missing value counts as the gene's mean.
+
+    Found from products of the rows with a few columns at a time, summed in
+    Spark: the driver holds genes x components, never genes x genes. With
+    ``variance`` components are doubled until their share is reached.
+    """
 
-    def __init__(self, k: int | None = None, variance: float | None = None) -> None:
+    def __init__(self, k: int | None = None, variance: float | None = None, seed: int = 42) -> None:
         if (k is None) == (variance is None):
             raise ValueError("give either k or the variance to retain")
-        self.k, self.variance = k, variance
+        self.k, self.variance, self.seed = k, variance, seed
 
     def fit(self, matrix: DataFrame) -> CenteredPCAModel:
-        mean = [r["mean"] for r in _collect(gene_stats(matrix))]
-        shift = AffineModel(mean, [1.0] * len(mean))
-        vectors = shift.transform(matrix).select(array_to_vector("values").alias("v"))
-        model = PCA(k=self.k or len(mean), inputCol="v", outputCol="p").fit(vectors)
-        ratio = np.asarray(model.explainedVariance.toArray())
-        loadings = model.pc.toArray()
-        keep = self.k or int(np.searchsorted(np.cumsum(ratio), self.variance - 1e-12) + 1)
-        keep = min(keep, len(ratio))
-        top = np.abs(loadings).argmax(axis=0)
-        sign = np.where(loadings[top, np.arange(loadings.shape[1])] < 0, -1.0, 1.0)
-        return CenteredPCAModel(shift, model, (loadings * sign)[:, :keep], ratio[:keep], sign[:keep])
+        seen = array_moments(matrix).toArrow().sort_by("pos")
+        mean = np.nan_to_num(seen.column("mean").to_numpy())
+        total, width = float(np.nan_to_num(seen.column("m2").to_numpy()).sum()), len(mean)
+        spark, rng = matrix.sparkSession, np.random.default_rng(self.seed)
+
+        def apply(v: np.ndarray) -> np.ndarray:
+            sent, columns = spark.sparkContext.broadcast((mean, v)), v.shape[1]
+            step = max(1, (1 << 14) // columns)
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                middle, v = sent.value
+                out = np.zeros(v.shape)
+                for _, x in blocks(batches):
+                    x = np.nan_to_num(x - middle[:x.shape[1]])
+                    out[:x.shape[1]] += x.T @ (x @ v[:x.shape[1]])
+                parts = [out[i:i + step] for i in range(0, len(out), step)]
+                yield pa.RecordBatch.from_pydict({"block": pa.array(range(len(parts)), pa.int32()), "part": number_lists(parts)})
+
+            made = np.zeros(v.shape)
+            for r in summed(matrix.select("values").mapInArrow(run, "block int, part array<double>"), ["block"], "part").collect():
+                made[r.block * step:(r.block + 1) * step] = np.reshape(r.part, (-1, columns))
+            sent.destroy()
+            return made
+
+        k = min(self.k or 8, width)
+        vectors = np.zeros((width, 0))
+        while True:
+            start = np.concatenate([vectors, rng.standard_normal((width, min(k + 4, width) - vectors.shape[1]))], axis=1)
+            values, vectors = leading_eigenvectors(apply, start, k)
+            share = np.divide(values, total, out=np.zeros(len(values)), where=total > 0)
+            if self.k or k == width or share.sum() >= self.variance - 1e-12:
+                break
+            k = min(2 * k, width)
+        if self.variance is not None:
+            keep = min(int(np.searchsorted(np.cumsum(share), self.variance - 1e-12) + 1), len(share))
+            share, vectors = share[:keep], vectors[:, :keep]
+        top = np.abs(vectors).argmax(axis=0)
+        sign = np.where(vectors[top, np.arange(vectors.shape[1])] < 0, -1.0, 1.0)
+        return CenteredPCAModel(mean, vectors * sign, share)
 
 
 class CenteredPCAModel:
-    def __init__(self, shift: AffineModel, model, loadings: np.ndarray, ratio: np.ndarray, sign: np.ndarray) -> None:
-        self.shift, self.model, self.loadings, self.ratio, self.sign = shift, model, loadings, ratio, sign
+    def __init__(self, mean: np.ndarray, loadings: np.ndarray, ratio: np.ndarray) -> None:
+        self.mean, self.loadings, self.ratio = mean, loadings, ratio
 
     def transform(self, matrix: DataFrame) -> DataFrame:
-        """Adds ``components``; works on any split with the fitted mean and loadings."""
-        v = self.shift.transform(matrix).withColumn("_v", array_to_vector("values")).drop("values")
-        p = with_arrays(self.model.setInputCol("_v").setOutputCol("_p").transform(v), _sign=self.sign.tolist())
-        scores = F.slice(vector_to_array("_p"), 1, len(self.ratio))
-        out = p.withColumn("components", F.zip_with(scores, "_sign", lambda a, s: a * s))
-        return out.drop("_v", "_p", "_sign")
+        """Adds ``components``, drops ``values``; works on any split with the fitted mean and loadings."""
+        sent = matrix.sparkSession.sparkContext.broadcast((self.mean, self.loadings))  # genes x components
+
+        @F.pandas_udf("array<double>")
+        def project(values: pd.Series) -> pd.Series:
+            mean, loadings = sent.value
+            out: list[np.ndarray] = []
+            step = max(1, CELLS // max(1, len(mean)))
+            for i in range(0, len(values), step):
+                x = as_block(pa.array(values.iloc[i:i + step], pa.list_(pa.float64())))
+                out += list(np.nan_to_num(x - mean[:x.shape[1]]) @ loadings[:x.shape[1]])
+            return pd.Series(out)
+
+        return matrix.withColumn("components", project(F.col("values").cast("array<double>"))).drop("values")
 
     def explained_variance(self, spark: SparkSession) -> DataFrame:
         rows = [(i, float(r)) for i, r in enumerate(self.ratio)]

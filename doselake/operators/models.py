@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Callable, Sequence
+from functools import partial
 
 import numpy as np
 from pyspark.ml import Model
@@ -11,15 +12,14 @@ from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator
-from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doselake.operators.matrix import (
-    _OnValues, centered, cross_products, exploded, gene_stats, matrix_width, per_gene_array, with_arrays,
+from doselake.operators.linear import (
+    Evidence, LinearTableModel, Penalty, cross_sums, fit_evidence, fit_penalty, fold_scores, product_scores,
 )
-from doselake.operators.split import kfold, split_group, split_random
+from doselake.operators.matrix import exploded, gene_stats, per_gene_array, with_arrays
+from doselake.operators.split import kfold, repeated_splits, split_group, split_random
 from doselake.operators.stats import metric_columns, regression_metrics, run_stats, weighted_score
 from doselake.session import cut_lineage
 
@@ -32,7 +32,8 @@ BOOST_GRID = {
     "maxIter": range(50, 200), "stepSize": [round(0.01 * i, 2) for i in range(1, 22)],
     "maxDepth": range(3, 15), "minInstancesPerNode": range(1, 10),
 }
-NORMAL_SOLVER_LIMIT = 4096  # most features Spark's one-pass solver accepts
+
+Fit = Callable[[DataFrame, str], Model]
 
 
 def with_vector(df: DataFrame, values: str = "values") -> DataFrame:
@@ -40,14 +41,6 @@ def with_vector(df: DataFrame, values: str = "values") -> DataFrame:
     return df.withColumn("features", array_to_vector(F.col(values).cast("array<double>")))
 
 
-def _shape(df: DataFrame, target: str, values: str) -> tuple[int, float, int]:
-    """Rows, population std of the label, and number of features, in one pass."""
-    r = df.agg(
-        F.count(target).alias("n"), F.stddev_pop(target).alias("s"), F.max(F.size(values)).alias("w")
-    ).first()
-    return r["n"], r["s"], r["w"]
-
-
 def _linear(df: DataFrame, values: str, target: str, reg: float, l1_share: float, **kw) -> Model:
     lr = LinearRegression(
         featuresCol="features", labelCol=target, regParam=reg, elasticNetParam=l1_share,
@@ -56,44 +49,40 @@ def _linear(df: DataFrame, values: str, target: str, reg: float, l1_share: float
     return lr.fit(with_vector(df.select(values, F.col(target).cast("double").alias(target)), values))
 
 
-def _solver(width: int) -> str:
-    return "normal" if width <= NORMAL_SOLVER_LIMIT else "l-bfgs"
+def fit_linear(df: DataFrame, target: str, values: str = "values") -> LinearTableModel:
+    """Ordinary least squares; the shortest coefficients where features depend on each other."""
+    return fit_penalty(df, target, penalty_of(fit_linear), values)
 
 
-def fit_linear(df: DataFrame, target: str, values: str = "values") -> Model:
-    """Ordinary least squares, one pass over the rows."""
-    width = df.select(F.size(values).alias("w")).first()["w"]
-    return _linear(df, values, target, 0.0, 0.0, solver=_solver(width), tol=1e-10, maxIter=1000)
-
-
-def _penalised(df: DataFrame, target: str, l1: float, l2: float, values: str, std: float, width: int) -> Model:
-    # Spark divides the quadratic part by the label's std, so it is scaled up here
-    reg = l1 + l2 * std
-    return _linear(
-        df, values, target, reg, l1 / reg if reg else 0.0, solver=_solver(width), tol=1e-10, maxIter=1000
-    )
-
-
-def fit_penalised(df: DataFrame, target: str, l1: float, l2: float, values: str = "values") -> Model:
+def fit_penalised(df: DataFrame, target: str, l1: float, l2: float, values: str = "values") -> LinearTableModel:
     """Squared error per ``2n`` plus ``l1 |w|`` plus ``l2/2 |w|^2``, raw feature scale."""
-    _, std, width = _shape(df, target, values)
-    return _penalised(df, target, l1, l2, values, std, width)
+    return fit_penalty(df, target, lambda n: (l1, l2), values)
 
 
-def fit_ridge(df: DataFrame, target: str, alpha: float = 1.0, values: str = "values") -> Model:
+def fit_ridge(df: DataFrame, target: str, alpha: float = 1.0, values: str = "values") -> LinearTableModel:
     """Summed squared error plus ``alpha |w|^2``."""
-    n, std, width = _shape(df, target, values)
-    return _penalised(df, target, 0.0, alpha / n, values, std, width)
+    return fit_penalty(df, target, penalty_of(fit_ridge, alpha), values)
 
 
-def fit_lasso(df: DataFrame, target: str, alpha: float = 1.0, values: str = "values") -> Model:
-    return fit_penalised(df, target, alpha, 0.0, values)
+def fit_lasso(df: DataFrame, target: str, alpha: float = 1.0, values: str = "values") -> LinearTableModel:
+    return fit_penalty(df, target, penalty_of(fit_lasso, alpha), values)
 
 
 def fit_elastic_net(
     df: DataFrame, target: str, alpha: float = 1.0, l1_ratio: float = 0.5, values: str = "values"
-) -> Model:
-    return fit_penalised(df, target, alpha * l1_ratio, alpha * (1 - l1_ratio), values)
+) -> LinearTableModel:
+    return fit_penalty(df, target, penalty_of(fit_elastic_net, alpha, l1_ratio), values)
+
+
+def penalty_of(fit: Fit, alpha: float = 1.0, l1_ratio: float = 0.5) -> Penalty | None:
+    """``l1, l2`` by the number of rows, for the fits that have such a form; None for any other."""
+    if isinstance(fit, partial) and not fit.args and set(fit.keywords) <= {"alpha", "l1_ratio"}:
+        return penalty_of(fit.func, **fit.keywords)
+    forms = {
+        fit_linear: lambda n: (0.0, 0.0), fit_ridge: lambda n: (0.0, alpha / n), fit_lasso: lambda n: (alpha, 0.0),
+        fit_elastic_net: lambda n: (alpha * l1_ratio, alpha * (1 - l1_ratio)),
+    }
+    return forms.get(fit)
 
 
 def fit_huber(
@@ -102,66 +91,11 @@ def fit_huber(
     return _linear(df, values, target, alpha, 0.0, loss="huber", epsilon=epsilon, maxIter=200)
 
 
-class LinearTableModel(_OnValues, Model, DefaultParamsReadable, DefaultParamsWritable):
-    """``intercept + coef . values`` as a column expression."""
-
-    coef = Param(Params._dummy(), "coef", "per feature", TypeConverters.toListFloat)
-    bias = Param(Params._dummy(), "bias", "", TypeConverters.toFloat)
-
-    def __init__(self, coef: list[float] | None = None, bias: float = 0.0) -> None:
-        super().__init__()
-        if coef is not None:
-            self._set(coef=[float(c) for c in coef], bias=float(bias))
-
-    @property
-    def coefficients(self) -> np.ndarray:
-        return np.array(self.getOrDefault(self.coef))
-
-    @property
-    def intercept(self) -> float:
-        return self.getOrDefault(self.bias)
-
-    def _transform(self, df: DataFrame) -> DataFrame:
-        parts = F.zip_with(F.col(self.values()), "_w", lambda x, w: x.cast("double") * w)
-        dot = F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)
-        return with_arrays(df, _w=self.getOrDefault(self.coef)).withColumn(
-            "prediction", dot + F.lit(self.intercept)
-        ).drop("_w")
-
-
 def fit_bayesian_ridge(
     df: DataFrame, target: str, values: str = "values", max_iter: int = 300, tol: float = 1e-3
 ) -> LinearTableModel:
-    """Ridge whose noise and weight precisions maximise the evidence.
-
-    Spark sums the cross products of centred rows; only that square matrix is
-    solved on the driver.
-    """
-    width = matrix_width(df.withColumnRenamed(values, "values"))
-    joint = df.select(F.concat(F.col(values).cast("array<double>"), F.array(F.col(target).cast("double"))).alias("values"))
-    mean = np.array([r["mean"] for r in gene_stats(joint).orderBy("pos").collect()])
-    n = df.count()
-    g = np.zeros((width + 1, width + 1))
-    for r in cross_products(centered(joint), width + 1).collect():
-        g[r["i"]] = r["row"]
-    xx, xy, yy = g[:width, :width], g[:width, width], g[width, width]
-    lam_all, vec = np.linalg.eigh((xx + xx.T) / 2)
-    lam_all = np.maximum(lam_all, 0.0)
-    proj = vec.T @ xy
-    prior = 1e-6  # fixed value: both gamma priors
-    noise, weight = 1.0 / (yy / n + np.finfo(float).eps), 1.0
-    old, coef = None, np.zeros(width)
-    for _ in range(max_iter):
-        coef = vec @ (proj / (lam_all + weight / noise))
-        sse = max(yy - 2 * coef @ xy + coef @ xx @ coef, 0.0)
-        used = np.sum(noise * lam_all / (weight + noise * lam_all))
-        weight = (used + 2 * prior) / (coef @ coef + 2 * prior)
-        noise = (n - used + 2 * prior) / (sse + 2 * prior)
-        if old is not None and np.sum(np.abs(old - coef)) < tol:
-            break
-        old = coef
-    coef = vec @ (proj / (lam_all + weight / noise))
-    return LinearTableModel(coef.tolist(), mean[width] - mean[:width] @ coef)._set(valuesCol=values)
+    """Ridge whose noise and weight precisions maximise the evidence."""
+    return fit_evidence(df, target, values, Evidence(max_iter, tol))
 
 
 def random_grid(grid: dict[str, Sequence], n_iter: int, seed: int = 42) -> list[dict]:
@@ -217,9 +151,6 @@ def predict(model: Model, df: DataFrame, values: str = "values") -> DataFrame:
     return model.transform(with_vector(df, values)).drop("features")
 
 
-Fit = Callable[[DataFrame, str], Model]
-
-
 def cv_predictions(
     df: DataFrame, fit: Fit, target: str, key: str = "sig_id", values: str = "values", folds: int = 5,
     seed: int = 42, stratum: str | None = None,
@@ -243,7 +174,20 @@ def cv_score(
     df: DataFrame, fit: Fit, target: str, key: str = "sig_id", values: str = "values", folds: int = 5,
     seed: int = 42, metric: str = "r2",
 ) -> DataFrame:
-    """One row: mean and population std of a metric over the folds."""
+    """One row: mean and population std of a metric over the folds.
+
+    Fits with a penalty form and metrics that follow from products need no
+    predictions; for others every fold is fitted and scored on its rows.
+    """
+    form = Evidence() if fit is fit_bayesian_ridge else penalty_of(fit)
+    sums = None
+    if form is not None and metric in ("r2", "pearson", "weighted_score"):
+        dealt = kfold(df.select(*dict.fromkeys([key, values, target])), key, folds, seed)
+        sums = cross_sums(dealt, target, values, "fold", folds)
+    if sums is not None and (penalty_of(fit) or sums.strips == 1):
+        per = fold_scores(sums, [form], df)
+        per = weighted_score(per) if metric == "weighted_score" else per
+        return per.agg(F.avg(metric).alias("cv_mean"), F.stddev_pop(metric).alias("cv_std"))
     held = cv_predictions(df, fit, target, key, values, folds, seed)
     if metric == "weighted_score":
         per = weighted_score(regression_metrics(held, ["fold"], ["r2", "pearson"]))
@@ -258,9 +202,14 @@ def cv_grid(
 ) -> DataFrame:
     """``candidate`` (position in ``fits``), ``cv_mean`` and ``cv_std`` of R2 for many fits on the same folds.
 
-    Rows are dealt to folds and stored once; each fold's held-out rows are
-    scored by all candidates in one pass.
+    Penalties share one set of products. For other fits rows are dealt to folds
+    and stored once; each fold's held-out rows are scored by all in one pass.
     """
+    penalties = [penalty_of(fit) for fit in fits]
+    if all(p is not None for p in penalties):
+        dealt = kfold(df.select(*dict.fromkeys([key, values, target])), key, folds, seed)
+        per = fold_scores(cross_sums(dealt, target, values, "fold", folds), penalties, df)
+        return per.groupBy("candidate").agg(F.avg("r2").alias("cv_mean"), F.stddev_pop("r2").alias("cv_std"))
     data = cut_lineage(kfold(df.select(*dict.fromkeys([key, values, target])), key, folds, seed))
     out = None
     for f in range(folds):
@@ -281,7 +230,8 @@ def choose_alpha(
 ) -> tuple[float, DataFrame]:
     """Penalty of best mean R2 over the folds, and the score of every candidate."""
     alphas = alphas or ALPHAS
-    found = cv_grid(df, [lambda d, t, a=a: fit(d, t, a) for a in alphas], target, key, values, folds, seed)
+    fits = [partial(fit, alpha=a) if penalty_of(fit) else lambda d, t, a=a: fit(d, t, a) for a in alphas]
+    found = cv_grid(df, fits, target, key, values, folds, seed)
     of = F.element_at(F.array(*[F.lit(float(a)) for a in alphas]), F.col("candidate") + 1)
     scores = cut_lineage(found.select(of.alias("alpha"), "cv_mean", "cv_std"))
     best = scores.orderBy(F.col("cv_mean").desc_nulls_last(), "alpha").first()
@@ -293,7 +243,7 @@ def elastic_net_scores(
 ) -> DataFrame:
     """``alpha, l1_ratio, cv_mean, cv_std`` of every penalty and L1 share."""
     grid = [(a, share) for share in L1_RATIOS for a in ALPHAS]
-    fits = [lambda d, t, a=a, s=s: fit_elastic_net(d, t, a, s, values) for a, s in grid]
+    fits = [partial(fit_elastic_net, alpha=a, l1_ratio=s) for a, s in grid]
     found = cv_grid(df, fits, target, key, values, folds, seed)
     options = F.array(*[F.struct(F.lit(a).alias("alpha"), F.lit(s).alias("l1_ratio")) for a, s in grid])
     of = F.element_at(options, F.col("candidate") + 1)
@@ -335,14 +285,28 @@ def repeat_fit(
     df: DataFrame, fit: Fit, target: str, runs: int, key: str = "sig_id", values: str = "values",
     group: str | None = None, test: float = 0.2, val: float = 0.1, seed: int = 42,
 ) -> DataFrame:
-    """R2 and Pearson per run and part, over fresh random or group splits."""
+    """R2 and Pearson per run and part, over fresh random or group splits.
+
+    Fits with a penalty form share one pass: the products of each run's parts
+    give its fit and its scores.
+    """
     cols = dict.fromkeys([key, values, target] + ([group] if group else []))
+    penalty = penalty_of(fit)
+    if penalty is not None:
+        parts = ["train", "val", "test"]
+        dealt = repeated_splits(df.select(*cols), key, runs, test, val, seed, group)
+        place = F.array_position(F.array(*map(F.lit, parts)), F.col("split")) - 1
+        sums = cross_sums(dealt.withColumn("part", F.col("run") * 3 + place), target, values, "part", 3 * runs)
+        groups = [([3 * r], [f for f in range(3 * r, 3 * r + 3) if sums.n[f]]) for r in range(runs)]
+        per = product_scores(sums, [penalty], groups, df)
+        name = F.element_at(F.array(*map(F.lit, parts)), F.col("fold") % 3 + 1)
+        return per.select(F.col("group").alias("run"), name.alias("split"), "r2", "pearson")
     data = cut_lineage(df.select(*cols))  # read again by every run
     out = None
     for r in range(runs):
         one = split_group(data, group, test, val, seed + r) if group else split_random(data, key, test, val, seed + r)
-        scored = predict(fit(one.where("split = 'train'"), target), one, values)
-        part = scored.select(F.lit(r).alias("run"), "split", F.col(target).alias("target"), "prediction")
+        found = predict(fit(one.where("split = 'train'"), target), one, values)
+        part = found.select(F.lit(r).alias("run"), "split", F.col(target).alias("target"), "prediction")
         out = part if out is None else out.unionByName(part)
     return regression_metrics(out, ["run", "split"], ["r2", "pearson"])
 

@@ -9,15 +9,14 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import pyarrow.parquet as pq
-from pyarrow.fs import FileSelector, FileSystem
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doselake.functions.arrays import CELLS, blocks
+from doselake.functions.parts import read_part, store_parts
 from doselake.functions.ranking import global_row_number
 from doselake.schema import require_columns
-from doselake.session import cut_lineage, scratch_path
+from doselake.session import cut_lineage
 
 METADATA = ("cell_mfc_name", "viability", "pert_dose")
 EDGE = pa.schema([("source", pa.string()), ("pos", pa.int32()), ("weight", pa.float64())])
@@ -52,21 +51,13 @@ class Weights:
     genes: np.ndarray
 
     def edges(self, block: int) -> pa.Table:
-        fs, at = FileSystem.from_uri(self.path)
-        infos = fs.get_file_info(FileSelector(f"{at}/block={block}", allow_not_found=True))
-        files = [i.path for i in infos if i.base_name.endswith(".parquet")]
-        parts = []
-        for f in files:
-            with fs.open_input_file(f) as file:
-                parts.append(pq.ParquetFile(file).read())
-        return pa.concat_tables(parts) if parts else EDGE.empty_table()
+        parts = list(read_part(self.path, block))
+        return pa.Table.from_batches(parts) if parts else EDGE.empty_table()
 
 
 def _stored_weights(edges: DataFrame, block: Column, genes: np.ndarray) -> Weights:
-    path = scratch_path(edges.sparkSession, "weights")
-    blocked = edges.select("source", "pos", F.col("weight").cast("double").alias("weight"), block.cast("int").alias("block"))
-    blocked.repartition("block").write.partitionBy("block").parquet(path)
-    return Weights(path, genes)
+    blocked = edges.select("source", "pos", F.col("weight").cast("double").alias("weight"), block.cast("int").alias("part"))
+    return Weights(store_parts(blocked.repartition("part"), "weights"), genes)
 
 
 def _shared_genes(edges: DataFrame) -> np.ndarray:

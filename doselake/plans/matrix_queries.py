@@ -137,6 +137,36 @@ def pca(t: Tables) -> DataFrame:
     return cells(model.transform(t.matrix), values="components")
 
 
+# Two genes in closed form: the eigenvectors of a symmetric 2 x 2 matrix, the larger loading positive.
+PAIR = """
+WITH v AS (SELECT sig_id, max(x) FILTER (pos = 0) AS x, max(x) FILTER (pos = 1) AS y FROM expr GROUP BY sig_id),
+m AS (SELECT avg(x) AS mx, avg(y) AS my, var_pop(x) AS a, var_pop(y) AS c, covar_pop(x, y) AS b FROM v),
+l AS (SELECT *, unnest([0, 1]) AS component, (a + c) / 2 + (CASE component WHEN 0 THEN 1 ELSE -1 END) * sqrt(((a - c) / 2) ** 2 + b * b) AS l FROM m),
+w AS (SELECT *, b / sqrt(b * b + (l - a) ** 2) AS p, (l - a) / sqrt(b * b + (l - a) ** 2) AS q FROM l),
+e AS (SELECT mx, my, component, l / (a + c) AS ratio, p * s AS p, q * s AS q
+  FROM (SELECT *, CASE WHEN (CASE WHEN abs(p) >= abs(q) THEN p ELSE q END) < 0 THEN -1 ELSE 1 END AS s FROM w))"""
+
+
+def _pair(t: Tables) -> DataFrame:
+    return t.matrix.withColumn("values", F.slice("values", 1, 2))
+
+
+@query(PAIR + "SELECT sig_id, component AS pos, round((x - mx) * p + (y - my) * q, 6) AS x FROM v, e", ints=("pos",))
+def pca_pair(t: Tables) -> DataFrame:
+    return cells(M.CenteredPCA(k=2).fit(_pair(t)).transform(_pair(t)), values="components")
+
+
+@query(PAIR + "SELECT component, round(ratio, 6) AS ratio FROM e", ints=("component",))
+def pca_pair_variance(t: Tables) -> DataFrame:
+    return M.CenteredPCA(variance=1.0).fit(_pair(t)).explained_variance(t.spark).select("component", r("ratio"))
+
+
+@query(PAIR + "SELECT component, rank, pos, round(loading, 6) AS loading FROM (SELECT component, pos, loading, row_number() OVER (PARTITION BY component ORDER BY abs(loading) DESC, pos) AS rank FROM (SELECT component, 0 AS pos, p AS loading FROM e UNION ALL SELECT component, 1, q FROM e))", ints=("component", "rank", "pos"))
+def pca_pair_loadings(t: Tables) -> DataFrame:
+    model = M.CenteredPCA(k=2).fit(_pair(t))
+    return model.top_loadings(t.spark, 2).select("component", "rank", "pos", r("loading"))
+
+
 @query()
 def pca_variance(t: Tables) -> DataFrame:
     return M.CenteredPCA(variance=0.9).fit(t.matrix).explained_variance(t.spark).select("component", r("ratio"))

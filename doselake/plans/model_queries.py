@@ -8,7 +8,6 @@ from __future__ import annotations
 from functools import partial
 
 from pyspark.ml import Model
-from pyspark.ml.regression import LinearRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -101,7 +100,7 @@ WITH m AS (SELECT avg(x) AS mx, avg(y) AS my, covar_pop(x, y) / var_pop(x) AS b
 SELECT sig_id, round(my + b * (x - mx), 4) AS prediction FROM order_rows, m""")
 def load_model(t: Tables) -> DataFrame:
     path = L.save_model(L.fit_linear(_rows(t), "y"), scratch_path(t.spark, "model"))
-    return L.predict(L.load_model(LinearRegressionModel, path), t.order_rows).select("sig_id", r("prediction", 4))
+    return L.predict(L.load_model(L.LinearTableModel, path), t.order_rows).select("sig_id", r("prediction", 4))
 
 
 FOLDS = "f AS (SELECT x, y, ntile(5) OVER (ORDER BY md5('42:' || sig_id)) - 1 AS fold FROM order_rows)"

@@ -187,6 +187,39 @@ def ols_t(y, a):
     return beta / np.sqrt(np.diag(cov))
 
 
+@pytest.mark.parametrize("shape", ["falling", "flat", "thin"])
+def test_block_krylov_equals_numpy(spark, shape):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((300, 40)) * (0.8 ** np.arange(40) if shape == "falling" else 1.0) + 50
+    if shape == "thin":
+        x[:, 5:] = x[:, :5] @ rng.standard_normal((5, 35))
+    values_, vectors = np.linalg.eigh(np.cov(x.T, bias=True))
+    values_, vectors = values_[::-1], vectors[:, ::-1]
+    model = M.CenteredPCA(k=4).fit(frame(spark, x))
+    assert np.allclose(model.ratio, values_[:4] / values_.sum(), rtol=1e-7)
+    assert np.allclose(np.abs((model.loadings * vectors[:, :4]).sum(axis=0)), 1, atol=1e-6)
+    got = np.array([r["components"] for r in model.transform(frame(spark, x)).orderBy("sig_id").collect()])
+    assert np.allclose(got, (x - x.mean(axis=0)) @ model.loadings)
+    part = M.CenteredPCA(variance=0.97).fit(frame(spark, x))
+    assert len(part.ratio) == np.searchsorted(np.cumsum(values_ / values_.sum()), 0.97) + 1
+
+
+def test_krylov_with_restarts():
+    """A small block over a wide operator: many passes, blocks kept are few."""
+    rng = np.random.default_rng(6)
+    u = np.linalg.qr(rng.standard_normal((500, 500)))[0]
+    spectrum = 0.97 ** np.arange(500)
+    calls = []
+
+    def apply(v):
+        calls.append(v.shape[1])
+        return u @ (spectrum[:, None] * (u.T @ v))
+
+    values_, vectors = M.leading_eigenvectors(apply, rng.standard_normal((500, 7)), 3)
+    assert np.allclose(values_, spectrum[:3], rtol=1e-9) and np.allclose(np.abs((vectors * u[:, :3]).sum(axis=0)), 1, atol=1e-7)
+    assert max(calls) <= 7 and len(calls) < 60
+
+
 @pytest.mark.parametrize("gaps", [0, 3])
 def test_ulm_equals_least_squares(spark, gaps):
     net, edges = network(spark)
