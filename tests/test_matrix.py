@@ -352,3 +352,53 @@ def test_diamond(spark):
     cycle = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "leaf")], "parent string, child string")
     with pytest.raises(ValueError):
         O.ontology_layers(cycle)
+    below = {r["node"]: r["n_genes"] for r in O.term_sizes(cycle.union(cycle.limit(0)).union(
+        spark.createDataFrame([("top", "a"), ("other", "g1")], cycle.schema)), genes.union(spark.createDataFrame([("leaf",)], genes.schema))).collect()}
+    assert below == {"a": 1, "b": 1, "top": 1, "other": 1, "leaf": 0, "g1": 0}
+    assert O.term_sizes(edges.limit(0), genes).count() == 0 and O.ontology_layers(edges.limit(0)).count() == 0
+
+
+def test_random_graphs(spark):
+    """Sizes and layers of random DAGs, with chains and genes that are terms, against recursion."""
+    rng = np.random.default_rng(8)
+    for trial in range(2):
+        pairs = {(f"n{a}", f"n{b}") for a, b in zip(rng.integers(0, 60, 90), rng.integers(0, 60, 90)) if a < b}
+        pairs |= {(f"c{i}", f"c{i + 1}") for i in range(12)} | {("c5", "n3"), ("n59", "c0")}
+        genes = {f"n{i}" for i in range(30, 60, 2)} | {"c7"}
+        children = {}
+        for a, b in pairs:
+            children.setdefault(a, set()).add(b)
+
+        def below(node):
+            out = set()
+            for c in children.get(node, ()):
+                out |= below(c) | ({c} & genes)
+            return out
+
+        def layer(node):
+            return max((layer(c) + 1 for c in children.get(node, ())), default=0)
+
+        names = {x for p in pairs for x in p}
+        edges = spark.createDataFrame(sorted(pairs) * 2, "parent string, child string")
+        known = spark.createDataFrame([(g,) for g in genes] * 2, "node string")
+        assert {r["node"]: r["n_genes"] for r in O.term_sizes(edges, known).collect()} == {n: len(below(n)) for n in names}
+        assert {r["node"]: r["layer"] for r in O.ontology_layers(edges).collect()} == {n: layer(n) for n in names}
+
+
+def test_deep_chain_takes_few_rounds(spark):
+    edges = spark.range(2000).select((F.col("id") + 1).cast("string").alias("parent"), F.col("id").cast("string").alias("child"))
+    edges = edges.unionByName(spark.createDataFrame([("2000", "x"), ("7", "y")], edges.schema))
+    layers = {r["node"]: r["layer"] for r in O.ontology_layers(edges).collect()}
+    assert len(layers) == 2003 and all(layers[str(i)] == i for i in range(2001)) and layers["x"] == layers["y"] == 0
+    ring = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "e")], edges.schema)
+    with pytest.raises(ValueError):
+        O.ontology_layers(ring)
+
+
+def test_wide_term_is_many_chunks(spark):
+    genes = spark.range(70_000).select(F.concat(F.lit("g"), F.col("id")).alias("node"))
+    edges = genes.select((F.hash("node") % 5).cast("string").alias("parent"), F.col("node").alias("child"))
+    edges = edges.unionByName(edges.select(F.lit("root").alias("parent"), F.col("parent").alias("child")).distinct())
+    bits, _ = O.descendant_bits(edges, genes)
+    root = bits.where("node = 'root'").agg(F.count("*").alias("n"), F.sum(F.bitmap_count("bits")).alias("genes")).first()
+    assert root.n >= 3 and root.genes == 70_000
