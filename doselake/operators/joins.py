@@ -214,10 +214,13 @@ def pair_controls(
         tagged.where("_control").select(plate, F.col(key).alias("control_id"))
         .withColumn("_h", seeded_hash(seed, "control_id"))
     )
-    numbered = blocked_row_number(
-        hashed, [plate], [F.col("_h"), F.col("control_id")], F.substring("_h", 1, 2), "_no"
-    ).drop("_h")
     sizes = hashed.groupBy(plate).agg(F.count(F.lit(1)).alias("_n"))
+    # blocks of a plate share as many leading digits as leave some 10,000 controls in each
+    digits = F.greatest(F.ceil(F.log(16.0, F.col("_n") / 10_000)), F.lit(0)).cast("int")
+    numbered = blocked_row_number(
+        hashed.join(sizes.withColumn("_d", digits), plate), [plate], [F.col("_h"), F.col("control_id")],
+        F.substring("_h", F.lit(1), F.col("_d")), "_no",
+    ).drop("_h", "_n", "_d")
     draw = F.conv(F.substring(seeded_hash(seed + 1, key), 1, 8), 16, 10).cast("bigint")
     treated = (
         tagged.where(~F.col("_control")).drop("_control")

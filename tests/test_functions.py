@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from doselake.functions import chem, dose, quantiles, text
 from doselake.functions.quantiles import exact_quantiles
 from doselake.functions.ranking import blocked_row_number, global_row_number, hash_cuts, seeded_hash
-from doselake.functions.skew import hot_keys, salted_join
+from doselake.functions.skew import hot_keys, hot_parts, salted_join
 
 
 def skewed(spark, n=3000):
@@ -117,6 +117,29 @@ def test_salted_join_equals_join(spark, how):
     assert sorted(map(str, salted.collect())) == sorted(map(str, plain.select(salted.columns).collect()))
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_salted_join_with_hot_keys_on_both_sides(spark, how):
+    """Hot on the left, on the right, on both; null keys never match."""
+    left = skewed(spark, 1200).withColumn("k", F.when(F.col("id") % 7 == 0, F.lit(None)).when(F.col("id") % 11 == 0, F.lit("both")).otherwise(F.col("k")))
+    right = spark.range(0, 900, 1, 5).select(
+        F.when(F.col("id") < 300, "k7").when(F.col("id") < 500, "both").when(F.col("id") < 600, F.lit(None)).otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k"),
+        F.col("id").alias("w"),
+    )
+    plain = left.join(right, "k", how)
+    salted = salted_join(left, right, ["k"], how, share=0.05)
+    assert sorted(map(str, salted.collect())) == sorted(map(str, plain.select(salted.columns).collect()))
+
+
+def test_hot_right_key_is_split(spark):
+    """No task of the join gets more than a part of a key that is hot on the right."""
+    left = spark.range(40).select((F.col("id") % 20).alias("k"), F.col("id").alias("a"))
+    right = spark.range(0, 8000, 1, 4).select(F.when(F.col("id") % 2 == 0, 3).otherwise(F.col("id") % 20).alias("k"), F.col("id").alias("b"))
+    parts = {r["_h"]: (r["_a"], r["_b"]) for r in hot_parts(left, right, ["k"], 0.05, 64).collect()}
+    key = spark.range(1).select(F.xxhash64(F.lit(3).cast("bigint"))).first()[0]
+    assert parts[key][0] <= 2 and 10 <= parts[key][1] <= 12
+    assert all(b <= 2 for h, (_, b) in parts.items() if h != key)
+
+
 def test_hot_keys_finds_only_the_hot(spark):
     assert [r["k"] for r in hot_keys(skewed(spark), ["k"], 0.2).first()[0]] == ["hot"]
 
