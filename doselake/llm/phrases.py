@@ -28,7 +28,7 @@ DEPTH = 5
 #: Bytes of text worked on at a time; a piece without end may pass it.
 CHUNK = 8 << 20
 #: Texts that a task receives at a time.
-TEXTS = 2_000
+TEXTS = 1_000
 #: Bits of a filter at most. A fuller filter prunes less and changes no result.
 FILTER_BITS = 1 << 27
 #: Rows of a filter's block, in bytes.
@@ -171,11 +171,13 @@ def build_filter(hashes: DataFrame) -> Filter:
             if part.any():
                 yield pa.RecordBatch.from_pydict({"block": [block], "bits": [part.tobytes()]}, schema)
 
-    def unite(part: pa.Table) -> pa.Table:
-        bits = np.zeros(BLOCK, np.uint8)
-        for x in part.column("bits").to_pylist():
-            bits |= np.frombuffer(x, np.uint8)
-        return pa.table({"block": part.column("block")[:1], "bits": [bits.tobytes()]}, schema)
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, block = np.zeros(BLOCK, np.uint8), None
+        for batch in batches:
+            block = batch.column("block")[:1]
+            for x in batch.column("bits").to_pylist():
+                bits |= np.frombuffer(x, np.uint8)
+        yield pa.RecordBatch.from_pydict({"block": block, "bits": [bits.tobytes()]}, schema)
 
     marked = hashes.select("h").mapInArrow(mark, "block int, bits binary")
     whole = np.zeros(size // 8, np.uint8)
@@ -245,31 +247,6 @@ def windows(words: Words, pairs: np.ndarray) -> tuple[list[pa.Array], np.ndarray
     return [names.take(pa.array((c[first] - 1) % base)) for c in columns], n
 
 
-class Sums:
-    """Counts of suffixes over the chunks of a task: added up, and handed over when more than ``most`` differ."""
-
-    def __init__(self, most: int = 200_000):
-        self.most, self.parts, self.rows = most, [], 0
-
-    def add(self, part: pa.Table) -> pa.Table | None:
-        self.parts.append(part)
-        self.rows += part.num_rows
-        if self.rows <= 2 * self.most:
-            return None
-        whole = self.whole()
-        if whole.num_rows > self.most:
-            self.parts, self.rows = [], 0
-            return whole
-        self.parts, self.rows = [whole], whole.num_rows
-        return None
-
-    def whole(self) -> pa.Table:
-        if not self.parts:
-            return SUFFIX.empty_table()
-        summed = pa.concat_tables(self.parts).group_by(["lang", "phrase"], use_threads=False).aggregate([("n", "sum")])
-        return summed.select(["lang", "phrase", "n_sum"]).rename_columns(SUFFIX.names)
-
-
 def frequent_windows(texts: DataFrame, frequent: DataFrame, least: int) -> DataFrame:
     """``lang, phrase, n``: distinct truncated suffixes of two words or more, with their totals over all texts.
 
@@ -293,16 +270,12 @@ def frequent_windows(texts: DataFrame, frequent: DataFrame, least: int) -> DataF
     paired = sc.broadcast(build_filter(common))
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = Sums()
         for batch in batches:
             for lang, words in by_lang(batch):
                 h = pair_hashes(words, lang, known.value)
                 columns, n = windows(words, (h != 0) & paired.value.has(h))
                 phrase = pc.binary_join_element_wise(*columns, pa.scalar(" ", pa.large_string()), null_handling="skip")
-                full = sums.add(pa.Table.from_arrays([pa.array([lang] * len(n), pa.string()), phrase, pa.array(n)], schema=SUFFIX))
-                if full is not None:
-                    yield from full.to_batches()
-        yield from sums.whole().to_batches()
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), phrase, pa.array(n)], schema=SUFFIX)
 
     rows = texts.mapInArrow(suffixes, "lang string, phrase string, n bigint")
     return rows.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
