@@ -6,14 +6,11 @@ blocks of consecutive rows; block totals, a small table, carry what precedes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from doselake.functions.orbits import next_lower, orbit
 from doselake.functions.ranking import blocked_row_number, global_row_number
 from doselake.session import cut_lineage
 
@@ -119,21 +116,25 @@ def metric_history(df: DataFrame, metric: str, keys: list[str], name: str = "met
     return ordinals(one, keys, step)
 
 
-def _thin_records(keys: list[str], min_delta: float):
-    """Keeps the rows that improve by more than ``min_delta``; input sorted by key, ``rn``."""
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, best = None, np.inf
-        for b in batches:
-            keep = np.zeros(len(b), dtype=bool)
-            rows = zip(*[b[k].tolist() for k in keys]) if keys else [()] * len(b)
-            for i, (key, v) in enumerate(zip(rows, b["_v"].to_numpy())):
-                if key != current:
-                    current, best = key, np.inf
-                if v < best - min_delta:
-                    best, keep[i] = v, True
-            yield b.loc[keep, [*keys, "rn"]]
+def margin_records(records: DataFrame, keys: list[str], min_delta: float) -> DataFrame:
+    """Of the record lows ``keys, rn, _v``, those that improve by more than ``min_delta`` on the last that did: ``keys, rn``.
 
-    return fold
+    Each low points to the first later one beyond the margin; the chain that
+    begins with a key's first low is what counts. Sorted by ranges, so a key of
+    very many lows is worked on by many tasks.
+    """
+    tasks = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col(k).asc_nulls_first() for k in keys] + [F.col("rn")]
+    numbered = cut_lineage(
+        records.repartitionByRange(tasks, *order).sortWithinPartitions(*order).withColumn("id", F.monotonically_increasing_id())
+    )
+    first = numbered.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min("id").alias("kid"))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    rows = cut_lineage(numbered.join(first, same).select("kid", "id", F.col("_v").alias("v"), *keys, "rn"))
+    kept = orbit(next_lower(rows.select("kid", "id", "v"), min_delta, tasks), rows.select(F.col("kid").alias("id")).distinct())
+    return rows.join(kept, "id").select(*keys, "rn")
 
 
 def improvements(
@@ -143,7 +144,7 @@ def improvements(
 
     A row can improve on the best only if it is below every earlier value. With
     ``min_delta = 0`` that is the whole rule. Otherwise the best depends on the
-    path, and those record lows alone are folded in order, batch by batch.
+    path, which is followed over those record lows alone.
     """
     sign = {"min": 1.0, "max": -1.0}.get(mode)
     if sign is None:
@@ -155,15 +156,8 @@ def improvements(
     flagged = low.withColumn("_better", record).drop("_low")
     if min_delta == 0:
         return flagged
-    schema = ", ".join(
-        f"`{f.name}` {f.dataType.simpleString()}" for f in flagged.schema if f.name in [*keys, "rn"]
-    )
     records = flagged.where("_better").select(*keys, "rn", "_v")
-    kept = (
-        records.repartition(*keys).sortWithinPartitions(*keys, "rn")
-        .mapInPandas(_thin_records(keys, min_delta), schema)
-        .withColumn("_kept", F.lit(True))
-    )
+    kept = margin_records(records, keys, min_delta).withColumn("_kept", F.lit(True))
     return flagged.drop("_better").join(kept, [*keys, "rn"], "left").withColumn(
         "_better", F.coalesce("_kept", F.lit(False))
     ).drop("_kept")
