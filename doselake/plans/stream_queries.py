@@ -11,11 +11,15 @@ from doselake.session import scratch_path
 from doselake.streaming import metrics as R
 
 
-def _events(t: Tables) -> DataFrame:
-    source = (
-        t.spark.readStream.schema(t.raw("events").schema)
-        .option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 1).parquet(t.folder)
-    )
+def _events(t: Tables, files: int = 4) -> DataFrame:
+    """The events in ``files`` files by their order, each a micro-batch of its own."""
+    path, events = scratch_path(t.spark, "events"), t.raw("events")
+    last = events.agg(F.max("event_id")).first()[0]
+    for i in range(files):  # one after the other, as files arrive
+        low, high = last * i // files, last * (i + 1) // files
+        part = events.where((F.col("event_id") <= high) & ((F.col("event_id") > low) if i else F.lit(True)))
+        part.coalesce(1).write.mode("append").parquet(path)
+    source = t.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
     return source.select(
         F.col("user_id").alias("run"), F.col("event_type").alias("metric"), F.col("event_id").alias("step"), "value"
     )
@@ -25,11 +29,12 @@ def drain(df: DataFrame, label: str) -> DataFrame:
     """Run a stream over what has arrived, into files, and read the result."""
     spark = df.sparkSession
     out, state = scratch_path(spark, label), scratch_path(spark, f"{label}-state")
-    q = (
-        df.writeStream.format("parquet").outputMode("append").option("checkpointLocation", state)
-        .trigger(availableNow=True).start(out)
-    )
-    q.awaitTermination()
+    with R.rocks_state(spark):
+        q = (
+            df.writeStream.format("parquet").outputMode("append").option("checkpointLocation", state)
+            .trigger(availableNow=True).start(out)
+        )
+        q.awaitTermination()
     return spark.read.schema(df.schema).parquet(out)
 
 
@@ -44,6 +49,18 @@ def stream_moving_stats(t: Tables) -> DataFrame:
     return s.select("run", "metric", "step", r("mean"), r("std", 5), "min", "max", "last")
 
 
+HUNDRED = "OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)"
+
+
+@query(f"""
+SELECT event_type AS metric, event_id AS step, round(avg(value) {HUNDRED}, 4) AS mean, round(stddev_pop(value) {HUNDRED}, 4) AS std,
+  min(value) {HUNDRED} AS min, max(value) {HUNDRED} AS max, value AS last FROM events""")
+def stream_moving_stats_hundred(t: Tables) -> DataFrame:
+    """The latest hundred values of each metric, over all runs."""
+    s = drain(R.stream_moving_stats(_events(t).drop("run"), ["metric"], window=100), "moving")
+    return s.select("metric", "step", r("mean", 4), r("std", 4), "min", "max", "last")
+
+
 @query("""
 WITH RECURSIVE h AS (SELECT user_id AS run, event_type AS metric, event_id, value,
     row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS n FROM events),

@@ -1,26 +1,43 @@
-"""Metric streams with bounded state per key."""
+"""Metric streams with bounded state per key, on ``transformWithState`` (needs the RocksDB state store)."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: Windows computed at a time.
 FRAMES = 4096
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def rocks_state(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB; a cluster that sets it for all needs no more."""
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, ROCKS)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(STORE)
+        else:
+            spark.conf.set(STORE, before)
 
 
 def _types(df: DataFrame, names: list[str]) -> str:
     return ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
 
 
-def _in_order(batches: Iterator[pd.DataFrame], step: str) -> pd.DataFrame:
-    """The rows of one key in one micro-batch, whose size the source limits."""
-    parts = list(batches)
+def _in_order(batches: Iterator[pd.DataFrame], names: list[str], step: str) -> pd.DataFrame:
+    """The rows of one key in one micro-batch, whose size the source limits. Computed columns come without their names."""
+    parts = [b.set_axis(names, axis=1) for b in batches]
     return pd.concat(parts, ignore_index=True).sort_values(step, kind="stable") if parts else pd.DataFrame()
 
 
@@ -38,6 +55,36 @@ def _window_stats(v: np.ndarray, ok: np.ndarray, window: int) -> dict[str, np.nd
     return {"mean": mean, "std": std, "min": low, "max": high, "_some": n > 0}
 
 
+class MovingWindow(StatefulProcessor):
+    """Holds the last ``window - 1`` rows of a key as a list: value, and whether it was there."""
+
+    def __init__(self, keys: list[str], step: str, window: int):
+        self.keys, self.step, self.window = keys, step, window
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getListState("held", "v DOUBLE, there BOOLEAN")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        before = list(self.held.get()) if self.held.exists() else []
+        now = _in_order(rows, [*self.keys, self.step, "_v", "_there"], self.step)
+        if now.empty:
+            return
+        pad = self.window - 1 - len(before)
+        v = np.concatenate([np.zeros(pad), [r[0] for r in before], now["_v"].to_numpy("float64")])
+        ok = np.concatenate([np.zeros(pad, bool), np.array([r[1] for r in before], bool), now["_there"].to_numpy(bool)])
+        for at in range(0, len(now), FRAMES):
+            part = slice(at, min(at + FRAMES, len(now)) + self.window - 1)
+            some = now.iloc[at:at + FRAMES]
+            yield pd.DataFrame({
+                **{k: [x] * len(some) for k, x in zip(self.keys, key, strict=True)}, self.step: some[self.step].to_numpy(),
+                **_window_stats(v[part], ok[part], self.window),
+                "last": some["_v"].to_numpy("float64"), "_there": some["_there"].to_numpy(bool),
+            })
+        known = min(self.window - 1, len(before) + len(now))
+        if known:
+            self.held.put([(float(x), bool(y)) for x, y in zip(v[-known:], ok[-known:], strict=True)])
+
+
 def stream_moving_stats(
     df: DataFrame, keys: list[str], step: str = "step", value: str = "value", window: int = 100
 ) -> DataFrame:
@@ -45,36 +92,15 @@ def stream_moving_stats(
 
     As in the batch operator, NULL takes a place in the window but no part in
     its statistics, and NaN counts as a value above all others. State is the
-    last ``window - 1`` rows.
+    last ``window - 1`` rows. Rows of a key come in step order from one
+    micro-batch to the next; within one they are sorted.
     """
     names = ["mean", "std", "min", "max", "last"]
-    out = (f"{_types(df, keys)}, {_types(df, [step])}, " + ", ".join(f"{n} DOUBLE" for n in names)
-           + ", _some BOOLEAN, _there BOOLEAN")
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, there = state.get if state.exists else ([], [])
-        rows = _in_order(batches, step)
-        if rows.empty:
-            return
-        pad = window - 1 - len(held)
-        v = np.concatenate([np.zeros(pad), np.array(held, dtype="float64"), rows["_v"].to_numpy("float64")])
-        ok = np.concatenate([np.zeros(pad, bool), np.array(there, dtype=bool), rows["_there"].to_numpy(bool)])
-        for at in range(0, len(rows), FRAMES):
-            part = slice(at, min(at + FRAMES, len(rows)) + window - 1)
-            stats = _window_stats(v[part], ok[part], window)
-            now = rows.iloc[at:at + FRAMES]
-            yield pd.DataFrame({
-                **{k: [x] * len(now) for k, x in zip(keys, key)}, step: now[step].to_numpy(), **stats,
-                "last": now["_v"].to_numpy("float64"), "_there": now["_there"].to_numpy(bool),
-            })
-        known = min(window - 1, len(held) + len(rows))
-        state.update((v[len(v) - known:].tolist(), ok[len(ok) - known:].tolist()))
-
+    out = (f"{_types(df, keys)}, {_types(df, [step])}, " + ", ".join(f"`{n}` DOUBLE" for n in names[:-1])
+           + ", _some BOOLEAN, `last` DOUBLE, _there BOOLEAN")
     flagged = df.select(*keys, step, F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("_v"),
                         F.col(value).isNotNull().alias("_there"))
-    stats = flagged.groupBy(*keys).applyInPandasWithState(
-        update, out, "held ARRAY<DOUBLE>, there ARRAY<BOOLEAN>", "append", GroupStateTimeout.NoTimeout
-    )
+    stats = flagged.groupBy(*keys).transformWithStateInPandas(MovingWindow(keys, step, window), out, "Append", "none")
     # pandas hands NaN over as NULL; the flags tell them apart
     known = {n: F.col("_there" if n == "last" else "_some") for n in names}
     return stats.select(*keys, step, *[
@@ -82,6 +108,63 @@ def stream_moving_stats(
     ])
 
 
+class Stopping(StatefulProcessor):
+    """Best value, its step and the wait of a key that still runs. A key that stopped keeps a flag alone."""
+
+    def __init__(self, keys: list[str], step: str, value: str, patience: int, min_delta: float, sign: float):
+        self.keys, self.step, self.value = keys, step, value
+        self.patience, self.min_delta, self.sign = patience, min_delta, sign
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.progress = handle.getValueState("progress", "best DOUBLE, best_step BIGINT, wait BIGINT")
+        self.stopped = handle.getValueState("stopped", "stopped BOOLEAN")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        if self.stopped.exists():
+            return
+        best, best_step, wait = self.progress.get() if self.progress.exists() else (np.inf, None, 0)
+        now = _in_order(rows, [*self.keys, self.step, self.value], self.step)
+        if now.empty:
+            return
+        steps, v = now[self.step].to_numpy(), now[self.value].to_numpy("float64") * self.sign
+        at, lows = improved(v, best, self.min_delta)
+        # rows since the last improvement, counted on from before this micro-batch
+        last = np.full(len(v), -1 - wait)
+        last[at] = at
+        late = np.arange(len(v)) - np.maximum.accumulate(last) >= self.patience
+        end = int(np.argmax(late)) if late.any() else len(v) - 1
+        done = at[at <= end]
+        if len(done):
+            best, best_step = float(lows[len(done) - 1]), int(steps[done[-1]])
+        if late.any():
+            self.progress.clear()
+            self.stopped.update((True,))
+            yield pd.DataFrame({
+                **{k: [x] for k, x in zip(self.keys, key, strict=True)}, "stop_step": [int(steps[end])],
+                "best_step": pd.array([best_step], "Int64"), "best_value": [best * self.sign if best_step is not None else None],
+            })
+        else:
+            self.progress.update((best, best_step, int(len(v) - 1 - np.maximum.accumulate(last)[-1])))
+
+
+def improved(v: np.ndarray, best: float, min_delta: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places and values of ``v`` that are lower than the last such one, at first ``best``, by more than ``min_delta``.
+
+    Only values below all before them can be; without a margin all of those are.
+    """
+    real = np.where(np.isnan(v), np.inf, v)
+    before = np.minimum.accumulate(np.concatenate([[best], real]))[:-1]
+    at = np.flatnonzero(real < before)
+    if min_delta:
+        kept = []
+        for i in at.tolist():
+            if real[i] < best - min_delta:
+                best = real[i]
+                kept.append(i)
+        at = np.array(kept, np.int64)
+    return at, real[at]
+
+
 def stream_early_stop(
     df: DataFrame, keys: list[str], step: str = "step", value: str = "value", patience: int = 5,
     min_delta: float = 0.0, mode: str = "min",
@@ -89,35 +172,14 @@ def stream_early_stop(
     """One row per key, emitted when the key stops improving.
 
     As in the batch operator, NULL is skipped and NaN is a value that is no
-    better. State is the best value, its step, the wait, and whether the key stopped.
+    better. State is the best value, its step and the wait; all of it is dropped
+    when the key stops, but for the flag that keeps later rows from starting anew.
     """
     if mode not in ("min", "max"):
         raise ValueError(f"mode must be 'min' or 'max', not {mode}")
     sign = 1.0 if mode == "min" else -1.0
     step_type = df.schema[step].dataType.simpleString()
     out = f"{_types(df, keys)}, stop_step {step_type}, best_step {step_type}, best_value DOUBLE"
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best, best_step, wait, stopped = state.get if state.exists else (float("inf"), None, 0, False)
-        rows = _in_order(batches, step)
-        hit = None
-        if not rows.empty and not stopped:
-            for s, v in zip(rows[step], rows[value]):
-                if v * sign < best - min_delta:  # never true of NaN
-                    best, best_step, wait = float(v * sign), int(s), 0
-                else:
-                    wait += 1
-                if wait >= patience:
-                    stopped, hit = True, int(s)
-                    break
-        state.update((best, best_step, wait, stopped))
-        if hit is not None:
-            row = {k: [v] for k, v in zip(keys, key)}
-            yield pd.DataFrame({**row, "stop_step": [hit], "best_step": [best_step],
-                                "best_value": [best * sign if best_step is not None else None]})
-
-    present = df.select(*keys, step, value).where(F.col(value).isNotNull())
-    return present.groupBy(*keys).applyInPandasWithState(
-        update, out, "best DOUBLE, best_step BIGINT, wait INT, stopped BOOLEAN", "append",
-        GroupStateTimeout.NoTimeout,
-    )
+    present = df.select(*keys, step, F.col(value).cast("double").alias(value)).where(F.col(value).isNotNull())
+    how = Stopping(keys, step, value, patience, min_delta, sign)
+    return present.groupBy(*keys).transformWithStateInPandas(how, out, "Append", "none")

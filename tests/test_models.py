@@ -205,6 +205,40 @@ def test_ablation_of_any_model(rows):
     assert np.allclose([got[(i, 1)] for i in range(200)], D[:, 1] * linear.coefficients[1])
 
 
+def test_improvements_of_a_batch():
+    rng = np.random.default_rng(7)
+    for _ in range(300):
+        v = np.where(rng.random(20) < 0.1, np.nan, rng.integers(-5, 5, 20).astype(float))
+        start, delta = rng.choice([np.inf, 1.0]), rng.choice([0.0, 1.5])
+        best, want = start, []
+        for i, x in enumerate(v):
+            if x < best - delta:
+                best = x
+                want.append(i)
+        at, low = R.improved(v, start, delta)
+        assert at.tolist() == want and low.tolist() == v[want].tolist()
+
+
+def test_stopped_keys_leave_a_flag_only(spark, tmp_path):
+    """State is carried over micro-batches; a key that stopped holds no progress, and later rows do not start it anew."""
+    def part(lo, hi):
+        rows = [("up", i, float(i)) for i in range(lo, hi)] + [("down", i, -float(i)) for i in range(lo, hi)]
+        return spark.createDataFrame(rows, "k string, step bigint, value double")
+
+    parts = [part(0, 3), part(3, 6), part(6, 9), part(9, 30)]
+    s = stream_of(spark, str(tmp_path), parts)
+    state = str(tmp_path / "state")
+    with R.rocks_state(spark):
+        q = R.stream_early_stop(s, ["k"], patience=4).writeStream.format("parquet").option("checkpointLocation", state)
+        q.trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+        progress = spark.read.format("statestore").option("stateVarName", "progress").load(state)
+        assert [r.key.k for r in progress.collect()] == ["down"]
+        flags = spark.read.format("statestore").option("stateVarName", "stopped").load(state)
+        assert [r.key.k for r in flags.collect()] == ["up"]
+    out = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert [(r.k, r.stop_step, r.best_step, r.best_value) for r in out] == [("up", 4, 0, 0.0)]
+
+
 def test_ensemble(spark):
     df = spark.createDataFrame([(1, "a", 1.0), (1, "b", 3.0), (2, "a", 5.0)], "sig_id int, member string, prediction double")
     out = {r["sig_id"]: (r["prediction"], r["std"]) for r in L.ensemble_mean_std(df).collect()}
