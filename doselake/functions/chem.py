@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml.feature import HashingTF, NGram
-from pyspark.ml.functions import vector_to_array
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -149,12 +149,26 @@ def char_indices(df: DataFrame, structure: str, alphabet: str, out: str = "char_
 def fingerprint_ngrams(
     df: DataFrame, structure: str, dose: str, size: int = 1024, n: int = 3, out: str = "features"
 ) -> DataFrame:
-    """0/1 vector of hashed character n-grams, then the dose; blank strings dropped."""
-    kept = df.where(F.length(F.trim(F.col(structure))) > 0).withColumn(
-        "_chars", F.filter(F.split(F.col(structure), ""), lambda c: c != "")
-    )
-    grams = NGram(n=n, inputCol="_chars", outputCol="_grams").transform(kept)
-    bits = HashingTF(numFeatures=size, binary=True, inputCol="_grams", outputCol="_bits").transform(grams)
-    return bits.withColumn(
-        out, F.concat(vector_to_array("_bits"), F.array(F.col(dose).cast("double")))
-    ).drop("_chars", "_grams", "_bits")
+    """0/1 vector of character n-grams, then the dose; blank strings dropped.
+
+    A gram's place is the number of the first eight hex digits of its md5,
+    modulo ``size``, so any engine gives the same vector.
+    """
+    chars = F.filter(F.split(F.col(structure), ""), lambda c: c != "")
+    kept = df.where(F.length(F.trim(F.col(structure))) > 0).withColumn("_chars", chars)
+    starts = F.when(F.size("_chars") >= n, F.sequence(F.lit(0), F.size("_chars") - n)).otherwise(F.array().cast("array<int>"))
+    grams = F.array_distinct(F.transform(starts, lambda i: F.concat(*[F.get("_chars", i + j) for j in range(n)])))
+    places = F.transform(grams, lambda g: (F.conv(F.substring(F.md5(g.cast("binary")), 1, 8), 16, 10).cast("bigint") % size).cast("int"))
+
+    @F.pandas_udf("array<double>")
+    def dense(places: pd.Series) -> pd.Series:
+        made = []
+        for at in places:
+            bits = np.zeros(size)
+            bits[np.asarray(at, dtype=np.int64)] = 1.0
+            made.append(bits)
+        return pd.Series(made, dtype=object)
+
+    return kept.withColumn(
+        out, F.concat(dense(F.array_distinct(places)), F.array(F.col(dose).cast("double")))
+    ).drop("_chars")

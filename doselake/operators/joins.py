@@ -94,6 +94,16 @@ def match_with_fallback(
     return salted_join(flagged, _keyed_curves(curves), MATCH_KEYS).drop("_key")
 
 
+def matched_sides(
+    signatures: DataFrame, curves: DataFrame, key_a: str = "pert_mfc_id", key_b: str = "cmap_name"
+) -> tuple[DataFrame, DataFrame]:
+    """The signatures that ``match_with_fallback`` matches, and the curves it matches them with; no pairs are made."""
+    flagged, keyed = _with_strategy(signatures, curves, key_a, key_b), _keyed_curves(curves)
+    found = flagged.join(keyed.select(*MATCH_KEYS).distinct(), MATCH_KEYS, "left_semi")
+    used = keyed.join(flagged.select(*MATCH_KEYS).distinct(), MATCH_KEYS, "left_semi")
+    return found.drop("_key"), used.drop("_key", "strategy").distinct()
+
+
 def _weighted_mean(weight: str, value: str) -> Column:
     w = F.when(F.col(value).isNotNull(), F.col(weight))
     return F.try_divide(F.sum(w * F.col(value)), F.sum(w))

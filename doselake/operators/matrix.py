@@ -200,7 +200,7 @@ class Imputer(_OnValues, Estimator, DefaultParamsReadable, DefaultParamsWritable
 
 
 class NoisyRows(_OnValues, Transformer, DefaultParamsReadable, DefaultParamsWritable):
-    """Gaussian noise from a hash of (seed, key, position): stable under retries."""
+    """Gaussian noise from an md5 of (seed, key, position): stable under retries, and the same in any engine."""
 
     mean = Param(Params._dummy(), "mean", "", TypeConverters.toFloat)
     std = Param(Params._dummy(), "std", "", TypeConverters.toFloat)
@@ -216,8 +216,9 @@ class NoisyRows(_OnValues, Transformer, DefaultParamsReadable, DefaultParamsWrit
         key = self.getOrDefault(self.key)
 
         def uniform(i: Column, salt: int) -> Column:
-            h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(salt), F.col(key), i), 11)
-            return (h.cast("double") + 0.5) / F.lit(float(1 << 53))
+            named = F.concat(F.lit(f"{seed}:{salt}:"), F.col(key).cast("string"), F.lit(":"), i.cast("string"))
+            h = F.conv(F.substring(F.md5(named.cast("binary")), 1, 13), 16, 10)
+            return (h.cast("double") + 0.5) / F.lit(float(1 << 52))
 
         def noisy(x: Column, i: Column) -> Column:
             z = F.sqrt(-2.0 * F.log(uniform(i, 1))) * F.cos(2 * math.pi * uniform(i, 2))

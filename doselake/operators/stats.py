@@ -27,14 +27,19 @@ def min_concentration(curves: DataFrame, measurements: DataFrame) -> DataFrame:
     ).drop("_c")
 
 
-def match_summary(matched: DataFrame, eligible: DataFrame, compound: str = "cpd_smiles") -> DataFrame:
-    """Matches, distinct compounds, and the matched share of eligible signatures."""
+def match_summary(
+    matched: DataFrame, eligible: DataFrame, compound: str = "cpd_smiles", compounds: DataFrame | None = None
+) -> DataFrame:
+    """Matches, distinct compounds, and the matched share of eligible signatures.
+
+    ``matched`` holds pairs, or signatures only; then ``compounds`` holds the
+    rows whose compounds are counted.
+    """
     n = eligible.agg(F.countDistinct("sig_id"))
+    found = matched if compounds is None else compounds
     return (
-        matched.agg(
-            F.countDistinct("sig_id").alias("n_matched"),
-            F.countDistinct(compound).alias("n_compounds"),
-        )
+        matched.agg(F.countDistinct("sig_id").alias("n_matched"))
+        .withColumn("n_compounds", found.agg(F.countDistinct(compound)).scalar())
         .withColumn("n_eligible", n.scalar())
         .withColumn("coverage", F.try_divide(F.col("n_matched"), F.col("n_eligible")))
     )

@@ -272,9 +272,8 @@ def missing_genes(t: Tables) -> DataFrame:
 
 @query("SELECT sig_id, round(avg(v), 6) AS viability, count(*) AS n_curves FROM evaluated GROUP BY sig_id")
 def mean_viability(t: Tables) -> DataFrame:
-    pairs = J.match_with_fallback(P.filter_signatures(t.siginfo), _named(t))
-    value = sig3upper(F.col("p1_center"), F.col("p2_slope"), F.col("p4_baseline"), log2_dose(F.col("pert_dose")))
-    return A.mean_viability(pairs.withColumn("viability", value)).select("sig_id", r("viability"), "n_curves")
+    means = J.signature_viability(P.filter_signatures(t.siginfo), _named(t), clip=False)
+    return means.select("sig_id", r("viability"), "n_curves")
 
 
 @query("""
@@ -294,5 +293,6 @@ SELECT count(DISTINCT m.sig_id) AS n_matched, count(DISTINCT p.cpd_smiles) AS n_
 FROM matched m JOIN per_compound p USING (master_cpd_id)""")
 def match_summary(t: Tables) -> DataFrame:
     e = P.filter_signatures(t.siginfo)
-    m = J.match_with_fallback(e, _named(t)).join(t.per_compound.select("master_cpd_id", "cpd_smiles"), "master_cpd_id")
-    return A.match_summary(m, e).select("n_matched", "n_compounds", "n_eligible", r("coverage"))
+    signatures, curves = J.matched_sides(e, _named(t))
+    compounds = curves.join(t.per_compound.select("master_cpd_id", "cpd_smiles"), "master_cpd_id")
+    return A.match_summary(signatures, e, compounds=compounds).select("n_matched", "n_compounds", "n_eligible", r("coverage"))

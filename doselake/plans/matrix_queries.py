@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from doselake import registry
 from doselake.operators import knn
 from doselake.operators import matrix as M
 from doselake.operators import select as P
@@ -110,7 +111,11 @@ def chain_transforms(t: Tables) -> DataFrame:
     return cells(both.fit(t.matrix).transform(t.matrix), digits=5)
 
 
-@query()
+U = "(CAST('0x' || substr(md5('42:{}:' || sig_id || ':' || pos), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE"
+
+
+@query(f"""
+SELECT sig_id, pos, round(x + 0.01::DOUBLE * sqrt(-2 * ln({U.format(1)})) * cos(2 * pi() * {U.format(2)}), 6) AS x FROM expr""")
 def gaussian_noise(t: Tables) -> DataFrame:
     noisy = M.NoisyRows(0.0, 0.01).transform(t.matrix)
     return cells(noisy)
@@ -123,6 +128,13 @@ def feature_dropout(t: Tables) -> DataFrame:
     return cells(M.FeatureDropout(0.2).transform(t.matrix))
 
 
+@query("""
+SELECT sig_id, pos, round(x * CASE WHEN CAST('0x' || substr(md5('7:' || pos), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE < 0.3::DOUBLE
+  THEN 0 ELSE 1 END, 6) AS x FROM expr""")
+def create_augmentation(t: Tables) -> DataFrame:
+    return cells(registry.create_augmentation("dropout", drop_prob=0.3, seed=7).transform(t.matrix))
+
+
 @query(f"""
 WITH {OF_EXPR}, k AS (SELECT pos FROM s WHERE v > 0.015::DOUBLE)
 SELECT e.sig_id, row_number() OVER (PARTITION BY e.sig_id ORDER BY e.pos) - 1 AS pos, round(e.x, 6) AS x

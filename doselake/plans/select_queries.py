@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from doselake import registry
 from doselake.functions import chem, dose, text
 from doselake.functions.ranking import global_row_number
 from doselake.operators import select as P
@@ -307,8 +308,23 @@ def decode_text(t: Tables) -> DataFrame:
     return t.raw("documents").select("doc_id", text.decode_text(broken).alias("decoded"))
 
 
-@query()
+GRAMS = """
+SELECT sig_id, CAST({size} + 1 AS INTEGER) AS width, list_sort(list_distinct(list_transform(
+    CASE WHEN len(smiles) >= {n} THEN range(1, len(smiles) - {n} + 2) ELSE [] END,
+    lambda i: CAST(CAST('0x' || substr(md5(substr(smiles, CAST(i AS INTEGER), {n})), 1, 8) AS BIGINT) % {size} AS INTEGER)))) AS bits, dosage
+FROM structures WHERE len(trim(smiles, ' ')) > 0"""
+
+
+@query(GRAMS.format(size=256, n=4))
+def create_features(t: Tables) -> DataFrame:
+    return _bits(registry.create_features("fingerprint", size=256, n=4)(t.structures, "sig_id", "smiles", "dosage"))
+
+
+@query(GRAMS.format(size=1024, n=3))
 def fingerprint_ngrams(t: Tables) -> DataFrame:
-    f = chem.fingerprint_ngrams(t.structures, "smiles", "dosage")
+    return _bits(chem.fingerprint_ngrams(t.structures, "smiles", "dosage"))
+
+
+def _bits(f: DataFrame) -> DataFrame:
     bits = F.filter(F.sequence(F.lit(0), F.size("features") - 2), lambda i: F.get("features", i) == 1)
     return f.select("sig_id", F.size("features").alias("width"), bits.alias("bits"), F.element_at("features", -1).alias("dosage"))

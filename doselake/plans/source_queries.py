@@ -23,6 +23,12 @@ def read_tsv(t: Tables) -> DataFrame:
     return tables.read_tsv(t.spark, path, S.SIGINFO.replace("sig_id STRING", "sig_id BIGINT"))
 
 
+@query("SELECT sig_id, cell_mfc_name, pert_dose FROM siginfo")
+def require_columns(t: Tables) -> DataFrame:
+    wanted = ["sig_id", "cell_mfc_name", "pert_dose"]
+    return S.require_columns(t.siginfo, wanted, what="siginfo").select(*wanted)
+
+
 @query("SELECT l_orderkey, l_extendedprice FROM lineitem")
 def read_csv(t: Tables) -> DataFrame:
     cols = t.raw("lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag")
