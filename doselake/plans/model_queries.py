@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from doselake.operators import history as W
 from doselake.operators import knn
 from doselake.operators import models as L
+from doselake.operators import network as G
 from doselake.operators import split as X
 from doselake.operators import stats as A
 from doselake.plans.catalog import query, r
@@ -149,12 +150,88 @@ def elastic_net_scores(t: Tables) -> DataFrame:
     return scores.select("alpha", "l1_ratio", r("cv_mean", 5), r("cv_std", 5))
 
 
+def _pair_rows(t: Tables) -> DataFrame:
+    """The orders with two features: their quantity and their cell."""
+    both = F.array(F.col("x").cast("double"), F.col("cell").cast("double"))
+    return t.order_rows.withColumn("values", both)
+
+
+def _pair_terms(t: Tables, model: Model) -> DataFrame:
+    rows = [(f"slope_{i}", float(c)) for i, c in enumerate(model.coefficients)] + [("intercept", float(model.intercept))]
+    return t.spark.createDataFrame(rows, "term STRING, value DOUBLE").select("term", r("value", 4))
+
+
+def _pair_sql(l1: str = "0", l2: str = "0") -> str:
+    """Two features in closed form; with ``l1`` the signs are those of plain least squares."""
+    return f"""
+WITH m AS (SELECT count(*) AS n, avg(x) AS mx, avg(cell) AS mz, avg(y) AS my, var_pop(x) AS a, var_pop(cell) AS c,
+  covar_pop(x, cell) AS b, covar_pop(x, y) AS p, covar_pop(cell, y) AS q FROM order_rows),
+o AS (SELECT *, sign(c * p - b * q) * ({l1}) AS s, sign(a * q - b * p) * ({l1}) AS t, a + ({l2}) AS d, c + ({l2}) AS e FROM m),
+w AS (SELECT *, (e * (p - s) - b * (q - t)) / (d * e - b * b) AS u, (d * (q - t) - b * (p - s)) / (d * e - b * b) AS v FROM o)
+SELECT 'slope_0' AS term, round(u, 4) AS value FROM w UNION ALL SELECT 'slope_1', round(v, 4) FROM w
+UNION ALL SELECT 'intercept', round(my - u * mx - v * mz, 4) FROM w"""
+
+
+@query(_pair_sql())
+def fit_linear_pair(t: Tables) -> DataFrame:
+    return _pair_terms(t, L.fit_linear(_pair_rows(t), "y"))
+
+
+@query(_pair_sql(l2="100000.0 / n"))
+def fit_ridge_pair(t: Tables) -> DataFrame:
+    return _pair_terms(t, L.fit_ridge(_pair_rows(t), "y", 100000.0))
+
+
+@query(_pair_sql(l1="0.001::DOUBLE"))
+def fit_lasso_pair(t: Tables) -> DataFrame:
+    return _pair_terms(t, L.fit_lasso(_pair_rows(t), "y", 0.001))
+
+
+@query(_pair_sql(l1="0.001::DOUBLE * 0.4::DOUBLE", l2="0.001::DOUBLE * 0.6::DOUBLE"))
+def fit_elastic_net_pair(t: Tables) -> DataFrame:
+    return _pair_terms(t, L.fit_elastic_net(_pair_rows(t), "y", 0.001, 0.4))
+
+
+@query(_pair_sql(l2="100000.0 / n").replace("SELECT 'slope_0' AS term", "SELECT 0 AS feature").replace("SELECT 'slope_1'", "SELECT 1")
+       .replace("AS value FROM w", "AS score FROM w").split("UNION ALL SELECT 'intercept'")[0], ints=("feature",))
+def feature_importance_pair(t: Tables) -> DataFrame:
+    rows = _pair_rows(t)
+    return L.feature_importance(L.fit_ridge(rows, "y", 100000.0), rows).select("feature", r("score", 4))
+
+
+def _screening_rows(t: Tables) -> DataFrame:
+    """Signatures with their viability; all genes."""
+    return t.matrix.join(t.rowmeta.where("viability IS NOT NULL"), "sig_id")
+
+
+@query()
+def fit_wide(t: Tables) -> DataFrame:
+    """Coefficients of all linear models on all genes."""
+    rows = cut_lineage(_screening_rows(t).select("sig_id", "values", "viability"))
+    out = []
+    for name, fit in LINEAR_MODELS.items():
+        model = fit(rows, "viability")
+        out += [(name, i, float(c)) for i, c in enumerate(model.coefficients)] + [(name, -1, float(model.intercept))]
+    return t.spark.createDataFrame(out, "model STRING, feature INT, coef DOUBLE").select("model", "feature", r("coef", 4))
+
+
+LINEAR_MODELS = {
+    "linear": L.fit_linear, "ridge": partial(L.fit_ridge, alpha=1.0), "lasso": partial(L.fit_lasso, alpha=0.01),
+    "elastic_net": partial(L.fit_elastic_net, alpha=0.01, l1_ratio=0.4), "bayesian_ridge": L.fit_bayesian_ridge, "huber": L.fit_huber,
+}
+
+
 @query()
 def model_table(t: Tables) -> DataFrame:
-    rows = X.split_random(t.order_rows, "sig_id")
-    data = {"dose": (rows.where("split = 'train'"), rows.where("split = 'test'"))}
-    fits = {"linear": L.fit_linear, "ridge": partial(L.fit_ridge, alpha=1.0)}
-    table = L.model_table(data, fits, "y", folds=2)
+    """All linear models on genes and on factor activity, with five folds."""
+    rows = cut_lineage(X.split_random(_screening_rows(t), "sig_id"))
+    activity = G.tf_activity_ulm(rows, t.genes, t.network, metadata=("viability", "split"))
+    by_name = F.array_sort(F.collect_list(F.struct("source", "activity")))
+    factors = activity.groupBy("sig_id", "viability", "split").agg(by_name.alias("a"))
+    factors = cut_lineage(factors.select("sig_id", "viability", "split", F.transform("a", lambda c: c["activity"]).alias("values")))
+    sets = {"genes": rows.select("sig_id", "viability", "split", "values"), "tf_activity": factors}
+    data = {name: (d.where("split = 'train'"), d.where("split = 'test'")) for name, d in sets.items()}
+    table = L.model_table(data, LINEAR_MODELS, "viability", folds=5)
     return table.select("feature_set", "model", *[r(c, 4) for c in table.columns[2:]])
 
 

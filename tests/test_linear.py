@@ -120,6 +120,24 @@ def test_evidence_scores_by_fold(rows, monkeypatch):
     assert fast.cv_mean == pytest.approx(slow.cv_mean, abs=1e-6) and fast.cv_std == pytest.approx(slow.cv_std, abs=1e-6)
 
 
+def test_huber_is_a_minimum(rows):
+    """No small step away lowers the robust objective: scale and coefficients together."""
+    model = L.fit_huber(rows.where("sig_id < 1000"), "y", epsilon=1.35, alpha=1e-4)
+    w, bias, scale = np.asarray(model.coefficients), model.intercept, model.scale
+
+    def objective(w, bias, scale):
+        z = np.abs((Y - X @ w - bias) / scale)
+        cost = np.where(z <= 1.35, z * z, 2 * 1.35 * z - 1.35 ** 2)
+        return (scale + cost * scale).mean() / 2 + 1e-4 * (w @ w) / 2
+
+    here, rng = objective(w, bias, scale), np.random.default_rng(1)
+    assert objective(*(lambda b: (b, Y.mean() - X.mean(axis=0) @ b, scale))(np.zeros(WIDTH))) > here
+    for _ in range(200):
+        step = rng.normal(size=WIDTH) * 1e-2
+        moved = objective(w + step, bias - X.mean(axis=0) @ step, scale * (1 + rng.normal() * 1e-2))
+        assert moved > here - 1e-7
+
+
 def test_nothing_to_fit(rows):
     with pytest.raises(ValueError, match="no complete row"):
         L.fit_linear(rows.where("sig_id >= 1000"), "y")
