@@ -20,7 +20,6 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from doselake.functions.skew import salted_join
 from doselake.llm.common import batches_of, stored, text_or_empty
 
 #: Words of a phrase at most: the depth at which trees are cut.
@@ -430,7 +429,8 @@ def collocations(
         F.array_join(F.slice(words, F.col("k") + 1, F.col("words") - F.col("k")), " ").alias("right"),
     ), "phrase-cuts")
     for side, name in (("left", "l"), ("right", "r")):
-        cuts = salted_join(cuts, parts.select("lang", F.col("part").alias(side), F.col("f").alias(name)), ["lang", side])
+        # a part is there once; Spark splits what a common word makes too large
+        cuts = cuts.join(parts.select("lang", F.col("part").alias(side), F.col("f").alias(name)), ["lang", side])
     exact = {c: F.col(c).cast("decimal(19,0)") for c in ("l", "r", "total")}
     cuts = cuts.join(totals, "lang").withColumns({
         "over": (F.col("a") * 1000).cast("decimal(19,0)") * exact["total"], "under": exact["l"] * exact["r"],
