@@ -131,13 +131,14 @@ def source_key(source):  # a null source is a source of its own
 
 def mix(
     docs: DataFrame, weights: DataFrame, id_col: str = "doc_id", source_col: str = "source", seed: int = 17,
-    period: int | None = None, keep: tuple[str, ...] | None = None,
+    period: int | None = None, keep: tuple[str, ...] | None = None, placed: bool = True,
 ) -> DataFrame:
     """Interleave the documents of all sources at the given weights; a block is one document.
 
     Columns of ``keep`` (default: id and source), then ``mix_position`` (from 0),
     ``mix_epoch`` (0 at the first use), ``mix_release`` and ``mix_deadline``, both in
-    positions. Each source goes through its documents in a seeded order and
+    positions; without ``placed`` the columns of ``keep`` alone, whatever their
+    names. Each source goes through its documents in a seeded order and
     begins again when it ends, until every source has ended once: no document is
     left out, and over any first n positions a source is less than one document
     off its weight. Equal rows are documents of their own. Only if ``period`` is
@@ -178,6 +179,8 @@ def mix(
     given = weights.join(sizes, weights["source"] == sizes["_source"]).select("source", "weight", "n")
     slots = stored(slot_table(given, period), "slots")
     used = numbered.withColumn("_j", F.col("_before") + F.col("_i")).join(slots, ["_source", "_j"])
+    if not placed:
+        return used.select("_row.*")
     return used.select(
         "_row.*", F.col("_slot").alias("mix_position"), F.col("_epoch").alias("mix_epoch"),
         F.col("_release").alias("mix_release"), F.col("_due").alias("mix_deadline"),

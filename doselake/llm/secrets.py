@@ -176,8 +176,8 @@ def cutoffs(candidates: DataFrame, q: float) -> DataFrame:
     return cut.agg(F.map_from_entries(F.collect_list(F.struct("s", "b"))).alias("cuts"))
 
 
-def find_secrets(docs: DataFrame, text_col: str = "text", q: float = 0.05, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns of ``keep`` and ``secrets``: array of ``start, rank, end, kind`` sorted by start, then kind.
+def find_secrets(docs: DataFrame, text_col: str = "text", q: float = 0.05, keep: tuple[str, ...] = ("doc_id",), out: str = "secrets") -> DataFrame:
+    """Columns of ``keep`` and ``out``: array of ``start, rank, end, kind`` sorted by start, then kind.
 
     Kinds are ``assign, access, hex`` (fixed patterns, each with its own
     leftmost non-overlapping matches) and ``random``: strings of 20 or more
@@ -201,7 +201,7 @@ def find_secrets(docs: DataFrame, text_col: str = "text", q: float = 0.05, keep:
     return rows.select(*keep, F.transform(
         F.array_sort(F.concat(F.col(" base"), random)),
         lambda c: F.struct(c["start"].alias("start"), c["rank"].alias("rank"), c["end"].alias("end"), c["kind"].alias("kind")),
-    ).alias("secrets"))
+    ).alias(out))
 
 
 def as_text(spans: Column) -> Column:
@@ -229,7 +229,7 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", q: float = 0.05) -> DataFram
     follows where a secret was found. Rows without a secret stay as they are.
     """
     names = docs.columns
-    found = find_secrets(docs, q=q, keep=tuple(names))
+    found = find_secrets(docs, q=q, keep=tuple(names), out=" secrets")  # a name that no column of docs has
     none = F.array().cast("array<string>")
 
     def step(state: Column, c: Column) -> Column:
@@ -241,10 +241,10 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", q: float = 0.05) -> DataFram
         )
 
     clean = F.aggregate(
-        "secrets", F.struct(F.lit(0).alias("at"), none.alias("out")), step,
+        " secrets", F.struct(F.lit(0).alias("at"), none.alias("out")), step,
         lambda s: F.concat(F.array_join(s["out"], ""), F.substring(F.col("text"), s["at"] + 1, F.length("text"))),
     )
-    hit = F.size("secrets") > 0
+    hit = F.size(" secrets") > 0
     made = found.withColumn("text", F.when(hit, clean).otherwise(F.col("text")))
     size = F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return made.withColumn("n_chars", size).select(*names)

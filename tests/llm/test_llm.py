@@ -238,7 +238,8 @@ def test_secrets(spark, empty):
         assert got[i].base_sha256 == hashlib.sha256(want.encode()).hexdigest()
         assert set(filter(None, want.split(","))) <= set(got[i].spans.split(","))
     assert got[6].spans == "random:4:64" and not got[7].spans and not got[8].spans
-    clean = by_id(secrets.redact(df.drop("secrets")))
+    clean = by_id(secrets.redact(df))
+    assert {r.secrets for r in clean.values()} == {1}
     assert clean[6].text == "see [SECRET] there" and clean[6].n_chars == 18 and clean[0].text is None and clean[7].text == texts[7]
     assert secrets.find_secrets(empty).count() == 0 and secrets.redact(empty).count() == 0
 
@@ -272,6 +273,8 @@ def test_mix_keeps_all(spark, hard, empty):
     assert sorted(r.mix_position for r in got) == list(range(len(got)))
     assert sorted((r.doc_id, r.source or "") for r in got if r.mix_epoch == 0) == sorted((r[0], r[3] or "") for r in rows)
     assert all(r.mix_release <= r.mix_position < r.mix_deadline for r in got)
+    whole = mixing.mix(df, w, keep=tuple(df.columns), placed=False)
+    assert whole.columns == df.columns and {r.mix_position for r in whole.collect()} == {1}
     units = mixing.shares({r.source: r.weight for r in w.collect()}, 60)
     for n in (1, 10, len(got)):
         for source, u in units.items():
