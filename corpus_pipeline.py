@@ -35,8 +35,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats documents of small sources until the sources have their target weights; none is left out."""
-    mixed = mixing.mix(docs, mixing.tempered(docs), keep=tuple(docs.columns))
-    return mixed.select(*docs.columns)
+    return mixing.mix(docs, mixing.tempered(docs), keep=tuple(docs.columns), placed=False)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
