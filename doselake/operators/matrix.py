@@ -14,9 +14,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml import Estimator, Model, Pipeline, Transformer
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.stat import Summarizer
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +23,7 @@ from doselake.functions.arrays import CELLS, as_block, blocks, number_lists, sum
 from doselake.functions.quantiles import array_moments, array_quantiles, exact_quantiles
 from doselake.operators.select import pick_genes
 from doselake.schema import nan_to_null
+from doselake.session import cut_lineage
 
 
 def exploded(df: DataFrame, keys: list[str], values: str = "values") -> DataFrame:
@@ -309,45 +308,47 @@ def variance_threshold(matrix: DataFrame, threshold: float = 0.0) -> tuple[DataF
     return pick_genes(matrix, kept), kept
 
 
-def centered(matrix: DataFrame) -> DataFrame:
-    """Values minus the gene mean."""
-    mean = per_gene_array(gene_stats(matrix), F.col("mean"))
-    return matrix.withColumn("_mu", mean.scalar()).withColumn(
-        "values", F.zip_with(_double("values"), "_mu", lambda x, m: x - m)
-    ).drop("_mu")
+#: Cells of a strip of products, and of all that a task adds up at a time.
+STRIP_CELLS, HELD_CELLS = 1 << 20, 1 << 24
 
 
-def cross_products(matrix: DataFrame, width: int, strip: int = 1024) -> DataFrame:
-    """Sums of ``x_i * x_j`` over all rows, as ``(i, row ARRAY)``.
+def strip_sums(matrix: DataFrame, width: int, strip: int, pivot: np.ndarray | None = None) -> DataFrame:
+    """``strip, p``: number of rows, sums, then products of the genes of a strip with all genes, of rows less ``pivot``.
 
-    Each task multiplies its rows as one block; what is shuffled is one partial
-    per task, whatever the number of rows. Wide matrices go in strips of genes.
+    One scan adds up as many strips as ``HELD_CELLS`` allow: all of them up to
+    some 4,000 genes. Each task gives one row a strip, which are added as they come.
     """
-    def partial(lo: int, hi: int):
+    strips, at_once = list(range(-(-width // strip))), max(1, HELD_CELLS // (strip * width))
+    shift = np.zeros(width) if pivot is None else pivot
+
+    def partial(mine: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((hi - lo, width))
-            for b in batches:
-                x = np.asarray(b.column(0).flatten(), dtype="float64").reshape(-1, width)
-                total += x[:, lo:hi].T @ x
-            offsets = pa.array(np.arange(hi - lo + 1, dtype="int32") * width)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(lo, hi, dtype="int32")),
-                 pa.ListArray.from_arrays(offsets, pa.array(total.ravel()))], names=["i", "part"],
-            )
+            n, sums, products = 0, np.zeros(width), [np.zeros((min(strip, width - i * strip), width)) for i in mine]
+            for _, x in blocks(batches):
+                x = x - shift
+                n, sums = n + len(x), sums + x.sum(axis=0)
+                for i, p in zip(mine, products, strict=True):
+                    p += x[:, i * strip:(i + 1) * strip].T @ x
+            if n:
+                rows = [np.concatenate([[n], sums, p.ravel()]) for p in products]
+                yield pa.RecordBatch.from_pydict({"strip": pa.array(mine, pa.int32()), "p": number_lists(rows)})
         return run
 
-    spark = matrix.sparkSession
-    tasks = 2 * spark.sparkContext.defaultParallelism
-    rows = matrix.select(_double("values").alias("values")).coalesce(tasks)
-    parts = [
-        rows.mapInArrow(partial(lo, min(lo + strip, width)), "i INT, part ARRAY<DOUBLE>")
-        for lo in range(0, width, strip)
-    ]
-    allparts = parts[0]
-    for p in parts[1:]:
-        allparts = allparts.unionAll(p)
-    summed = allparts.groupBy("i").agg(Summarizer.sum(array_to_vector("part")).alias("s"))
-    return summed.select("i", vector_to_array("s").alias("row"))
+    rows, parts = matrix.select(_double("values").alias("values")), None
+    for i in range(0, len(strips), at_once):
+        made = rows.mapInArrow(partial(strips[i:i + at_once]), "strip int, p array<double>")
+        parts = made if parts is None else parts.unionAll(made)
+    return summed(parts, ["strip"], "p")
+
+
+def cross_products(matrix: DataFrame, width: int, strip: int = 1024) -> DataFrame:
+    """Sums of ``x_i * x_j`` over all rows of a complete matrix, as ``(i, row ARRAY)``."""
+    first = 1 + width
+    sums = strip_sums(matrix, width, strip)
+    rows = F.transform(
+        F.sequence(F.lit(0), ((F.size("p") - first) / width).cast("int") - 1), lambda k: F.slice("p", k * width + first + 1, F.lit(width))
+    )
+    return sums.select(F.col("strip"), F.posexplode(rows).alias("k", "row")).select((F.col("strip") * strip + F.col("k")).alias("i"), "row")
 
 
 def matrix_width(matrix: DataFrame) -> int:
@@ -355,15 +356,46 @@ def matrix_width(matrix: DataFrame) -> int:
 
 
 def corr_matrix(matrix: DataFrame, width: int | None = None) -> DataFrame:
-    """Pearson between all gene pairs ``i < j`` of a complete matrix."""
-    products = cross_products(centered(matrix), width or matrix_width(matrix))
-    diagonal = products.agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("i", F.get("row", F.col("i")).alias("d")))), lambda c: c["d"]
-    ))
-    pairs = products.select("i", F.posexplode("row").alias("j", "g")).where("i < j")
-    d = pairs.withColumn("_d", diagonal.scalar())
-    r = F.try_divide(F.col("g"), F.sqrt(F.get("_d", F.col("i"))) * F.sqrt(F.get("_d", F.col("j"))))
-    return d.select("i", "j", r.alias("r"))
+    """Pearson between all gene pairs ``i < j`` of a complete matrix; null with a constant gene.
+
+    Products are taken about one row, so that they keep their digits, and
+    centred where they are read.
+    """
+    some = matrix.select(_double("values").alias("values")).first()
+    if some is None:
+        return matrix.sparkSession.createDataFrame([], "i int, j int, r double")
+    pivot = np.array(some["values"], np.float64)
+    width = width or len(pivot)
+    strip = max(1, min(width, STRIP_CELLS // width))
+    sums = cut_lineage(strip_sums(matrix, width, strip, pivot))
+
+    def centred(s: int, p: np.ndarray) -> np.ndarray:
+        n, mean = p[0], p[1:width + 1] / p[0]
+        c = p[width + 1:].reshape(-1, width) / n
+        return c - np.outer(mean[s * strip:s * strip + len(c)], mean)
+
+    def diagonal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s, p in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                c = centred(s, p.values.to_numpy())
+                yield pa.RecordBatch.from_pydict({"strip": pa.array([s], pa.int32()), "d": number_lists([c[np.arange(len(c)), s * strip + np.arange(len(c))]])})
+
+    spread = np.concatenate([r["d"] for r in sorted(sums.mapInArrow(diagonal, "strip int, d array<double>").collect())])  # as wide as a row
+    size = np.sqrt(np.maximum(spread, 0))
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s, p in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                c = centred(s, p.values.to_numpy())
+                step = max(1, CELLS // width)
+                for lo in range(0, len(c), step):
+                    i, j = np.nonzero(np.arange(width) > (s * strip + lo + np.arange(len(c[lo:lo + step])))[:, None])
+                    at = s * strip + lo + i
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        r = c[lo + i, j] / (size[at] * size[j])
+                    yield pa.RecordBatch.from_pydict({"i": pa.array(at, pa.int32()), "j": pa.array(j, pa.int32()), "r": pa.array(r, mask=~np.isfinite(r))})
+
+    return sums.mapInArrow(pairs, "i int, j int, r double")
 
 
 def high_corr_pairs(corr: DataFrame, threshold: float = 0.5) -> DataFrame:
