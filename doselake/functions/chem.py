@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import zlib
+from collections.abc import Callable, Iterator
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from doselake.functions.parts import read_part, store_parts
+
 # Substrings counted per descriptor, in output order.
 BASIC_COUNTS = [
     ["C"], ["N"], ["O"], ["F", "Cl", "Br", "I"], ["="], ["#"], ["(", ")"], ["[", "]"],
@@ -86,6 +90,34 @@ def robust_descriptors(
     return valid.unionByName(blank)
 
 
+#: Tokens of a stored part of a vocabulary, and parts that a task keeps.
+PART_TOKENS, KEPT_PARTS = 1 << 16, 16
+
+
+def _token_ids(vocabulary: DataFrame, unknown_id: int) -> Callable[[Column], Column]:
+    """A function from token arrays to id arrays. The vocabulary is stored by hash of its tokens; tasks read the parts they meet."""
+    count = max(1, -(-vocabulary.count() // PART_TOKENS))
+    part = (F.crc32(F.col("token").cast("binary")) % count).cast("int").alias("part")
+    path = store_parts(vocabulary.select("token", F.col("id").cast("int").alias("id"), part).repartition("part"), "vocabulary")
+
+    @F.pandas_udf("array<int>")
+    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        @lru_cache(KEPT_PARTS)
+        def known(part: int) -> dict[str, int]:
+            tables = list(read_part(path, part))
+            return {t: i for b in tables for t, i in zip(b.column("token").to_pylist(), b.column("id").to_pylist(), strict=True)}
+
+        for rows in batches:
+            met = {t for row in rows if row is not None for t in row}
+            by_part: dict[int, list[str]] = {}
+            for t in met:
+                by_part.setdefault(zlib.crc32(t.encode()) % count, []).append(t)
+            of = {t: known(p).get(t, unknown_id) for p, tokens in sorted(by_part.items()) for t in tokens}
+            yield pd.Series([None if row is None else [of[t] for t in row] for row in rows], dtype=object)
+
+    return ids
+
+
 def tokenize_fixed(
     df: DataFrame,
     structure: str,
@@ -93,34 +125,24 @@ def tokenize_fixed(
     max_length: int,
     pattern: str = TOKEN_PATTERN,
     unknown_id: int = 0,
-    max_vocabulary: int = 100_000,
 ) -> DataFrame:
     """Adds ``token_ids`` (cut or zero-padded to ``max_length``) and ``mask``.
 
-    A vocabulary table ``(token, id)`` is size-checked, since it travels with
-    every task.
+    A vocabulary is a dictionary, or a table ``(token, id)`` of any size, which
+    is looked up where it is stored; only the tokens that are kept are looked up.
     """
+    tokens = F.slice(F.regexp_extract_all(F.col(structure), F.lit(pattern), F.lit(0)), 1, max_length)
     if isinstance(vocabulary, DataFrame):
-        if vocabulary.limit(max_vocabulary + 1).count() > max_vocabulary:
-            raise ValueError(f"vocabulary has more than {max_vocabulary} tokens")
-        table = vocabulary.agg(
-            F.map_from_entries(F.collect_list(F.struct("token", F.col("id").cast("int"))))
-        )
-        df = df.withColumn("_vocab", table.scalar())
+        kept = _token_ids(vocabulary, unknown_id)(tokens)
     else:
-        items = [F.lit(v) for kv in vocabulary.items() for v in kv]
-        df = df.withColumn("_vocab", F.create_map(*items))
-    ids = F.transform(
-        F.regexp_extract_all(F.col(structure), F.lit(pattern), F.lit(0)),
-        lambda t: F.coalesce(F.try_element_at(F.col("_vocab"), t), F.lit(unknown_id)),
-    )
-    kept = F.slice(ids, 1, max_length)
+        table = F.create_map(*[F.lit(v) for kv in vocabulary.items() for v in kv])
+        kept = F.transform(tokens, lambda t: F.coalesce(F.try_element_at(table, t), F.lit(unknown_id)))
     pad = F.array_repeat(F.lit(0), F.lit(max_length) - F.size("_ids"))
     return (
         df.withColumn("_ids", kept)
         .withColumn("token_ids", F.concat(F.col("_ids"), pad))
         .withColumn("mask", F.concat(F.transform("_ids", lambda _: F.lit(1)), pad))
-        .drop("_vocab", "_ids")
+        .drop("_ids")
     )
 
 

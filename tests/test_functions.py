@@ -176,8 +176,21 @@ def test_tokens_and_characters(spark):
     ids = {r["id"]: r["char_ids"] for r in chem.char_indices(df, "s", " ?CcNl1").collect()}
     assert ids[1] == [2, 2, 5, 1, 4, 1, 1, 1, 1, 0]
     vocabulary = spark.createDataFrame([("C", 1), ("c", 3)], "token string, id int")
-    with pytest.raises(ValueError):
-        chem.tokenize_fixed(df, "s", vocabulary, 4, max_vocabulary=1)
+    got = {r["id"]: r["token_ids"] for r in chem.tokenize_fixed(df, "s", vocabulary, 4, unknown_id=7).collect()}
+    assert got == {1: [1, 7, 7, 0], 2: [3, 7, 3, 3]}
+
+
+def test_vocabulary_in_many_parts(spark, monkeypatch):
+    """A table of any size is looked up by parts; null, empty and unknown strings."""
+    monkeypatch.setattr(chem, "PART_TOKENS", 500)
+    vocabulary = spark.range(7000).select(F.concat(F.lit("w"), F.col("id")).alias("token"), F.col("id").alias("id"))
+    rows = [(i, f"w{i * 37 % 9000} w{i}") for i in range(300)] + [(400, None), (401, ""), (402, "x")]
+    df = spark.createDataFrame(rows, "k int, s string").repartition(4)
+    out = {r.k: r for r in chem.tokenize_fixed(df, "s", vocabulary, 3, "[a-z][0-9]*", unknown_id=-1).collect()}
+    for i in range(300):
+        first = i * 37 % 9000
+        assert out[i].token_ids == [first if first < 7000 else -1, i, 0] and out[i]["mask"] == [1, 1, 0]
+    assert out[401].token_ids == [0, 0, 0] and out[402].token_ids == [-1, 0, 0]
 
 
 def test_fingerprint(spark):
