@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -319,10 +320,40 @@ def gene_tf_weights(
     return network.groupBy("target", "source").agg(F.max_by("weight", order).alias("weight"))
 
 
+def gene_tf_rows(
+    network: DataFrame, genes: list[str] | None = None, tfs: list[str] | None = None, order: str = "row_no"
+) -> tuple[DataFrame, DataFrame]:
+    """``target, weights`` (an array in the order of the factors, 0 where there is no edge) and ``place, source`` of the factors.
+
+    The grid as a matrix: any number of factors, whose names stay in a table.
+    """
+    cells = gene_tf_weights(network, genes, tfs, order)
+    present = network.select("source").distinct()
+    present = present if tfs is None else present.where(F.col("source").isin(tfs))
+    factors = cut_lineage(global_row_number(present, ["source"], "place").select((F.col("place") - 1).cast("int").alias("place"), "source"))
+    width = factors.count()
+    targets = network.select("target").distinct()
+    targets = targets if genes is None else targets.where(F.col("target").isin(genes))
+    held = cells.join(factors, "source").groupBy("target").agg(F.collect_list(F.struct("place", "weight")).alias("c"))
+
+    @F.pandas_udf("array<double>")
+    def dense(places: pd.Series, weights: pd.Series) -> pd.Series:
+        out = []
+        for at, w in zip(places, weights, strict=True):
+            row = np.zeros(width)
+            if at is not None:
+                row[np.asarray(at, np.int64)] = np.asarray(w, np.float64)
+            out.append(row)
+        return pd.Series(out, dtype=object)
+
+    rows = targets.join(held, "target", "left")
+    return rows.select("target", dense(F.col("c.place"), F.col("c.weight")).alias("weights")), factors
+
+
 def gene_tf_matrix(
     network: DataFrame, genes: list[str] | None = None, tfs: list[str] | None = None, order: str = "row_no"
 ) -> DataFrame:
-    """Genes by factors grid of weights, 0 where there is no edge."""
+    """Genes by factors grid of weights, 0 where there is no edge; a column per factor (``gene_tf_rows`` has none)."""
     present = [r[0] for r in network.select("source").distinct().orderBy("source").collect()]
     columns = present if tfs is None else [t for t in tfs if t in set(present)]
     cells = gene_tf_weights(network, genes, tfs, order)

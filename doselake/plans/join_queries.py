@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doselake.functions.dose import log2_dose, sig3upper
 from doselake.operators import joins as J
 from doselake.operators import select as P
 from doselake.operators import stats as A
 from doselake.plans.catalog import query, r
 from doselake.plans.screening import matched_dataset, matched_viability, viability_by_cell
 from doselake.plans.standins import Tables
+from doselake.session import cut_lineage
 
 
 def _named(t: Tables) -> DataFrame:
@@ -243,10 +243,8 @@ SELECT sig_id, master_cpd_id FROM match_a UNION ALL SELECT sig_id, master_cpd_id
 def stack_matches(t: Tables) -> DataFrame:
     named = _named(t)
     e = P.filter_signatures(t.siginfo)
-    a = J.match_pairs(e, named).select("sig_id", "master_cpd_id")
-    rest = e.join(a.select("sig_id").distinct(), "sig_id", "left_anti")
-    b = J.match_pairs(rest, named, compound="cmap_name", curve_compound="cpd_name")
-    return J.stack_tables([a, b.select("sig_id", "master_cpd_id")])
+    both = cut_lineage(J.match_with_fallback(e, named).select("strategy", "sig_id", "master_cpd_id"))  # matched once
+    return J.stack_tables([both.where(F.col("strategy") == s).drop("strategy") for s in (1, 2)])
 
 
 @query(f"""

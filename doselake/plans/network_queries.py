@@ -83,6 +83,15 @@ def gene_tf_matrix(t: Tables) -> DataFrame:
     return grid.unpivot(["target"], [c for c in grid.columns if c != "target"], "source", "weight")
 
 
+@query("""
+WITH tf AS (SELECT DISTINCT source FROM network), g AS (SELECT DISTINCT target FROM network),
+w AS (SELECT target, source, arg_max(weight, row_no) AS weight FROM network GROUP BY 1, 2)
+SELECT g.target, tf.source, coalesce(w.weight, 0) AS weight FROM g CROSS JOIN tf LEFT JOIN w ON w.target = g.target AND w.source = tf.source""")
+def gene_tf_rows(t: Tables) -> DataFrame:
+    rows, factors = G.gene_tf_rows(t.network)
+    return rows.select("target", F.posexplode("weights").alias("place", "weight")).join(factors, "place").drop("place")
+
+
 @query("""
 SELECT side, count(*) AS n_nodes, CAST(sum(d) AS BIGINT) AS n_edges, max(d) AS max_degree,
   round(avg(CASE WHEN d < 10 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS share_below FROM (
