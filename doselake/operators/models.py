@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from doselake.operators.linear import (
     Evidence, LinearTableModel, Penalty, cross_sums, fit_evidence, fit_penalty, fold_scores, product_scores,
 )
-from doselake.operators.matrix import exploded, with_arrays
+from doselake.operators.matrix import exploded, per_gene_array, with_arrays
 from doselake.operators.split import kfold, repeated_splits, split_group, split_random
 from doselake.operators.stats import metric_columns, regression_metrics, run_stats, weighted_score
 from doselake.session import cut_lineage
