@@ -241,14 +241,15 @@ def array_quantiles(df: DataFrame, probs: list[float], values: str = "values") -
         *(np.tile(ordered(np.ascontiguousarray(x, np.float64)), (len(ask), 1)) for x in (low, high)),
         first.astype(np.int64), np.tile(n, (len(ask), 1)),
     )
-    bits = int(np.clip(np.log2(COUNTERS / max(1, len(ask) * width)), 1, 12))
+    bits = int(np.clip(np.log2(COUNTERS / max(1, len(ask) * width)), 1, 16))
     while state.open().any():
         parts = _counted(df, values, state, bits).toArrow()
         counts = np.zeros((len(ask), width, 1 << bits), np.int64)
         step = positions_a_row(bits)
         for block, part in zip(parts.column("block").to_pylist(), parts.column("counts"), strict=True):
             at = slice(block * step, min(width, (block + 1) * step))
-            counts[:, at] = part.values.to_numpy().reshape(len(ask), -1, 1 << bits)  # doubles hold counts below 2 ** 53 exactly
+            # the sums are doubles made from means: whole numbers but for their last bits
+            counts[:, at] = np.rint(part.values.to_numpy()).reshape(len(ask), -1, 1 << bits)
         state.narrow(np.arange(width), counts, bits)
     a, b = _read_out(df, values, state) if width and len(ask) else (np.zeros((len(ask), width)),) * 2
     with np.errstate(invalid="ignore"):

@@ -69,12 +69,12 @@ def filter_ontology(edges: DataFrame, genes: DataFrame) -> DataFrame:
 def _peeled(edges: DataFrame, weight: str | None = None) -> Iterator[DataFrame]:
     """The nodes with all children done, round by round: ``node, layer``.
 
-    ``edges`` are distinct ``parent, child``; a round joins the edges of its
+    ``edges`` are distinct ``parent, child`` in storage; a round joins the edges of its
     nodes only, so each edge is handled once. A parent that still waits for
     children is carried as a count. Nodes of a cycle, and above, never come.
     ``layer`` is the greatest of the children's plus 1, or plus ``weight``.
     """
-    links = cut_lineage(edges.select("parent", "child", (F.col(weight) if weight else F.lit(1)).cast("bigint").alias("w")))
+    links = edges.select("parent", "child", (F.col(weight) if weight else F.lit(1)).cast("bigint").alias("w"))
     degree = links.groupBy(F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
     children = links.select(F.col("child").alias("node")).distinct()
     now = cut_lineage(children.join(degree, "node", "left_anti").withColumn("layer", F.lit(0).cast("bigint")))
@@ -189,7 +189,7 @@ def ontology_layers(edges: DataFrame) -> DataFrame:
     between = between.select("parent", F.coalesce("_b", "child").alias("child"), (F.coalesce("up", F.lit(0)) + 1).alias("w"))
     lone = links.select("child").join(links.select(F.col("parent").alias("child")), "child", "left_anti").distinct()
     layers = lone.select(F.col("child").alias("node"), F.lit(0).cast("bigint").alias("layer"))
-    for r, now in enumerate(_peeled(between, "w")):
+    for r, now in enumerate(_peeled(cut_lineage(between), "w")):
         if r:
             layers = layers.unionByName(now)
     upper = chains.join(layers.withColumnRenamed("node", "bottom"), "bottom").select("node", (F.col("layer") + F.col("up")).alias("layer"))
