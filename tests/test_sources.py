@@ -192,6 +192,25 @@ def test_resume_skips_what_is_done(spark, tmp_path):
     assert sinks.resume_match(sigs, match, path, buckets=2).count() == 9 and calls[2] == 0
 
 
+def test_resume_stores_the_sides_of_many_pairs(spark, tmp_path):
+    path = str(tmp_path / "f")
+    sigs = spark.range(40).select(F.col("id").alias("sig_id"))
+    curves = spark.range(200).select((F.col("id") % 2).alias("k"), F.col("id").alias("curve"))
+
+    def match(todo):
+        return sinks.Factored(todo.select("sig_id", (F.col("sig_id") % 4).alias("k")), curves, ["k"])
+
+    sinks.resume_match(sigs.where("sig_id < 10 AND sig_id % 4 <> 1"), match, path, buckets=2)
+    out = sinks.resume_match(sigs, match, path, buckets=2)
+    want = {(s, c) for s in range(40) for c in range(200) if s % 4 == c % 2}
+    got = [(r["sig_id"], r["curve"]) for r in out.collect()]
+    assert len(got) == len(want) and set(got) == want
+    # 2,000 pairs are stored as one row a signature, and each run's curves of the keys it used
+    assert spark.read.parquet(path + "/matches").count() == 40
+    assert spark.read.parquet(path + "/partners").groupBy("run").count().count() == 2
+    assert spark.read.parquet(path + "/partners").count() == 100 + 200
+
+
 def test_require_columns(spark):
     with pytest.raises(KeyError):
         S.require_columns(spark.range(1), ["x"])
