@@ -86,6 +86,24 @@ def test_hot_pair_matches_brute_force(spark, curves):
     assert J.match_pairs(sig, curves).count() == 200 * 2 + 400
 
 
+def test_viability_adds_up_pairs_without_sorting(spark, curves, capsys):
+    sig = spark.createDataFrame([(1, "c1", "B1", "n2", 1.0), (2, "c1", "zz", "n2", 1.0)],
+                                "sig_id int, cell_mfc_name string, pert_mfc_id string, cmap_name string, pert_dose double")
+    out = J.signature_viability(sig, curves, first_curve=True)
+    out.explain()
+    plan = capsys.readouterr().out
+    assert "SortAggregate" not in plan
+    assert sorted((r["sig_id"], r["experiment_id"], r["master_cpd_id"], r["n_curves"]) for r in out.collect()) == [(1, 1, 10, 2), (2, 3, 11, 1)]
+
+
+@pytest.mark.parametrize("combine", ["mean", "first"])
+def test_viability_deals_the_curves_first(spark, curves, combine, capsys):
+    sig = spark.createDataFrame([(1, "c1", "B1", "n2", 1.0)],
+                                "sig_id int, cell_mfc_name string, pert_mfc_id string, cmap_name string, pert_dose double")
+    J.signature_viability(sig, curves, combine).explain()
+    assert "REPARTITION_BY_NUM" in capsys.readouterr().out
+
+
 def test_no_shared_genes(spark, genes):
     net = spark.createDataFrame([("TFX", "TFY", 0.5)], "source string, target string, weight double")
     with pytest.raises(ValueError, match="No shared genes"):
