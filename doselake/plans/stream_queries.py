@@ -45,7 +45,7 @@ FRAME = "OVER (PARTITION BY user_id, event_type ORDER BY event_id ROWS BETWEEN 9
 SELECT user_id AS run, event_type AS metric, event_id AS step, round(avg(value) {FRAME}, 6) AS mean,
   round(stddev_pop(value) {FRAME}, 5) AS std, min(value) {FRAME} AS min, max(value) {FRAME} AS max, value AS last FROM events""")
 def stream_moving_stats(t: Tables) -> DataFrame:
-    s = drain(R.stream_moving_stats(_events(t), ["run", "metric"], window=10), "moving")
+    s = drain(R.stream_moving_stats(_events(t), ["run", "metric"], window=10, groups=R.GROUPS), "moving")
     return s.select("run", "metric", "step", r("mean"), r("std", 5), "min", "max", "last")
 
 
@@ -74,4 +74,4 @@ f AS (
   FROM f JOIN h ON h.run = f.run AND h.metric = f.metric AND h.n = f.n + 1 WHERE f.wait < 5)
 SELECT run, metric, step AS stop_step, best_step, best AS best_value FROM f WHERE wait >= 5""")
 def stream_early_stop(t: Tables) -> DataFrame:
-    return drain(R.stream_early_stop(_events(t), ["run", "metric"], patience=5, min_delta=1.0), "stop")
+    return drain(R.stream_early_stop(_events(t), ["run", "metric"], patience=5, min_delta=1.0, groups=R.GROUPS), "stop")

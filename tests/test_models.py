@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from doselake.operators import history as W
 from doselake.operators import models as L
@@ -239,6 +240,32 @@ def test_stopped_keys_leave_a_flag_only(spark, tmp_path):
     assert [(r.k, r.stop_step, r.best_step, r.best_value) for r in out] == [("up", 4, 0, 0.0)]
 
 
+def test_groups_of_keys_share_state(spark, tmp_path):
+    """Many keys in few groups, missing and text ones too, over micro-batches."""
+    value = F.when(F.col("id") % 11 != 3, F.hash("id") % 100).cast("double")
+    made = spark.range(600).select(
+        F.when(F.col("id") % 7 != 0, F.col("id") % 7).alias("k"), F.concat(F.lit('"'), F.col("id") % 3).alias("m"),
+        F.timestamp_seconds(F.col("id") % 2 + 0.25).alias("t"), F.col("id").alias("step"), value.alias("value"))
+    parts = [made.where((F.col("step") >= lo) & (F.col("step") < hi)) for lo, hi in ((0, 50), (50, 300), (300, 600))]
+    s = stream_of(spark, str(tmp_path), parts)
+    keys = ["k", "m", "t"]
+    state, stops = {}, set()
+    for r in made.where("value IS NOT NULL").orderBy("step").collect():
+        best, at, wait, done = state.get(r[:3], (np.inf, None, 0, False))
+        if not done:
+            best, at, wait = (r.value, r.step, 0) if r.value < best else (best, at, wait + 1)
+            if wait >= 6:
+                stops.add((*r[:3], r.step, at, best))
+            state[r[:3]] = best, at, wait, wait >= 6
+    got = drain(R.stream_early_stop(s, keys, patience=6, groups=3), "stops").collect()
+    assert len(got) == len(stops) and set(map(tuple, got)) == stops
+    window = Window.partitionBy(*keys).orderBy("step").rowsBetween(-4, 0)
+    want = made.select(*keys, "step", *[f("value").over(window) for f in (F.min, F.max, F.avg)]).collect()
+    got = drain(R.stream_moving_stats(s, keys, window=5, groups=3), "moving").select(*keys, "step", "min", "max", "mean").collect()
+    close = lambda rows: {tuple(r[:6]): None if r[6] is None else round(r[6], 9) for r in rows}
+    assert len(got) == len(want) and close(got) == close(want)
+
+
 def test_ensemble(spark):
     df = spark.createDataFrame([(1, "a", 1.0), (1, "b", 3.0), (2, "a", 5.0)], "sig_id int, member string, prediction double")
     out = {r["sig_id"]: (r["prediction"], r["std"]) for r in L.ensemble_mean_std(df).collect()}
