@@ -1,16 +1,20 @@
-"""Numeric features from structure strings, all as built-in expressions."""
+"""Numeric features from structure strings: built-in expressions, and n-grams in Arrow tasks."""
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache, reduce
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from doselake.functions.arrays import CELLS
 from doselake.functions.parts import read_part, store_parts
 
 # Substrings counted per descriptor, in output order.
@@ -168,29 +172,49 @@ def char_indices(df: DataFrame, structure: str, alphabet: str, out: str = "char_
     )
 
 
+def _gram_bits(texts: pa.Array, lengths: np.ndarray, size: int, n: int) -> np.ndarray:
+    """Rows x ``size``: 1 where a gram of the row has its place. A gram that occurs in many rows is hashed once."""
+    bits, whole = np.zeros((len(texts), size)), "".join(t or "" for t in texts.to_pylist())
+    row = np.repeat(np.arange(len(texts)), lengths)
+    fits = np.arange(len(whole)) + n <= np.cumsum(lengths)[row]
+    letters, known = pd.factorize(np.frombuffer(whole.encode("utf-32-le"), np.uint32))
+    at = np.flatnonzero(fits)
+    gram, most = letters[at].astype(np.int64), len(known)
+    for j in range(1, n):
+        if most * len(known) >= 1 << 62:  # numbers that would not fit are dealt anew
+            gram, seen = pd.factorize(gram)
+            gram, most = gram.astype(np.int64), len(seen)
+        gram, most = gram * len(known) + letters[at + j], most * len(known)
+    gram, seen = pd.factorize(gram)
+    first = np.empty(len(seen), np.int64)
+    first[gram[::-1]] = at[::-1]
+    place = [int.from_bytes(md5(whole[i:i + n].encode()).digest()[:4], "big") % size for i in first.tolist()]
+    bits[row[at], np.array(place, np.int64)[gram]] = 1.0
+    return bits
+
+
 def fingerprint_ngrams(
     df: DataFrame, structure: str, dose: str, size: int = 1024, n: int = 3, out: str = "features"
 ) -> DataFrame:
     """0/1 vector of character n-grams, then the dose; blank strings dropped.
 
     A gram's place is the number of the first eight hex digits of its md5,
-    modulo ``size``, so any engine gives the same vector.
+    modulo ``size``, so any engine gives the same vector. A task works on some
+    ``CELLS`` characters, and makes as many cells, at a time.
     """
-    chars = F.filter(F.split(F.col(structure), ""), lambda c: c != "")
-    kept = df.where(F.length(F.trim(F.col(structure))) > 0).withColumn("_chars", chars)
-    starts = F.when(F.size("_chars") >= n, F.sequence(F.lit(0), F.size("_chars") - n)).otherwise(F.array().cast("array<int>"))
-    grams = F.array_distinct(F.transform(starts, lambda i: F.concat(*[F.get("_chars", i + j) for j in range(n)])))
-    places = F.transform(grams, lambda g: (F.conv(F.substring(F.md5(g.cast("binary")), 1, 8), 16, 10).cast("bigint") % size).cast("int"))
-
-    @F.pandas_udf("array<double>")
-    def dense(places: pd.Series) -> pd.Series:
-        made = []
-        for at in places:
-            bits = np.zeros(size)
-            bits[np.asarray(at, dtype=np.int64)] = 1.0
-            made.append(bits)
-        return pd.Series(made, dtype=object)
-
-    return kept.withColumn(
-        out, F.concat(dense(F.array_distinct(places)), F.array(F.col(dose).cast("double")))
-    ).drop("_chars")
+
+    @F.arrow_udf("array<double>")
+    def dense(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            lengths = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            start = 0
+            while start < len(texts):
+                upto = np.searchsorted(np.cumsum(lengths[start:]), CELLS, side="right")
+                stop = start + max(1, min(int(upto), CELLS // size))
+                bits = _gram_bits(texts.slice(start, stop - start), lengths[start:stop], size, n)
+                ends = np.arange(len(bits) + 1, dtype=np.int32) * size
+                yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(bits.ravel()))
+                start = stop
+
+    kept = df.where(F.length(F.trim(F.col(structure))) > 0)
+    return kept.withColumn(out, F.concat(dense(F.col(structure)), F.array(F.col(dose).cast("double"))))

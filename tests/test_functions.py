@@ -202,6 +202,25 @@ def test_fingerprint(spark):
     assert sum(bits[:-1]) <= len({ASPIRIN[i:i + 3] for i in range(len(ASPIRIN) - 2)})
 
 
+def test_a_gram_of_many_rows_is_hashed_once(monkeypatch):
+    import pyarrow as pa
+
+    calls, md5 = [], chem.md5
+    monkeypatch.setattr(chem, "md5", lambda b: calls.append(b) or md5(b))
+    letters = "".join(map(chr, [*range(0x61, 0x7b), *range(0x400, 0x500), *range(0x1f600, 0x1f700)]))
+    rng = np.random.default_rng(4)
+    texts = ["abcabc"] * 300 + [None, "", "ab"] + ["".join(rng.choice(list(letters), 40)) for _ in range(30)]
+    for n in (3, 12):  # twelve of these letters pass a number's 62 bits
+        calls.clear()
+        got = chem._gram_bits(pa.array(texts), np.array([len(t or "") for t in texts]), 64, n)
+        want, grams = np.zeros(got.shape), set()
+        for r, t in enumerate(texts):
+            for g in {(t or "")[i:i + n] for i in range(len(t or "") - n + 1)}:
+                want[r, int(md5(g.encode()).hexdigest()[:8], 16) % 64] = 1
+                grams.add(g)
+        assert (got == want).all() and len(calls) == len(grams)
+
+
 def test_dose_functions(spark):
     df = spark.createDataFrame([(0.0, 1.0, 0.2, 0.0), (0.0, 0.0, 0.2, 1.0), (0.0, 1e-4, 0.2, 50.0)], "a double, b double, c double, x double")
     v = [r["v"] for r in df.select(dose.sig3upper(*map(F.col, "abcx")).alias("v")).collect()]
