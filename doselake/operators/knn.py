@@ -25,6 +25,8 @@ from doselake.functions.parts import read_part, store_parts
 
 #: Pivots, and rings around each, at most: what a task is told of the cells stays small.
 PIVOTS, RINGS = 128, 256
+#: Queries with gaps that read a cell together.
+QUERIES = 4096
 
 
 def minkowski(a: np.ndarray, b: np.ndarray, p: float) -> np.ndarray:
@@ -68,6 +70,11 @@ class Best:
         new = Best.empty(len(at), k, self.key.dtype)
         new.distance[row, place], new.key[row, place] = d[row, column], keys[column]
         new.value[row, place] = value_of[column] if value_of.ndim == 1 else value_of[row, column]
+        self.merge(at, new)
+
+    def merge(self, at: np.ndarray, new: Best) -> None:
+        """Takes the nearest of what queries ``at`` have and of ``new``."""
+        k = self.distance.shape[1]
         both = [np.concatenate([x[at], y], axis=1) for x, y in ((self.distance, new.distance), (self.key, new.key), (self.value, new.value))]
         order = np.lexsort((both[1], both[0]), axis=-1)[:, :k]
         for have, all_ in zip((self.distance, self.key, self.value), both, strict=True):
@@ -300,8 +307,9 @@ def impute_knn(matrix: DataFrame, k: int = 5, key: str = "sig_id", block: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at_once = slice_rows(batch.column(1), block)
-            for start in range(0, batch.num_rows, at_once):
-                yield _filled(sent.value, batch.slice(start, at_once), k, at_once, key)
+            queries = slice_rows(batch.column(1), max(block, QUERIES))  # a cell is read once for all of them
+            for start in range(0, batch.num_rows, queries):
+                yield _filled(sent.value, batch.slice(start, queries), k, at_once, key)
 
     kind = matrix.schema[key].dataType.simpleString()
     asked = _by_home(rows.where(lacking > 0), cells, key, "values", 2.0)
@@ -325,6 +333,11 @@ def _filled(cells: Cells, part: pa.RecordBatch, k: int, block: int, key: str) ->
     row, pos = np.nonzero(np.isnan(a))  # a search for each missing cell; those of a row share their distances
     best = Best.empty(len(row), k, own.dtype)
     width = a.shape[1]
+    have = ~np.isnan(a)
+    a0 = np.where(have, a, 0.0)
+    # the squared distance over shared genes is one product: of these, and of a cell's rows arranged alike
+    left = np.concatenate([a0 * a0, have, -2 * a0], axis=1)
+    weight = (a0 * a0).sum(axis=1)
 
     def tau() -> np.ndarray:
         out = np.zeros(len(a))
@@ -333,28 +346,74 @@ def _filled(cells: Cells, part: pa.RecordBatch, k: int, block: int, key: str) ->
 
     def offer(at: np.ndarray, rows: pa.RecordBatch) -> None:
         keys, b = rows.column(0).to_numpy(zero_copy_only=False), as_block(rows.column(1))
-        q, have_a, have_b = a[at], ~np.isnan(a[at]), ~np.isnan(b)
-        q0, b0 = np.where(have_a, q, 0.0), np.where(have_b, b, 0.0)
-        shared = have_a.astype(float) @ have_b.T.astype(float)
-        parts = (q0 * q0) @ have_b.T.astype(float), have_a.astype(float) @ (b0 * b0).T
+        have_b = ~np.isnan(b)
+        b0 = np.where(have_b, b, 0.0)
+        right = np.concatenate([have_b, b0 * b0, b0], axis=1).T
+        limit, most = tau(), (b0 * b0).sum(axis=1).max(initial=0)
+        step = max(1, CELLS // max(1, len(b)))
+        for i in range(0, len(at), step):  # bounded blocks of queries
+            q = at[i:i + step]
+            apart = left[q] @ right
+            # only pairs within a query's present limit can matter; few do once it has neighbours
+            margin = 1e-10 * (weight[q] + most) * width
+            with np.errstate(over="ignore", invalid="ignore"):
+                near = limit[q] ** 2 * (1 + 1e-9) + margin
+            bound, free = np.flatnonzero(np.isfinite(near)), np.flatnonzero(~np.isfinite(near))
+            if len(bound):  # fewer shared genes only scale a distance up
+                r, c = np.nonzero((apart if len(bound) == len(q) else apart[bound]) <= near[bound, None])
+                if len(r):
+                    _offer_pairs(q[bound[r]], c, keys, b0, have_b)
+            if len(free):
+                _offer_all(q[free], apart[free], margin[free], keys, b0, have_b)
+
+    def _direct(q: np.ndarray, c: np.ndarray, b0: np.ndarray, have_b: np.ndarray) -> np.ndarray:
+        both = have[q] & have_b[c]
+        apart, shared = np.where(both, a0[q] - b0[c], 0.0), both.sum(axis=1)
         with np.errstate(divide="ignore", invalid="ignore"):
-            square = np.maximum(parts[0] + parts[1] - 2 * q0 @ b0.T, 0) * width / shared
-            margin = 1e-10 * (parts[0] + parts[1]).max(axis=1, keepdims=True) * width
-        square[(shared == 0) | (keys == own[at][:, None])] = np.inf
+            return np.where(shared > 0, np.sqrt((apart * apart).sum(axis=1) * width / shared), np.inf)
+
+    of_row = np.searchsorted(row, np.arange(len(a) + 1))  # the missing cells of each row
+
+    def _offer_pairs(q: np.ndarray, c: np.ndarray, keys: np.ndarray, b0: np.ndarray, have_b: np.ndarray) -> None:
+        """Offers single pairs of a query and a cell's row."""
+        for i in range(0, len(q), 4096):
+            qq, cc = q[i:i + 4096], c[i:i + 4096]
+            d = _direct(qq, cc, b0, have_b)
+            d[keys[cc] == own[qq]] = np.inf
+            # a pair serves every cell that the query lacks and the other row has
+            times = of_row[qq + 1] - of_row[qq]
+            cell = np.repeat(of_row[qq] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+            cc, d = np.repeat(cc, times), np.repeat(d, times)
+            use = np.flatnonzero(have_b[cc, pos[cell]] & (d <= best.distance[cell, -1]) & np.isfinite(d))
+            cell, cc, d = cell[use], cc[use], d[use]
+            order = np.lexsort((keys[cc], d, cell))
+            cell, cc, d = cell[order], cc[order], d[order]
+            place = np.arange(len(cell)) - np.searchsorted(cell, cell)
+            use = place < k
+            cell, cc, d, place = cell[use], cc[use], d[use], place[use]
+            if len(cell):
+                asked, line = np.unique(cell, return_inverse=True)
+                dense = Best.empty(len(asked), k, own.dtype)
+                dense.distance[line, place], dense.key[line, place] = d, keys[cc]
+                dense.value[line, place] = b0[cc, pos[cell]]
+                best.merge(asked, dense)
+
+    def _offer_all(q: np.ndarray, apart: np.ndarray, margin: np.ndarray, keys: np.ndarray, b0: np.ndarray, have_b: np.ndarray) -> None:
+        """Offers every row of a cell, to queries that lack neighbours yet."""
+        shared = have[q].astype(float) @ have_b.T.astype(float)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            square = np.maximum(apart, 0) * width / shared
+        square[(shared == 0) | (keys == own[q][:, None])] = np.inf
         of = np.full(len(a), -1)
-        of[at] = np.arange(len(at))
+        of[q] = np.arange(len(q))
         asked = np.flatnonzero(of[row] >= 0)
-        step = max(1, CELLS // max(1, len(b)))
+        step = max(1, CELLS // max(1, len(b0)))
         for i in range(0, len(asked), step):  # bounded blocks of missing cells
             some = asked[i:i + step]
             r, g = of[row[some]], pos[some]
             d = np.where(have_b[:, g].T, square[r], np.inf)
-
-            def direct(i_: np.ndarray, c: np.ndarray) -> np.ndarray:
-                apart = np.where(have_a[r[i_]] & have_b[c], q0[r[i_]] - b0[c], 0.0)
-                return np.sqrt((apart * apart).sum(axis=1) * width / shared[r[i_], c])
-
-            best.add(some, _exact(d, margin[r], k, direct), keys, b0[:, g].T)
+            exact = _exact(d, margin[r][:, None], k, lambda x, c: _direct(q[r[x]], c, b0, have_b))
+            best.add(some, exact, keys, b0[:, g].T)
 
     if len(row) and len(cells.pivots):
         _searched(cells, a, 2.0, block, tau, offer)

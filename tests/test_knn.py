@@ -101,3 +101,29 @@ def test_smallest_takes_first_of_equals():
         for i in range(3):
             want = sorted((v, j) for j, v in enumerate(d[i]) if np.isfinite(v))[:3]
             assert sorted(column[row == i]) == sorted(j for _, j in want)
+
+
+def test_rows_out_of_reach_are_not_ranked(spark, monkeypatch):
+    """Once the queries have neighbours, a cell's rows are compared with their limit alone."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(500, 6))
+    x[rng.random(x.shape) < 0.05] = np.nan
+    rows = [(i, [None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "sig_id bigint, values array<double>")
+    gaps = int(np.isnan(x).sum(axis=1).max())
+    cells = knn.store_cells(df, "sig_id", "values", [], 16, 2.0, gaps)
+    ranked, exact = [], knn._exact
+    monkeypatch.setattr(knn, "_exact", lambda d, *rest: ranked.append(d.size) or exact(d, *rest))
+    asked = np.flatnonzero(np.isnan(x).any(axis=1))
+    part = pa.RecordBatch.from_pydict({"key": pa.array(asked), "v": pa.array([rows[i][1] for i in asked], pa.list_(pa.float64()))})
+    fills = knn._filled(cells, part, 3, 16, "sig_id").column(1).to_pylist()
+    for i, filled in zip(asked, fills, strict=True):
+        both = ~np.isnan(x[i]) & ~np.isnan(x)
+        d = np.sqrt(np.where(both, (x[i] - x) ** 2, 0).sum(axis=1) * 6 / both.sum(axis=1))
+        d[i] = np.inf
+        for g, value in filled:
+            near = np.argsort(np.where(np.isnan(x[:, g]), np.inf, d), kind="stable")[:3]
+            assert value == pytest.approx(x[near, g].mean())
+    assert sum(ranked) < np.isnan(x).sum() * len(x) / 2
