@@ -78,6 +78,7 @@ def hash_cuts(
     hash_col: str,
     targets: Callable[[Column], list[Column]],
     strata: list[str] | None = None,
+    few: bool = False,
 ) -> DataFrame:
     """Hash values at given ranks: one row per stratum, maps ``cuts``, ``takes``, ``shared``.
 
@@ -85,6 +86,7 @@ def hash_cuts(
     ``shared`` rows with the hash of a cut, ``takes`` are within its rank. Pass
     one counts rows per hash prefix; pass two sorts only the distinct values of
     the buckets that hold a wanted rank, each about 1/65,536 of its stratum.
+    ``few`` strata, whose number the caller bounds, are sent to all tasks.
     """
     strata = strata or []
     rows = df.select(*strata, F.col(hash_col).alias("_h")).withColumn(
@@ -106,7 +108,7 @@ def hash_cuts(
         *[F.col(s).alias(f"_s{j}") for j, s in enumerate(strata)], F.col("_pre").alias("_wp"), "_i", "_k"
     )
     # one row per wanted rank and stratum: bounded by construction without strata
-    w = w if strata else F.broadcast(w)
+    w = w if strata and not few else F.broadcast(w)
     cond = F.col("_pre") == F.col("_wp")
     for j, s in enumerate(strata):
         cond = cond & F.col(s).eqNullSafe(F.col(f"_s{j}"))
@@ -129,6 +131,7 @@ def beyond_cuts(
     targets: Callable[[Column], list[Column]],
     strata: list[str] | None = None,
     out: str = "beyond",
+    few: bool = False,
 ) -> DataFrame:
     """Adds how many of the wanted ranks a row lies beyond, in the order of ``hash_col``.
 
@@ -137,13 +140,13 @@ def beyond_cuts(
     order of their columns. Fully equal rows are interchangeable.
     """
     strata = strata or []
-    cuts = cut_lineage(hash_cuts(df, hash_col, targets, strata))
+    cuts = cut_lineage(hash_cuts(df, hash_col, targets, strata, few))
     at = cuts.select(*[F.col(s).alias(f"_s{j}") for j, s in enumerate(strata)], F.struct("cuts", "takes", "shared").alias("_at"))
     if strata:
         same = F.lit(True)
         for j, s in enumerate(strata):
             same = same & F.col(s).eqNullSafe(F.col(f"_s{j}"))
-        rows = df.join(at, same, "left").select(*df.columns, "_at")
+        rows = df.join(F.broadcast(at) if few else at, same, "left").select(*df.columns, "_at")
     else:
         rows = df.withColumn("_at", at.scalar())
 

@@ -294,7 +294,8 @@ def repeat_fit(
     penalty = penalty_of(fit)
     if penalty is not None:
         parts = ["train", "val", "test"]
-        dealt = repeated_splits(df.select(*cols), key, runs, test, val, seed, group)
+        # the cuts and the sums read the rows, which are stored so that what made them runs once
+        dealt = repeated_splits(cut_lineage(df.select(*cols)), key, runs, test, val, seed, group)
         place = F.array_position(F.array(*map(F.lit, parts)), F.col("split")) - 1
         sums = cross_sums(dealt.withColumn("part", F.col("run") * 3 + place), target, values, "part", 3 * runs)
         groups = [([3 * r], [f for f in range(3 * r, 3 * r + 3) if sums.n[f]]) for r in range(runs)]

@@ -135,7 +135,7 @@ def repeated_splits(
     h = seeded_hash(F.col("run") + seed, group or key)
     if not group:
         hashed = df.select("*", run).withColumn("_h", h)
-        placed = beyond_cuts(hashed, "_h", _ends(test, val), ["run"], "_beyond")
+        placed = beyond_cuts(hashed, "_h", _ends(test, val), ["run"], "_beyond", few=True)
         return placed.withColumn("split", _named("_beyond")).drop("_h", "_beyond")
     units = df.select(F.coalesce(F.col(group).cast("string"), F.lit("")).alias(group)).distinct()
     hashed = units.select(group, run).withColumn("_h", h)

@@ -240,3 +240,11 @@ def test_text_functions(spark):
     k = spark.createDataFrame([("Net_min_n_7_ULM",), ("bad",)], "k string")
     assert [tuple(r)[1:] for r in text.parse_run_key(k, "k").collect()] == [("net", 7, "ulm")]
     assert [r["min_n"] for r in text.parse_threshold(k, "k").collect()] == [7]
+
+
+def test_few_strata_are_sent_to_the_rows(spark, capsys):
+    rows = spark.range(400).select("id", (F.col("id") % 3).alias("run")).withColumn("_h", seeded_hash(1, "id"))
+    hash_cuts(rows, "_h", lambda n: [n / 2], ["run"], few=True).explain()
+    assert "SortMergeJoin" not in capsys.readouterr().out
+    want, got = ({r.run: r.cuts for r in hash_cuts(rows, "_h", lambda n: [n / 2], ["run"], few=few).collect()} for few in (False, True))
+    assert got == want and len(got) == 3
