@@ -17,6 +17,8 @@ SPACE = "▁"
 MEMO, STATES, PAIRS = 250_000, 120_000, 300_000
 #: Code points of a chunk whose state map is computed on its own.
 CHUNK = 65_536
+#: Below every score: what a part waits for that no merge changes any more.
+NEVER = float("-inf")
 
 
 class Pieces:
@@ -53,6 +55,29 @@ class Pieces:
         """Tokens of a final part: an unknown character falls back to its bytes."""
         return 1 if part in self.score else len(part.encode())
 
+    def ends(self, token: str) -> tuple[tuple, tuple] | None:
+        """The outer parts of a token while it is merged alone: ``(first parts, last parts)``.
+
+        Each holds ``(part, score)``: the part stays until a merge of that score
+        changes it; merges that leave it only lower the score it waits for.
+        None if the characters do not merge to the token.
+        """
+        parts, first, last = list(token), [], []
+        while True:
+            best, at = NEVER, -1
+            for i in range(len(parts) - 1):
+                s = self.score.get(parts[i] + parts[i + 1])
+                if s is not None and s > best:
+                    best, at = s, i
+            for side, part in ((first, parts[0]), (last, parts[-1])):
+                if side and side[-1][0] == part:
+                    side[-1] = part, min(side[-1][1], best)
+                else:
+                    side.append((part, best))
+            if at < 0:
+                return (tuple(first), tuple(last)) if len(parts) == 1 else None
+            parts[at:at + 2] = [parts[at] + parts[at + 1]]
+
 
 class Transducer:
     """Reads characters and emits changes of the token count.
@@ -60,17 +85,24 @@ class Transducer:
     The tokens of a prefix of a word end in one certain token, which fits the
     token before it: the two, merged alone, stay two. A piece still to come can
     only begin where the text read since then begins some piece. So a state is,
-    for each such position: its distance, the last token there, and the count
-    there less the count here. Finitely many states exist; those that texts
-    reach are compiled when they are reached, and then a transition is one lookup.
+    for each such place: the text read since, the last token there, and the count
+    there less the count here. A last token is forgotten if no part of its end can
+    merge across the place before the token is whole: states that differ in nothing
+    else are one. Finitely many states exist; those that texts reach are compiled
+    when they are reached, and then a transition is one lookup.
     """
 
-    START = ("", ((0, "", 0),))  # the beginning of a word: no token yet
+    START = (("", "", 0),)  # the beginning of a word: no token yet
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
         self.begins = {p[:n] for p in pieces.score for n in range(1, len(p))}
+        self.best: dict[str, float] = {}  # the best score of the pieces that begin so
+        for p, score in pieces.score.items():
+            for n in range(1, len(p) + 1):
+                self.best[p[:n]] = max(score, self.best.get(p[:n], NEVER))
         self._fits: dict[tuple[str, str], bool] = {}
+        self._ends: dict[str, tuple[tuple, tuple] | None] = {}
         self.clear()
 
     def clear(self) -> None:
@@ -88,28 +120,61 @@ class Transducer:
             self.moves.append({})
         return got
 
+    def ends(self, token: str) -> tuple[tuple, tuple] | None:
+        if len(token) < 2:  # any character, so these are not remembered
+            return ((token, NEVER),), ((token, NEVER),)
+        if token not in self._ends:
+            self._ends[token] = self.pieces.ends(token)
+        return self._ends[token]
+
     def fits(self, a: str, b: str) -> bool:
+        """Whether ``a + b``, merged, is ``a`` and ``b``; without ``a``, whether it is ``b``."""
         got = self._fits.get((a, b))
         if got is None:
             if len(self._fits) >= PAIRS:
                 self._fits.clear()
-            got = self._fits[a, b] = self.pieces.merge(a + b) == ([a, b] if a else [b])
+            got = self._fits[a, b] = self._judge(a, b)
         return got
 
+    def _judge(self, a: str, b: str) -> bool:
+        """Both merge side by side, best score first, until a merge across comes first or none is left."""
+        left, right = self.ends(a), self.ends(b)
+        if left is None or right is None:
+            return False
+        if not a:
+            return True
+        lefts, rights, score = iter(left[1]), iter(right[0]), self.pieces.score.get
+        (last, s), (first, t) = next(lefts), next(rights)
+        while True:
+            across = score(last + first)
+            if across is not None and across > s and across >= t:  # the leftmost of equals comes first
+                return False
+            if t > s:
+                first, t = next(rights)
+            elif s > NEVER:
+                last, s = next(lefts)
+            else:
+                return True
+
+    def binds(self, token: str, c: str) -> bool:
+        """Whether any piece that goes on with ``c`` could take a part off the end of ``token``."""
+        best = self.best.get
+        return any(best(part + c, NEVER) > waits for part, waits in self.ends(token)[1])
+
     def _compile(self, state: int, c: str) -> tuple[int, int]:
-        read, places = self.known[state]
-        read += c
-        for n, last, before in places:  # the farthest first
-            token = read[-n - 1:]
-            if (n == 0 or token in self.pieces.score) and self.fits(last, token):
-                break
-        else:
-            raise AssertionError(f"no token fits after {read!r}")
-        emitted = before + self.pieces.cost(token)
-        open_ = [(n + 1, t, d - emitted) for n, t, d in places if read[-n - 1:] in self.begins]
-        far = open_[0][0] if open_ else 0
+        token, open_ = None, []
+        for read, last, before in self.known[state]:  # the farthest first
+            if not read and last and not self.binds(last, c):
+                last = ""
+            grown = read + c
+            if token is None and (not read or grown in self.pieces.score) and self.fits(last, grown):
+                token, emitted = grown, before + self.pieces.cost(grown)
+            if grown in self.begins:
+                open_.append((grown, last, before))
+        if token is None:
+            raise AssertionError(f"no token fits before {c!r}")
         moves = self.moves[state]
-        to = self.state((read[-far:] if far else "", (*open_, (0, token, 0))))
+        to = self.state((*[(grown, last, before - emitted) for grown, last, before in open_], ("", token, 0)))
         moves[c] = move = (to, emitted)
         return move
 

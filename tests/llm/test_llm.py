@@ -72,6 +72,45 @@ def test_chunks_compose(monkeypatch):
     assert small.count("internationalisation of words") == len(sp.encode("internationalisation of words"))
 
 
+def test_pairs_of_tokens_are_judged_by_their_ends():
+    class Counted(dict):
+        looked = 0
+
+        def get(self, *key):
+            Counted.looked += 1
+            return super().get(*key)
+
+    pieces = tokencount.Pieces(PIECES)
+    pieces.score = Counted(pieces.score)
+    rng, machine = random.Random(3), tokencount.Transducer(pieces)
+    tokens = rng.sample([p for p in pieces.score if len(p) > 5], 60)
+    assert all(machine.fits("", t) for t in tokens)
+    for a in tokens:  # what a token does by itself is known after this
+        machine.fits(a, tokens[0])
+    for a, b in zip(tokens, tokens[1:], strict=False):
+        want = pieces.merge(a + b) == [a, b]
+        Counted.looked = 0
+        assert machine.fits(a, b) == want, (a, b)
+        assert Counted.looked <= len(a) + len(b)
+
+
+def test_ties_and_unreachable_pieces():
+    rng = random.Random(4)
+    for _ in range(40):
+        pieces = tokencount.Pieces.__new__(tokencount.Pieces)
+        pieces.score = {"".join(rng.choices("ab", k=rng.randint(1, 5))): -float(rng.randint(0, 4)) for _ in range(9)}
+        machine = tokencount.Transducer(pieces)
+        for n in range(1, 256):
+            text = f"{n:b}"[1:].translate({48: "a", 49: "b"})
+            assert machine.run(machine.START, text)[1] == sum(map(pieces.cost, pieces.merge(text))), (pieces.score, text)
+
+
+def test_a_token_that_cannot_merge_on_is_forgotten():
+    c = tokencount.Counter(PIECES)
+    states = {c.machine.run(tokencount.Transducer.START, f"\u2581{w}!")[0] for w in ("cat", "dog", "night", "zebra")}
+    assert len(states) == 1
+
+
 def test_byte_bpe_is_the_librarys(hard, empty):
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bytebpe.load_ranks(RANKS), special_tokens={})
     texts = {r.doc_id: r.text or "" for r in hard.collect()}
