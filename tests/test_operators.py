@@ -1,5 +1,7 @@
 """Selection, joins, statistics, and metric histories."""
 
+import os
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -96,6 +98,18 @@ def test_viability_adds_up_pairs_without_sorting(spark, curves, capsys):
     assert sorted((r["sig_id"], r["experiment_id"], r["master_cpd_id"], r["n_curves"]) for r in out.collect()) == [(1, 1, 10, 2), (2, 3, 11, 1)]
 
 
+def test_stacked_matches_are_not_stored(spark):
+    from doselake.plans.registered import CATALOG
+    from doselake.session import shared_dir
+
+    def stored():
+        return {os.path.join(d, f) for d, _, files in os.walk(shared_dir(spark).removeprefix("file:")) for f in files}
+
+    before = stored()
+    out = CATALOG["stack_matches"](spark, "/root/testdata/sf0.001")
+    assert out.count() > 0 and stored() == before
+
+
 @pytest.mark.parametrize("combine", ["mean", "first"])
 def test_viability_deals_the_curves_first(spark, curves, combine, capsys):
     sig = spark.createDataFrame([(1, "c1", "B1", "n2", 1.0)],
