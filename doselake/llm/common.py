@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from doselake.session import scratch_path
-
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -45,18 +43,6 @@ def arrow_map(
     return df.mapInArrow(run, schema)
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once below the shared folder and read back.
-
-    Later plans read columnar files with known sizes, and a lost executor costs
-    its own tasks only.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 @contextmanager
 def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
     """Arrow batches of ``rows`` rows for the jobs that run inside, so that buffers on both sides stay small."""

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from doselake.llm.common import stored
+from doselake.session import stored
 
 
 def shares(weights: dict[str, float], period: int) -> dict[str, int]:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, BooleanType, LongType, StructField, StructType
 
-from doselake.llm.common import stored
+from doselake.session import stored
 
 #: Segments of a vector, level by level; each level splits the segments before.
 LEVELS = (1, 4, 16)

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from doselake import schema as S
+from doselake.functions import skew
 from doselake.sources import flat, sinks, tables
 from doselake.sources import matrix_store as MS
 
@@ -211,6 +212,36 @@ def test_resume_stores_the_sides_of_many_pairs(spark, tmp_path):
     assert spark.read.parquet(path + "/partners").count() == 100 + 200
 
 
+def test_resume_works_its_signatures_out_once_a_run(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counting(x):
+        seen.add(1)
+        return x
+
+    path = str(tmp_path / "o")
+    counted = F.udf(counting, "bigint").asNondeterministic()  # filters are not put in front of it
+    sigs = spark.range(40).select(counted("id").alias("sig_id"))
+    curves = spark.range(200).select((F.col("id") % 2).alias("k"), F.col("id").alias("curve"))
+
+    def match(todo):
+        return sinks.Factored(todo.select("sig_id", (F.col("sig_id") % 4).alias("k")), curves, ["k"])
+
+    out = sinks.resume_match(sigs, match, path, buckets=2)
+    assert out.count() == 2000 and seen.value == 40
+
+
+def test_narrowed_keeps_what_can_meet(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "a", 10), (2, "b", 11), (3, None, 10), (4, "a", 12), (5, "a", None)], "id int, c string, k int")
+    by = spark.createDataFrame([("a", 10), ("a", 11), (None, 12), ("a", 11)], "c string, k int")
+    ids = lambda x: sorted(r["id"] for r in x.collect())
+    out = skew.narrowed(df, by, ["c", "k"])
+    assert out.columns == df.columns and ids(out) == [1, 4]
+    assert ids(skew.narrowed(df, by.limit(0), ["c"])) == []
+    monkeypatch.setattr(skew, "MOST_VALUES", 1)  # k has more values than are broadcast
+    assert ids(skew.narrowed(df, by, ["c", "k"])) == [1, 4, 5]
+
+
 def test_require_columns(spark):
     with pytest.raises(KeyError):
         S.require_columns(spark.range(1), ["x"])
