@@ -78,6 +78,26 @@ def test_fallback_only_without_first_key(spark, curves):
         J.signature_viability(sig, curves, "median")
 
 
+def test_many_pairs_of_a_key_take_few_bytes(spark, tmp_path):
+    mixed = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+    key = F.concat(F.lit("n"), (F.col("id") % 8).cast("string"))
+    sig = spark.range(8 * 60).select(
+        mixed("id", 1 << 40).alias("sig_id"), F.lit("c1").alias("cell_mfc_name"), F.lit("zz").alias("pert_mfc_id"), key.alias("cmap_name"))
+    many = spark.range(8 * 1501).select(
+        mixed("id", 1 << 14).alias("experiment_id"), F.col("id").alias("master_cpd_id"), F.lit(0.0).alias("p1_center"),
+        F.lit(1.0).alias("p2_slope"), F.lit(0.0).alias("p4_baseline"), F.lit("c1").alias("ccl_name"),
+        F.concat(F.lit("B"), F.col("id").cast("string")).alias("broad_cpd_id"), key.alias("cpd_name"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large tables
+    try:
+        out = J.match_with_fallback(sig, many)
+        out.select("sig_id", "strategy", "experiment_id", "master_cpd_id").write.parquet(str(tmp_path / "pairs"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    pairs = spark.read.parquet(str(tmp_path / "pairs"))
+    assert pairs.count() == pairs.distinct().count() == 8 * 60 * 1501
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 8 * 60 * 1501  # a byte a pair
+
+
 def test_hot_pair_matches_brute_force(spark, curves):
     sig = spark.range(600).select(
         F.col("id").alias("sig_id"), F.lit("c1").alias("cell_mfc_name"),
